@@ -23,7 +23,7 @@ BOUNDARY_CLASS = r"[.,;:，。；：()（）\[\]【】]"
 #: Notes that exempt a row, and the labels that may stand before them.
 EXEMPT = ["标准件", "外购件", "无图"]
 NOTE_LABEL = r"^(?:备注|类型|说明|材料类型|物料类型)\s*[:：]\s*"
-NOTE_BREAK = r"[；;，,、/|\s]+"
+NOTE_BREAK, NOTE_TAIL = r"[；;，,、/|\s]+", r"[。；;，,、/|\s]+$"
 WRAPPED = r"^(?:（(.*)）|\((.*)\)|【(.*)】|\[(.*)\]|\{(.*)\}|《(.*)》)$"
 #: Full-width ASCII and the ideographic space, by rule: U+FF01..U+FF5E stand for U+0021..U+007E.
 WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F)) + "　 "
@@ -142,7 +142,7 @@ def classify_note(c: Column | str) -> Column:
     note = clean_text(c)
     for _ in range(3):
         note = F.btrim(F.regexp_replace(unwrap(note, 2), NOTE_LABEL, ""))
-    note = F.btrim(F.regexp_replace(unwrap(note, 2), NOTE_BREAK + "$", ""))
+    note = F.btrim(F.regexp_replace(unwrap(note, 2), NOTE_TAIL, ""))
 
     def judge(note: Column) -> Column:
         tokens = F.transform(F.filter(F.split(note, NOTE_BREAK), lambda t: t != ""), lambda t: unwrap(F.btrim(F.regexp_replace(t, NOTE_LABEL, "")), 2))

@@ -51,7 +51,7 @@ def lines_to_rows(lines: DataFrame, source: str = "ocr_text") -> DataFrame:
     # The first whole run of code characters that is this token, not one inside another run.
     quoted = F.concat(F.lit(r"^((?:|.*?[^A-Za-z0-9._/\-]))\Q"), F.col("code"), F.lit(r"\E(?:(?![A-Za-z0-9._/\-])(.*))$"))
     rows = rows.withColumn("before", F.btrim(F.call_function("regexp_extract", F.col("raw_text"), quoted, F.lit(1)))).withColumn("after", F.btrim(F.call_function("regexp_extract", F.col("raw_text"), quoted, F.lit(2))))
-    cells = F.filter(F.transform(F.split("after", r"\t+|\s{2,}|\s*\|\s*"), F.btrim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split("after", r"\t+|\s{2,}|\s*\|\s*"), lambda x: F.btrim(x)), lambda x: x != "")
     rows = rows.withColumn("cells", cells).withColumn("cells", F.when(F.size("cells") == 1, F.split(F.get("cells", F.lit(0)), r"\s+")).otherwise(F.col("cells")))
     last = F.try_element_at("cells", F.lit(-1))
     counted = (F.size("cells") >= 2) & last.rlike(r"^\d+(?:\.\d+)?$")

@@ -1,7 +1,7 @@
 """Blocks on pages: tables, titles and requirements from where texts stand.
 
-blocks: drawing_id, page, pos, text, x, y, w, h, confidence. What goes by a page's order (clustering by height, greedy
-removal of overlaps) runs per page in Arrow groups; a page is small, and pages are spread over the cluster.
+blocks: drawing_id, page, pos, text, x, y, w, h, confidence. Clustering by height is a fold over a page's blocks; greedy
+removal of overlaps runs per page and text in Arrow groups. A page is small, and pages are spread over the cluster.
 """
 
 from __future__ import annotations
@@ -32,24 +32,21 @@ def y_clusters(blocks: DataFrame, tolerance: float, out: str = "group_id") -> Da
     """Blocks with the number of their row on the page.
 
     In the order of centres a block joins the open row if it is within the tolerance of that row's mean so far. The
-    mean moves with each block, so this is not a window's frame.
+    mean moves with each block, so this is a fold over the page's blocks, not a window's frame.
     """
-    names = blocks.columns
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cy", "cx", "pos"], kind="stable")
-        ids, group, total, n = [], -1, 0.0, 0
-        for y in pdf["cy"].to_numpy():
-            if n and abs(y - total / n) <= tolerance:
-                total, n = total + y, n + 1
-            else:
-                group, total, n = group + 1, y, 1
-            ids.append(group)
-        return pdf.assign(**{out: np.array(ids, dtype="int32")})
-
     rows = with_centers(blocks)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", {out} int"
-    return rows.groupBy(*PAGE).applyInPandas(cluster, ddl).select(*names, "cx", "cy", out)
+    each = F.struct("cy", "cx", "pos", F.struct(*(c for c in blocks.columns if c not in PAGE)).alias("b"))
+    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(each)).alias("bs"))
+    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0.0).alias("t"), F.array().cast("array<int>").alias("ids"))
+
+    def add(acc: Column, x: Column) -> Column:
+        joins = (acc["n"] > 0) & (F.abs(x["cy"] - acc["t"] / F.greatest(acc["n"], F.lit(1))) <= tolerance)
+        g = F.when(joins, acc["g"]).otherwise(acc["g"] + 1)
+        return F.struct(g.alias("g"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"), (F.when(joins, acc["t"]).otherwise(0.0) + x["cy"]).alias("t"), F.concat(acc["ids"], F.array(g)).alias("ids"))
+
+    folded = pages.withColumn("ids", F.aggregate("bs", start, add, lambda acc: acc["ids"]))
+    flat = folded.select(*PAGE, F.inline(F.zip_with("bs", "ids", lambda x, g: F.struct(x["b"].alias("b"), x["cx"].alias("cx"), x["cy"].alias("cy"), g.alias(out)))))
+    return flat.select(*PAGE, "b.*", "cx", "cy", out).select(*blocks.columns, "cx", "cy", out)
 
 
 def header_groups(blocks: DataFrame, clusters: DataFrame | None = None) -> DataFrame:

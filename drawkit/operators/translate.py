@@ -51,11 +51,11 @@ def segment_translations(segments: DataFrame, translations: DataFrame, target_la
     return segments.join(own, segments["id"] == own["segment_id"], "left").drop("segment_id")
 
 
-def work_queue(segments: DataFrame, translations: DataFrame, *, target_lang: str, provider: str, model: str, glossary: str, force: bool = False) -> DataFrame:
+def work_queue(segments: DataFrame, translations: DataFrame, *, target_lang: str, provider: str, model: str, glossary_sha: str, force: bool = False) -> DataFrame:
     """Segments without a translation that still holds. With force all of them."""
     if force:
         return segments
-    own = translations.where((F.col("target_lang") == target_lang) & (F.col("provider") == provider) & (F.col("model") == model) & (F.col("glossary_hash") == glossary) & F.col("status").isin(DONE))
+    own = translations.where((F.col("target_lang") == target_lang) & (F.col("provider") == provider) & (F.col("model") == model) & (F.col("glossary_hash") == glossary_sha) & F.col("status").isin(DONE))
     return segments.join(own.select(F.col("segment_id").alias("id"), "source_hash").distinct(), ["id", "source_hash"], "left_anti")
 
 
@@ -149,17 +149,17 @@ def merge_results(results: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.select("segment_id", text.alias("translated_text"), status.alias("status"), F.array_join("issues", "；").alias("issues"), "source_hash", "error")
 
 
-def derived_status(glossary: str, model: str, new: Column | None = None) -> Column:
+def derived_status(glossary_sha: str, model: str, new: Column | None = None) -> Column:
     """Section 2.11: missing if the translation is none or out of date; translated and not new in this run is cached."""
-    stale = F.col("t_status").isNull() | ~((F.col("t_source_hash") == F.col("source_hash")) & (F.col("t_glossary_hash") == glossary) & (F.col("t_model") == model))
+    stale = F.col("t_status").isNull() | ~((F.col("t_source_hash") == F.col("source_hash")) & (F.col("t_glossary_hash") == glossary_sha) & (F.col("t_model") == model))
     old = F.lit(True) if new is None else ~new
     return F.when(F.coalesce(stale, F.lit(True)), "missing").when((F.col("t_status") == "translated") & old, "cached").otherwise(F.col("t_status"))
 
 
-def report(segments: DataFrame, translations: DataFrame, *, target_lang: str, provider: str, model: str, glossary: str) -> DataFrame:
+def report(segments: DataFrame, translations: DataFrame, *, target_lang: str, provider: str, model: str, glossary_sha: str) -> DataFrame:
     """Segments with status; translated_text is empty where the status is missing."""
     rows = segment_translations(segments, translations, target_lang, provider)
-    return rows.withColumn("status", derived_status(glossary, model))
+    return rows.withColumn("status", derived_status(glossary_sha, model))
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def j5_segment_translation_join(spark, sf_dir):
     return got.select("id", F.col("t_status").alias("status"), F.col("t_output_tokens").cast("long").alias("output_tokens"))
 
 
-HOW = {"target_lang": "en", "provider": "p", "model": "m1", "glossary": "g1"}
+HOW = {"target_lang": "en", "provider": "p", "model": "m1", "glossary_sha": "g1"}
 
 
 @query(ST + " select s.id from segments s anti join (select segment_id as id, source_hash from translations where status in ('translated', 'skipped', 'needs_review')) t using (id, source_hash)")

@@ -144,7 +144,7 @@ def f34_html_table_text(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select("event_id", layout.html_table_text(table).alias("text"))
 
 
-@query("select event_id, event_type || chr(10) || chr(10) || '正常 ' || event_id as text from events")
+@query("select event_id, event_type || chr(10) || '正常 ' || event_id as text from events")
 def f35_plain_markdown(spark, sf_dir):
     md = F.concat(F.lit("## "), "event_type", F.lit("\n![x](y.png)\n\n\n- 正常 "), F.col("event_id").cast("string"))
     return X.table(spark, sf_dir, "events").select("event_id", layout.plain_markdown(md).alias("text"))

@@ -234,5 +234,5 @@ def k9_translation_merge(spark, sf_dir):
 @query(X.ctes("segments", "translations") + " select s.id, s.translatable from segments s anti join (select segment_id as id, source_hash from translations where status <> 'failed') t using (id, source_hash)")
 def k8_translation_queue(spark, sf_dir):
     """K8: ids to translate (one chunk each here) and to skip."""
-    ready, skipped = jobs.translation_queue(X.segments(spark, sf_dir), X.translations(spark, sf_dir), X.glossary(spark, sf_dir), target_lang="en", provider="p", model="m1", glossary="g1")
+    ready, skipped = jobs.translation_queue(X.segments(spark, sf_dir), X.translations(spark, sf_dir), X.glossary(spark, sf_dir), target_lang="en", provider="p", model="m1", glossary_sha="g1")
     return ready.select("id", F.lit(True).alias("translatable")).distinct().unionByName(skipped.select(F.col("segment_id").alias("id"), F.lit(False).alias("translatable")))
