@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import boxes as B
 from ..functions import text as T
+from ..shared import settled
 
 #: Columns, labels and words of title blocks.
 HEADER_KEYS = ["序号", "代号", "名称", "数量", "备注"]
@@ -78,8 +79,8 @@ def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     tables: drawing_id, page, x, y, w, h, complete: the envelope of each table, and whether all columns have names.
     """
-    clustered = y_clusters(blocks, 0.018)
-    header = clustered.join(header_groups(blocks, clustered), [*PAGE, "group_id"], "left_semi")
+    clustered = settled(y_clusters(blocks, 0.018))
+    header = settled(clustered.join(header_groups(blocks, clustered), [*PAGE, "group_id"], "left_semi"))
     order = F.struct("cy", "cx", "pos")
     keys = [*HEADER_KEYS, *OPTIONAL_COLUMNS]
     named = header.select(*PAGE, "cx", order.alias("o"), F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(i).alias("col_order")) for i, k in enumerate(keys)))).alias("c"), "text").where(F.contains("text", F.col("c.key")))
@@ -87,7 +88,7 @@ def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     frame = header.groupBy(*PAGE).agg(F.avg("cy").alias("hy")).join(columns.groupBy(*PAGE).agg((F.min("col_x") - 0.07).alias("x_min"), (F.max("col_x") + 0.07).alias("x_max"), F.count_if(F.col("key").isin(HEADER_KEYS)).alias("named")), PAGE)
     inside = with_centers(blocks).join(frame, PAGE).where(~is_header_block() & F.col("cy").between(F.col("hy") - 0.35, F.col("hy") + 0.08) & F.col("cx").between(F.col("x_min"), F.col("x_max")))
     inside = inside.select(*blocks.columns).join(header.select(*PAGE, "pos"), [*PAGE, "pos"], "left_anti")
-    cells = y_clusters(inside, 0.013, "row_id")
+    cells = settled(y_clusters(inside, 0.013, "row_id"))
     placed = nearest_column(cells, columns)
     whole = cells.groupBy(*PAGE, "row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "pos", "text"))), lambda b: b["text"]), " ").alias("raw_text"), *B.union_box())
     joined = placed.groupBy(*PAGE, "row_id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "pos", T.clean_text("text").alias("t")))), lambda b: b["t"]), " ").alias("t"))

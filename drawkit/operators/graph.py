@@ -8,33 +8,13 @@ in_cycle as the form that doesn't.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 50
-
+from ..shared import settled
 
-def shared_path(spark: SparkSession) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir; in a temporary one if the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not at.isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-            at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = at.get()
-    return f"{base.rstrip('/')}/drawkit-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MOST_DEPTH = 50
 
 
 def expand(roots: DataFrame, edges: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import settled
 
 #: Reasons.
 REASONS = {
@@ -69,14 +70,15 @@ def ignored_files(view: DataFrame) -> DataFrame:
 
 
 def match_status(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows (check_id, code, name, ...) with match_status, matches, candidates and match_reason.
+    """Rows (check_id, code, name, ...) with match_status, matches, candidates and match_reason.
 
-    Lists are in the order of (drawing_id, file name) (T9). Rows without a code are unchecked.
+    Lists are in the order of (drawing_id, file name) (T9). Rows without a code are unchecked. The rows are settled before
+    they are matched, so that what they come from is worked out once.
     """
     view = file_view(files)
-    rows = with_keys(rows)
-    keys = code_keys(rows)
-    exact = exact_matches(keys, view)
+    rows = settled(with_keys(rows))
+    keys = settled(code_keys(rows))
+    exact = settled(exact_matches(keys, view))
     candidates = candidate_matches(keys, view, exact)
     found = exact.groupBy("check_id", "code_cmp", "name_cmp").agg(F.array_sort(F.collect_list(F.struct("drawing_id", "matched_filename", "match_form"))).alias("matches"))
     maybe = candidates.groupBy("check_id", "code_cmp", "name_cmp").agg(F.array_sort(F.collect_list(F.struct("drawing_id", "matched_filename"))).alias("candidates"))

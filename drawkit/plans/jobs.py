@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bom, catalog, geometry, graph, layout, match, segments, tables, translate, verdict
+from ..shared import settled
 
 
 def prepare_rows(rows: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def library(drawings: DataFrame, keyword: str | None = None) -> DataFrame:
 
 def layout_ingest(payloads: DataFrame, markdown: DataFrame) -> DataFrame:
     """(drawing_id, title_text, tech_text, all_text) of layout payloads and their Markdown."""
-    blocks = layout.layout_blocks(payloads)
+    blocks = settled(layout.layout_blocks(payloads))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "pos", "text"))), lambda x: x["text"]), "\n\n")
     titles = layout.title_tables(blocks).groupBy("drawing_id").agg(ordered.alias("title_text"))
     regions = layout.tech_regions(blocks).groupBy("drawing_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("_region"))

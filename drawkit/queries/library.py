@@ -289,7 +289,7 @@ def s3_storage_name(spark, sf_dir):
 @query("select source as source_text, 'en' as target_lang, count(*) as n from (select string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] as source from benchmark) where trim(source) <> '' group by all")
 def s6_glossary_source(spark, sf_dir):
     """A glossary written as CSV to the shared folder, and read."""
-    from ..operators.graph import shared_path
+    from ..shared import shared_path
     from ..sources.files import glossary
 
     path = shared_path(spark)
@@ -310,7 +310,7 @@ def s7_scan_blocks_source(spark, sf_dir):
 
 @query("select doc_id as id, source as batch_id from documents")
 def s10_drawing_table_scan(spark, sf_dir):
-    from ..operators.graph import shared_path
+    from ..shared import shared_path
     from ..sources.files import drawing_scan
 
     path = shared_path(spark)
@@ -320,7 +320,7 @@ def s10_drawing_table_scan(spark, sf_dir):
 
 @query("select page_id as drawing_id, 'b' || page_id % 2 as backend, sha256(html) as digest from pages")
 def s9_layout_json_sink(spark, sf_dir):
-    from ..operators.graph import shared_path
+    from ..shared import shared_path
     from ..sources.files import save_layouts
 
     path = shared_path(spark)
@@ -333,10 +333,53 @@ def s9_layout_json_sink(spark, sf_dir):
 @query("select doc_id % 20 as bucket, count(*) as n from documents group by all")
 def s1_file_catalog(spark, sf_dir):
     """A file per twentieth of the documents in the shared folder, listed with its content."""
-    from ..operators.graph import shared_path
+    from ..shared import shared_path
     from ..sources.files import file_catalog
 
     path = shared_path(spark)
     X.table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("bucket"), F.lit("x").alias("value")).repartition("bucket").write.partitionBy("bucket").text(path)
     files = file_catalog(spark, path, content=True)
     return files.groupBy(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket")).agg(F.sum(F.col("length") / 2).cast("long").alias("n"))
+
+
+@query(S + " select id, drawing_id, ordinal from segments")
+def t11_segment_order(spark, sf_dir):
+    return segments.in_order(X.segments(spark, sf_dir)).select("id", "drawing_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(S + " select id from segments where ordinal % 3 < 2")
+def p5_section_filter(spark, sf_dir):
+    section = F.element_at(F.array(F.lit("title"), F.lit("tech"), F.lit("extra")), (F.col("ordinal") % 3 + 1).cast("int"))
+    return translate.section_filter(X.segments(spark, sf_dir).withColumn("section", section), ["title", "tech"]).select("id")
+
+
+@query(S + " select id, source_text as text from segments where not contains(source_text, chr(92)) and not contains(source_text, '|')")
+def f54_latex_strip(spark, sf_dir):
+    rows = X.segments(spark, sf_dir).where("not contains(source_text, '\\\\') and not contains(source_text, '|')")
+    return rows.select("id", T.latex_strip(F.concat(F.lit("| \\("), "source_text", F.lit("\\) |\t"))).alias("text"))
+
+
+@query("select doc_id as drawing_id, 'extra:001' as segment_key, '视图' || doc_id as source_text from documents")
+def x1_incremental_ingest(spark, sf_dir):
+    """Drawings as a stream of files, segmented batch by batch; each drawing once."""
+    from ..shared import shared_path
+    from ..streaming.ingest import segment_uploads
+
+    root = shared_path(spark)
+    rows = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("drawing_id"), F.lit("").alias("title_text"), F.lit("").alias("tech_text"), F.concat(F.lit("视图"), F.col("doc_id").cast("string")).alias("all_text"))
+    rows.write.parquet(f"{root}/in")
+    segment_uploads(spark, f"{root}/in", rows.schema, f"{root}/out", f"{root}/cp").awaitTermination()
+    return spark.read.parquet(f"{root}/out/batch=*").select("drawing_id", "segment_key", "source_text")
+
+
+@query(X.ctes("outcomes") + " select batch_id, count(*) as completed, case when bool_and(ok) then 'completed' when bool_or(ok) then 'partial' else 'failed' end as status from outcomes group by all")
+def x2_batch_progress(spark, sf_dir):
+    """The live status of upload batches once the stream has run dry."""
+    from ..shared import shared_path
+    from ..streaming.ingest import batch_progress
+
+    root, name = shared_path(spark), f"progress_{abs(hash(sf_dir))}"
+    rows = X.outcomes(spark, sf_dir).select("batch_id", "ok")
+    rows.write.parquet(f"{root}/in")
+    batch_progress(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), name).awaitTermination()
+    return spark.table(name).select("batch_id", "completed", "status")

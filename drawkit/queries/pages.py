@@ -200,3 +200,24 @@ def f44_view_text_labels(spark, sf_dir):
 def k13_scan_ingest(spark, sf_dir):
     """K13. Tested on a small page."""
     return jobs.scan_ingest(blocks(spark, sf_dir)).select("drawing_id", "title_text", "tech_text", "all_text")
+
+
+@query(X.ctes("bom_rows") + " select distinct drawing_id, 1 as tables, '' as title_code, '' as issues from bom_rows")
+def g7_scan_to_bom(spark, sf_dir):
+    """What the pages of each drawing say of its table."""
+    _, heads = geometry.scan_to_bom(table_blocks(spark, sf_dir))
+    return heads.select("drawing_id", F.col("tables").cast("int").alias("tables"), "title_code", "issues")
+
+
+@query(X.ctes("bom_rows") + " select drawing_id, 5 as headers, sum(4 + (note <> '')::int) + 5 as blocks from bom_rows where pos <= 12 group by all")
+def g4_is_header_block(spark, sf_dir):
+    return table_blocks(spark, sf_dir).groupBy("drawing_id").agg(F.count_if(geometry.is_header_block()).cast("int").alias("headers"), F.count(F.lit(1)).alias("blocks"))
+
+
+@query(X.ctes("boxes") + """, p as (select a.pos, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as s, a.w * a.h as aa, b.w * b.h as bb from boxes a join boxes b on b.pos = a.pos + 1)
+ select pos, round(s / (aa + bb - s), 6) as iou, round(s / least(aa, bb), 6) as ratio from p""")
+def g11_iou(spark, sf_dir):
+    """Each box against the next one."""
+    a, b = blocks(spark, sf_dir).alias("a"), blocks(spark, sf_dir).alias("b")
+    pairs = a.join(b, F.col("b.pos") == F.col("a.pos") + 1)
+    return pairs.select(F.col("a.pos").cast("long").alias("pos"), F.round(B.iou(B.box("a"), B.box("b")), 6).alias("iou"), F.round(B.overlap_ratio(B.box("a"), B.box("b")), 6).alias("ratio"))
