@@ -38,6 +38,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
+    """docs without the ids that verdicts (id, stays) give no row to stay for. Rows without an id share one verdict.
+
+    The ids that go are written first. Their size is then known to Spark, which broadcasts them below its threshold, so
+    that the texts stay where they are, and else joins by id, which no hot key can skew.
+    """
+    gone = stored(verdicts.groupBy("id").agg(F.bool_or("stays").alias("stays")).where(~F.col("stays")).select(F.col("id").alias("_gone")))
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

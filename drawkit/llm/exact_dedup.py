@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, rebatch, shared_folder, text_or_empty
+from ._common import as_bytes, rebatch, shared_folder, text_or_empty, without
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -206,4 +206,5 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    return exact_dedup(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_id", "_text", **limits).where("kept").select("_all.*")
+    report = dedup_report(docs, id_col, text_col, **limits)
+    return without(docs, report.select(F.col(id_col).alias("id"), F.col("kept").alias("stays")), id_col)

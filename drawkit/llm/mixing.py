@@ -137,7 +137,8 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     rows = _rows(docs, id_col, text_col, source_col, lang_col, topic)
     cells = stored(_cells(rows.drop("_text")))
     targets = {d: smoothed_targets(cells, d, power) for d in DIMENSIONS} if targets is None else targets
-    weights = _probabilities(rake(cells, targets, **how), rate).select(F.struct(*DIMENSIONS).alias("_cell"), "probability")
+    # Written first, so that Spark knows its size and needn't move the texts to join it.
+    weights = stored(_probabilities(rake(cells, targets, **how), rate).select(F.struct(*DIMENSIONS).alias("_cell"), "probability"))
     text = text_or_empty(text_col)
     n = F.regexp_count(text, F.lit(WORD)).cast("long")
     cell = F.struct(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), (topic_of(text, n) if topic is None else topic.cast("string")).alias("topic"))

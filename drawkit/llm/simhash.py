@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, rebatch, stored, text_or_empty
+from ._common import as_bytes, rebatch, stored, text_or_empty, without
 
 BITS, BUDGET, BLOCKS = 64, 3, 4
 
@@ -221,5 +221,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most: int = 4096) -> DataFrame:
     """The rows of docs that stay: of each component the row with the smallest id. Same columns."""
     groups = simhash_groups(docs, id_col, text_col, most=most)
-    stay = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return without(docs, groups.select("id", F.col("id").eqNullSafe(F.col("component")).alias("stays")), id_col)
