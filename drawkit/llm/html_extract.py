@@ -95,7 +95,10 @@ def _is_article(node: Node) -> bool:
     return node.tag in ("article", "main") or "role=" in node.attrs and _attrs(node).get("role") in ("main", "article") or "articleBody" in node.attrs
 
 
-def _cut(node: Node, in_article: bool) -> bool:
+def _cut(node: Node, in_article: bool, half: float) -> bool:
+    """Whether node isn't main text by its tag, role or names. A form that holds half of the page's text is the page."""
+    if node.tag == "form" and node.text_len > half:
+        return False
     if node.tag in CUT_TAGS or node.tag == "header" and not in_article:
         return True
     if not node.attrs or node.tag in ("html", "body"):
@@ -106,25 +109,44 @@ def _cut(node: Node, in_article: bool) -> bool:
     return any(w in CUT_NAMES for k in ("class", "id") for w in SPLIT.split(a.get(k, "").lower()))
 
 
-def prune(node: Node, in_article: bool = False) -> bool:
-    """Cuts what isn't main text out of the tree; whether node is or holds an article. What holds one is never cut."""
-    own = _is_article(node)
-    holds, left = own, []
+def _articles(node: Node, half: float, in_article: bool, cut: bool, free: list[Node], under: list[Node]) -> None:
+    """Articles that stand free, and those in what would be cut, such as comments that are marked up as articles."""
+    cut = cut or _cut(node, in_article, half)
+    if _is_article(node):
+        (under if cut else free).append(node)
+        in_article = True
     for x in node.children:
-        if isinstance(x, str):
-            left.append(x)
-            continue
-        has = x.tag not in CUT_TAGS and prune(x, in_article or own)
-        holds |= has
-        if has or not _cut(x, in_article or own):
-            left.append(x)
-    node.children = left
-    return holds
+        if not isinstance(x, str):
+            _articles(x, half, in_article, cut, free, under)
+
+
+def prune(root: Node) -> None:
+    """Cuts what isn't main text out of the tree. What holds a free article is never cut; without any, what holds another."""
+    half = root.text_len / 2
+    free: list[Node] = []
+    under: list[Node] = []
+    _articles(root, half, False, False, free, under)
+    safe = set()
+    for x in free or under:
+        while x is not None and id(x) not in safe:
+            safe.add(id(x))
+            x = x.parent
+
+    def cut(node: Node, in_article: bool) -> None:
+        in_article = in_article or _is_article(node)
+        node.children = [x for x in node.children if isinstance(x, str) or id(x) in safe or not _cut(x, in_article, half)]
+        for x in node.children:
+            if not isinstance(x, str):
+                cut(x, in_article)
+
+    cut(root, False)
 
 
 def measure(node: Node, in_link: bool = False) -> None:
     """Lengths, commas and scores, bottom-up."""
     in_link |= node.tag == "a"
+    node.text_len = node.link_len = node.commas = 0
+    node.score = 0.0
     for x in node.children:
         if isinstance(x, str):
             n = len(x.strip())
@@ -239,6 +261,7 @@ def extract(page: str) -> str:
     """The main text, one line per block; empty if there is none."""
     root = parse(page)
     _flatten(root)
+    measure(root)
     prune(root)
     measure(root)
     return "\n".join(blocks(choose(root)))

@@ -104,6 +104,9 @@ def test_warc_ids():
         ("<main><p>kept, text</p><aside><p>not, this</p></aside><style>p{}</style><!-- c <p>no</p> --></main>", "kept, text"),
         ("<p>unclosed <b>bold<p>next</b></p></i></div>end", "unclosed bold\nnext\nend"),
         ("<article><h1>T</h1><div class='article-header-menu'></div><p>x</p></article><div class=ad>Buy, now, here</div>", "T\nx"),
+        ("<article><h1>T</h1><p>Body, of it.</p><section class=comments><article><p>a, comment, that, is, long</p></article></section></article><article class='comment'><p>b, c, d</p></article>", "T\nBody, of it."),
+        ("<form action=x><div class=menu><a href=/>m</a></div><div><p>All of, the page, is a form.</p></div></form>", "All of, the page, is a form."),
+        ("<div class='widget'><article><p>Only, here.</p></article></div>", "Only, here."),
         ("<div><div><div><p>" + "deep, text. " * 30 + "</p></div></div></div>", ("deep, text. " * 30).strip()),
     ],
 )
