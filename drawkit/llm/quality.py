@@ -105,7 +105,7 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(F.lit(0.0), div)))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, most_chars: float = 0.45, most_words: float = 0.7, least_chars: int = 200, least_commons: int = 20, common_words: dict[str, list[str]] | None = None) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, most_chars: float = 0.36, most_words: float = 0.65, least_chars: int = 200, least_commons: int = 20, common_words: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
     kept: not base_failed, and no distance over its limit. A distance is null, and no reason to reject, if the document
@@ -125,7 +125,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
 
 
-def oracle_sql(most_chars: float = 0.45, most_words: float = 0.7, least_chars: int = 200, least_commons: int = 20) -> str:
+def oracle_sql(most_chars: float = 0.36, most_words: float = 0.65, least_chars: int = 200, least_commons: int = 20) -> str:
     """quality() over the table documents in DuckDB's SQL."""
     lists = " ".join(f"when '{k}' then [{', '.join(f"'{w}'" for w in ws)}]" for k, ws in sorted(COMMON_WORDS.items()))
     classes = ", ".join("len(regexp_extract_all(t, '" + c.replace("'", "''") + "'))" for c in CLASSES)

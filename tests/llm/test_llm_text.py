@@ -100,7 +100,7 @@ def test_quality_distances(spark):
         judged += 1
     assert judged > 50
     assert any(r.word_distance is not None for r in got.values())
-    assert all(r.kept == (not r.base_failed and (r.char_distance or 0) <= 0.2 and (r.word_distance or 0) <= 0.7) for r in got.values())
+    assert all(r.kept == (not r.base_failed and (r.char_distance or 0) <= 0.2 and (r.word_distance or 0) <= 0.65) for r in got.values())
     noise = spark.createDataFrame([(1, " ".join("9$%" + str(i) for i in range(400)), "en", "s", 0)], DDL).unionByName(df)
     assert [r.kept for r in quality.quality(noise).where("doc_id = 1 and n_symbols > 300").collect()] == [False]
     assert quality.quality(empty(spark)).count() == 0
