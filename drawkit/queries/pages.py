@@ -31,25 +31,29 @@ def blocks(spark, sf_dir):
 COLUMNS = ["序号", "代号", "名称", "数量", "备注"]
 
 
+PAGE_ROWS = 15
+LAID = f"laid as (select *, (pos - 1) // {PAGE_ROWS} + 1 as page, (pos - 1) % {PAGE_ROWS} + 1 as r from bom_rows)"
+
+
 def table_blocks(spark, sf_dir):
-    """The BOM rows of an order, laid out above a header: a page per order, columns 0.15 apart, rows 0.02 apart."""
-    rows = X.bom_rows(spark, sf_dir).where("pos <= 12")
+    """The BOM rows of an order, laid out above a header, 15 to a page: columns 0.15 apart, rows 0.02 apart."""
+    rows = X.bom_rows(spark, sf_dir).withColumns({"page": F.floor((F.col("pos") - 1) / PAGE_ROWS).cast("int") + 1, "r": (F.col("pos") - 1) % PAGE_ROWS + 1})
     cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(n).alias("t")) for i, n in enumerate(["sequence_no", "code", "name", "quantity", "note"])))
-    body = rows.select("drawing_id", F.col("pos").alias("r"), F.inline(cells)).where("t <> ''")
-    head = rows.select("drawing_id").distinct().select("drawing_id", F.lit(0).alias("r"), F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.lit(n).alias("t")) for i, n in enumerate(COLUMNS)))))
+    body = rows.select("drawing_id", "page", "r", F.inline(cells)).where("t <> ''")
+    head = rows.select("drawing_id", "page").distinct().select("drawing_id", "page", F.lit(0).alias("r"), F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.lit(n).alias("t")) for i, n in enumerate(COLUMNS)))))
     both = head.unionByName(body)
-    return both.select("drawing_id", F.lit(1).alias("page"), (F.col("r") * 10 + F.col("c")).cast("int").alias("pos"), F.col("t").alias("text"), (F.col("c") * 0.15 + 0.1).alias("x"), (0.6 - F.col("r") * 0.02).alias("y"), F.lit(0.04).alias("w"), F.lit(0.01).alias("h"), F.lit(0.9).alias("confidence"))
+    return both.select("drawing_id", "page", (F.col("r") * 10 + F.col("c")).cast("int").alias("pos"), F.col("t").alias("text"), (F.col("c") * 0.15 + 0.1).alias("x"), (0.6 - F.col("r") * 0.02).alias("y"), F.lit(0.04).alias("w"), F.lit(0.01).alias("h"), F.lit(0.9).alias("confidence"))
 
 
-@query(X.ctes("bom_rows") + """ select drawing_id, pos, sequence_no, code, name, quantity, note from bom_rows where pos <= 12""")
+@query(X.ctes("bom_rows") + " select drawing_id, pos, sequence_no, code, name, quantity, note from bom_rows")
 def g3_table_reconstruct(spark, sf_dir):
-    """Rows laid out as blocks and read back. Row 1 is the lowest, so it comes last."""
+    """Rows laid out as blocks and read back. Row 1 of a page is the lowest, so it comes last."""
     rows, _ = geometry.tables(table_blocks(spark, sf_dir))
-    y = F.round((0.6 - F.col("y")) / 0.02).cast("long")
-    return rows.select("drawing_id", y.alias("pos"), "sequence_no", "code", "name", "quantity", "note")
+    r = F.round((0.6 - F.col("y")) / 0.02).cast("long")
+    return rows.select("drawing_id", ((F.col("page_number") - 1) * PAGE_ROWS + r).alias("pos"), "sequence_no", "code", "name", "quantity", "note")
 
 
-@query(X.ctes("bom_rows") + """, b as (select * from bom_rows where pos <= 12), m as (select drawing_id, sequence_no, code, name, note, quantity, max(pos) as pos from b group by all) select drawing_id, row_number() over (partition by drawing_id order by pos desc) as row_index, code from m""")
+@query(X.ctes("bom_rows") + f", {LAID}, m as (select drawing_id, sequence_no, code, name, note, quantity, min(page * 100 - r) as o from laid group by all) select drawing_id, row_number() over (partition by drawing_id order by o) as row_index, code from m")
 def k6_bom_from_blocks(spark, sf_dir):
     """K6, G7, W3, P7, A8, A9."""
     rows, _ = jobs.bom_from_blocks(table_blocks(spark, sf_dir))
@@ -202,14 +206,14 @@ def k13_scan_ingest(spark, sf_dir):
     return jobs.scan_ingest(blocks(spark, sf_dir)).select("drawing_id", "title_text", "tech_text", "all_text")
 
 
-@query(X.ctes("bom_rows") + " select distinct drawing_id, 1 as tables, '' as title_code, '' as issues from bom_rows")
+@query(X.ctes("bom_rows") + f", {LAID} select drawing_id, count(distinct page)::int as tables, '' as title_code, '' as issues from laid group by all")
 def g7_scan_to_bom(spark, sf_dir):
     """What the pages of each drawing say of its table."""
     _, heads = geometry.scan_to_bom(table_blocks(spark, sf_dir))
     return heads.select("drawing_id", F.col("tables").cast("int").alias("tables"), "title_code", "issues")
 
 
-@query(X.ctes("bom_rows") + " select drawing_id, 5 as headers, sum(4 + (note <> '')::int) + 5 as blocks from bom_rows where pos <= 12 group by all")
+@query(X.ctes("bom_rows") + f", {LAID} select drawing_id, (5 * count(distinct page))::int as headers, sum(4 + (note <> '')::int) + 5 * count(distinct page) as blocks from laid group by all")
 def g4_is_header_block(spark, sf_dir):
     return table_blocks(spark, sf_dir).groupBy("drawing_id").agg(F.count_if(geometry.is_header_block()).cast("int").alias("headers"), F.count(F.lit(1)).alias("blocks"))
 
