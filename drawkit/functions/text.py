@@ -166,7 +166,7 @@ def classify_note(c: Column | str) -> Column:
 
 def code_tokens(c: Column) -> Column:
     """the code-like tokens of a text that are valid codes, in order."""
-    return F.filter(F.split(c, r"[^A-Za-z0-9._/\-]+"), lambda t: t.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/\-]{2,39}$") & is_valid_code(t))
+    return F.filter(F.split(c, r"[^A-Za-z0-9._/\-]+"), lambda t: t.rlike(r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9][A-Za-z0-9._/\-]{2,39}$") & is_valid_code(t))
 
 
 def code_from_text(c: Column | str) -> Column:
