@@ -56,7 +56,8 @@ def bom_from_text(drawings: DataFrame, limit: int = 10) -> DataFrame:
     """K5: BOM rows of the drawings' full texts. drawings: id, all_text, title_text, filename."""
     lines = bom.table_pages(bom.page_lines(drawings, most_sections=limit))
     codes = drawings.select(F.col("id").alias("drawing_id"), T.drawing_code("title_text", T.display_filename("original_filename", "filename"), F.lit("")).alias("title_code"))
-    return bom.merge_and_validate(bom.filter_rows(bom.lines_to_rows(lines), codes))
+    # Settled, or the filters that follow would be pushed below the parsing and parse each line again and again.
+    return bom.merge_and_validate(bom.filter_rows(settled(bom.lines_to_rows(lines)), codes))
 
 
 def bom_from_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
