@@ -8,6 +8,7 @@ from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..shared import settled
 
 #: Header words, patterns of header lines and page markers, and issues.
 HEADER_WORDS = ["序号", "代号", "名称", "备注", "数量", "图号", "零件号", "件号", "明细", "BOM"]
@@ -141,8 +142,8 @@ def reindex(rows: DataFrame) -> DataFrame:
 
 
 def merge_and_validate(rows: DataFrame) -> DataFrame:
-    """A8, A9 and W3."""
-    return reindex(flag_conflicts(merge_duplicates(rows)))
+    """A8, A9 and W3. Settled in between, so that no cell is cleaned more often than once."""
+    return reindex(flag_conflicts(settled(merge_duplicates(settled(rows)))))
 
 
 def coalesce_sources(primary: DataFrame, base: DataFrame) -> DataFrame:
