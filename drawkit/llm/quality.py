@@ -125,6 +125,29 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))
 
 
+def quality_by_all_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, most_chars: float = 0.36, least_chars: int = 200, least_words: int = 50, fence: float = 1.5, common_words: dict[str, list[str]] | None = None) -> DataFrame:
+    """The columns of quality() and word_limit; words are judged by all words, not by the common ones among themselves.
+
+    The word histogram has a first bin for the words that aren't common, so that a text without common words is far from
+    its language. Judged are documents of least_words words. A language's word_limit is the upper fence of the distances
+    of its judged documents that pass the base rules: third quartile plus `fence` times the distance of the quartiles,
+    which are taken of distances in thousandths, so that no more than 1,001 values are held per language.
+    """
+    common_words = COMMON_WORDS if common_words is None else common_words
+    bins = max(map(len, common_words.values())) + 1
+    rows = base_features(docs, id_col, text_col, lang_col, common_words).withColumn("base_failed", failed_base())
+    rows = stored(rows.withColumn("commons", F.concat(F.array(F.col("n_words") - _total(F.col("commons"))), "commons")))
+    long_enough, enough = F.col("word_chars") >= least_chars, (F.col("n_words") >= least_words) & F.col("commons").isNotNull()
+    refs = _references(rows, len(CLASSES) + 1, "chars", long_enough).join(_references(rows, bins, "commons", enough), "lang", "full")
+    rows = rows.join(refs, "lang", "left")
+    rows = stored(rows.select("*", F.round(F.when(long_enough, js_distance(F.col("chars"), F.col("ref_chars"))), 6).alias("char_distance"), F.round(F.when(enough, js_distance(F.col("commons"), F.slice("ref_commons", 1, F.size("commons")))), 6).alias("word_distance")).drop("chars", "commons", "ref_chars", "ref_commons"))
+    quartiles = rows.where(~F.col("base_failed") & F.col("word_distance").isNotNull()).groupBy("lang").agg(F.percentile(F.round("word_distance", 3), [0.25, 0.75]).alias("q"))
+    limits = quartiles.select("lang", F.round(F.get("q", F.lit(1)) + fence * (F.get("q", F.lit(1)) - F.get("q", F.lit(0))), 6).alias("word_limit"))
+    rows = rows.join(limits, "lang", "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("char_distance") <= most_chars, F.lit(True)) & F.coalesce(F.col("word_distance") <= F.col("word_limit"), F.lit(True))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "word_limit", kept.alias("kept"))
+
+
 def oracle_sql(most_chars: float = 0.36, most_words: float = 0.65, least_chars: int = 200, least_commons: int = 20) -> str:
     """quality() over the table documents in DuckDB's SQL."""
     lists = " ".join(f"when '{k}' then [{', '.join(f"'{w}'" for w in ws)}]" for k, ws in sorted(COMMON_WORDS.items()))

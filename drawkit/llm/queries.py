@@ -14,6 +14,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_quality with words judged by all words of a document. Tested against brute force."""
+    return quality.quality_by_all_words(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
@@ -53,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_quality, op2_byte_bpe, op3_warc, op4_toxicity, op5_word_pieces, op6_html, op7_simhash, op8_mixing, op9_exact_dedup, op10_line_dedup]
+    own = [op1_quality, op1_quality_words, op2_byte_bpe, op3_warc, op4_toxicity, op5_word_pieces, op6_html, op7_simhash, op8_mixing, op9_exact_dedup, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 

@@ -106,6 +106,38 @@ def test_quality_distances(spark):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_quality_by_all_words(spark):
+    lang = "en"
+    rng = random.Random(3)
+    junk = {i: " ".join(f"menu{chr(97 + rng.randrange(26))}" for _ in range(300)) for i in (10**6, 10**6 + 1)}
+    df = documents(spark).unionByName(spark.createDataFrame([(i, t, lang, "s", 0) for i, t in junk.items()], DDL))
+    got = {r.doc_id: r for r in quality.quality_by_all_words(df).collect()}
+    common = {k: [{w, w.capitalize(), w.upper()} for w in ws] for k, ws in quality.COMMON_WORDS.items()}
+    hist, refs = {}, defaultdict(lambda: np.zeros(17))
+    for r in df.collect():
+        words = WORD.findall(r.text or "")
+        if r.lang in common and len(words) >= 50:
+            n = [sum(w in forms for w in words) for forms in common[r.lang]]
+            hist[r.doc_id] = r.lang, np.array([len(words) - sum(n), *n])
+            if not got[r.doc_id].base_failed:
+                refs[r.lang] += hist[r.doc_id][1]
+    h = lambda p: -sum(x * np.log2(x) for x in p if x > 0)
+    near = defaultdict(list)
+    for i, (of, n) in hist.items():
+        p, q = n / n.sum(), refs[of] / refs[of].sum()
+        assert got[i].word_distance == pytest.approx(np.sqrt(max(0, h((p + q) / 2) - (h(p) + h(q)) / 2)), abs=2e-6)
+        if not got[i].base_failed:
+            near[of].append(round(got[i].word_distance, 3))
+    limits = {k: np.percentile(v, 75) + 1.5 * (np.percentile(v, 75) - np.percentile(v, 25)) for k, v in near.items()}
+    assert all((r.word_distance is None) == (i not in hist) for i, r in got.items())
+    assert all(got[i].word_limit == pytest.approx(limits[of], abs=2e-6) for i, (of, _) in hist.items())
+    assert all(r.kept == (not r.base_failed and (r.char_distance or 0) <= 0.36 and (r.word_distance or 0) <= (r.word_limit or 1)) for r in got.values())
+    old = {r.doc_id: r for r in quality.quality(df).collect()}
+    for i in junk:  # passes the base rules and the characters; op1_quality doesn't judge its words
+        assert not got[i].base_failed and got[i].char_distance <= 0.36 and not got[i].kept and old[i].word_distance is None
+    assert quality.quality_by_all_words(empty(spark)).count() == 0
+
+
 # --- byte-level BPE
 
 
