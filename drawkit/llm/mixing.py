@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked to the target share of each source, language and topic
-in turn, until all three marginals agree. A document is then sampled with a probability in proportion to its cell's
-weight, by a hash of its id, so that the expected tokens of the sample have the targets' shares.
+in turn, until all three marginals agree. A document is then sampled, by a hash of its id, with its cell's weight times
+a sampling rate as probability; cells that reach 1 are taken whole and the others share what these lack, so that the
+expected tokens of the sample are the rate's and have the targets' shares as far as the cells' tokens reach.
 
 The text is read once, to count its words. The rounds work on the table of cells, which is aggregated in the map tasks
 first and grows with the number of different cells only.
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ._common import WORD, stored, text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Share of all tokens in the sample.
+RATE = 0.5
 
 
 def topic_of(text: Column, n_words: Column) -> Column:
@@ -107,19 +110,31 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col
     return rows if topic is not None else rows.withColumn("topic", topic_of(F.col("_text"), F.col("n_tokens")))
 
 
-def _probabilities(cells: DataFrame, rate: float | None) -> DataFrame:
-    """The cells' sampling probabilities: weights over the largest one, or times rate and at most 1."""
-    if rate is not None:
-        return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * rate))
-    top = cells.agg(F.max("weight").alias("_top"))
-    return cells.crossJoin(top).withColumn("probability", F.when(F.col("_top") > 0, F.col("weight") / F.col("_top")).otherwise(0.0)).drop("_top")
+def _probabilities(cells: DataFrame, rate: float) -> DataFrame:
+    """The raked cells with their sampling probabilities, by which `rate` of all tokens are expected in the sample.
+
+    A cell's probability is its weight times one factor, and at most 1. Tokens that full cells don't have are shared by
+    the others in proportion to their weights, so that a small cell never lowers what the others get.
+    """
+    rows = stored(cells)
+    n, w = F.col("n").cast("double"), F.col("weight")
+    total, reach = rows.agg(F.sum(n), F.sum(F.when(w > 0, n))).first()
+    budget, factor, full = rate * (total or 0.0), rate, -1
+    if budget >= (reach or 0.0) * (1 - 1e-9):
+        return rows.withColumn("probability", F.when(w > 0, 1.0).otherwise(0.0))
+    while True:  # the factor only grows, so cells only become full; it ends when no further one does
+        now, taken, rest = rows.agg(F.count_if(w * factor >= 1), F.sum(F.when(w * factor >= 1, n)), F.sum(F.when(w * factor < 1, n * w))).first()
+        if now == full or not rest:
+            break
+        full, factor = now, max(factor, (budget - (taken or 0.0)) / rest)
+    return rows.withColumn("probability", F.least(F.lit(1.0), w * factor))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.9, rate: float | None = None, seed: int = 17, **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.9, rate: float = RATE, seed: int = 17, **how) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled) per row.
 
-    Without targets, each marginal's target is the corpus's own shares to the given power. Without rate, the cell of the
-    largest weight is sampled whole, which keeps the shares exact in expectation. Null sources and languages are values
+    Without targets, each marginal's target is the corpus's own shares to the given power. The sample holds `rate`
+    of all tokens in expectation; cells that would need more than all their tokens are taken whole. Null sources and languages are values
     of their own. A null text has no tokens; documents in a cell without tokens have weight 0 and are not sampled.
     Repeated rows share their hash, and so their fate. An empty table gives an empty one.
     """
@@ -131,7 +146,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", *DIMENSIONS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(0.0)).alias("probability"), (uniform_hash(F.col("doc_id"), seed) < F.coalesce("probability", F.lit(0.0))).alias("sampled"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.9, rate: float | None = None, seed: int = 17, **how) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.9, rate: float = RATE, seed: int = 17, **how) -> DataFrame:
     """The sampled rows of docs, with the columns of docs. Cells are looked up by their values, so ids may repeat or be null."""
     keyed = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
     rows = _rows(docs, id_col, text_col, source_col, lang_col, topic)

@@ -412,3 +412,20 @@ def test_mixing_edges(spark):
     given |= {"lang": spark.createDataFrame([("en", 1.0)], "value string, share double"), "topic": spark.createDataFrame([("x", 1.0)], "value string, share double")}
     got = {r.source: r.weight for r in mixing.rake(cells, given).collect()}
     assert got == pytest.approx({"a": 5.0, "hot": 100 * 0.5 / 30, "b": 0.0})
+
+
+def test_mixing_small_cell(spark):
+    """A rare cell is taken whole and cuts nothing else; the expected tokens are the rate's."""
+    make = lambda *rows: spark.createDataFrame(list(rows), "source string, n long, weight double")
+    chances = lambda cells, rate: [r.probability for r in mixing._probabilities(cells, rate).orderBy("source").collect()]
+    large = [("a", 600, 0.9), ("b", 400, 1.15)]
+    alone, beside = chances(make(*large), mixing.RATE), chances(make(*large, ("c", 1, 40.0)), mixing.RATE)
+    assert alone == pytest.approx([0.45, 0.575]) and beside[2] == 1
+    assert all(x > 0.99 * y for x, y in zip(beside, alone, strict=False))
+    cells = make(("a", 10, 8.0), ("b", 100, 2.0), ("c", 1000, 0.72), ("d", 50, 0.0))
+    for rate, factor in [(0.5, 0.47 / 0.72), (0.05, 0.05)]:
+        got = chances(cells, rate)
+        assert sum(p * n for p, n in zip(got, (10, 100, 1000, 50), strict=True)) == pytest.approx(rate * 1160, rel=0.15 if rate < 0.1 else 1e-9)
+        assert got[2] == pytest.approx(0.72 * factor, rel=1e-9) if rate == 0.5 else got[2] > 0
+    assert chances(cells, 1.0) == [1, 1, 1, 0]
+    assert chances(make(), 0.5) == []
