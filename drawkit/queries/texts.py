@@ -61,6 +61,12 @@ def f18_match_text(spark, sf_dir):
     return rows.select("doc_id", T.match_text("text").alias("letters"))
 
 
+@query()
+def f18_match_text_all(spark, sf_dir):
+    """F18 over all documents, whatever their characters. Tested against brute force."""
+    return X.table(spark, sf_dir, "documents").select("doc_id", T.match_text("text").alias("letters"))
+
+
 @query("select event_id, case when event_id % 4 = 0 then '''=' || event_type when event_id % 4 = 1 then '-' || value when event_id % 4 = 2 then '''-' || event_type || '()' else event_type end as cell, case when event_id % 4 = 1 then '''-' || value when event_id % 4 = 0 then '''=' || event_type when event_id % 4 = 2 then '''-' || event_type || '()' else event_type end as strict from (select event_id, event_type, printf('%.2f', value) as value from events)")
 def f33_csv_safe(spark, sf_dir):
     """F32, F33."""
@@ -222,6 +228,13 @@ def f29_text_chunks(spark, sf_dir):
     return got.select("doc_id", (F.col("n") <= translate.MOST_CHARS).alias("whole"), F.regexp_replace("t", r"\s+", "").alias("letters"))
 
 
+@query()
+def f29_text_chunks_all(spark, sf_dir):
+    """F29 over all documents: every chunk. Tested against brute force."""
+    rows = X.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("masked"))
+    return translate.chunks(rows).select("doc_id", "chunk_no", "chunk")
+
+
 @query(X.ctes("segments") + " select drawing_id, ordinal, source_text as translated_text, 'translated' as status from segments where not regexp_matches(source_text, '[0-9+/±:-]') and false")
 def k9_translation_merge(spark, sf_dir):
     """K9: results of which none is new text: all are for review, so none is translated."""

@@ -281,3 +281,27 @@ def test_tables_refuse_unknown_columns(spark):
         translate.validate_request("xx", None)
     assert catalog.run_tool(rows, "nothing").first().success is False
     assert all(schemas.schema(n) for n in schemas.DDL)
+
+
+def given(spark, path, texts):
+    """A folder with a table documents of these texts."""
+    spark.createDataFrame([(i, x, "zh", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_texts_beyond_ascii(spark, tmp_path):
+    from drawkit.queries import QUERIES
+
+    texts = ["plain A_1!", "外框 é-Ü", "未注倒角。" * 1500, "Größe à côté！" * 600 + "完？", "a b. " * 1500, "𠮷 ① x" * 900]
+    folder = given(spark, tmp_path / "t", texts)
+    got = {r.doc_id: r.letters for r in QUERIES["f18_match_text_all"](spark, folder).collect()}
+    assert {i: got[i] for i in (0, 1, 2, 3, 4)} == {i: "".join(c for c in x if c.isalnum() or c == "_").lower() for i, x in enumerate(texts) if i < 5}
+    assert len(got) == len(texts)
+    parts = {}
+    for r in QUERIES["f29_text_chunks_all"](spark, folder).orderBy("doc_id", "chunk_no").collect():
+        parts.setdefault(r.doc_id, []).append(r.chunk)
+    assert sorted(parts) == list(range(len(texts)))
+    for i, x in enumerate(texts):
+        assert "".join("".join(parts[i]).split()) == "".join(x.split())
+        assert all(len(c) <= translate.MOST_CHARS for c in parts[i]) and (len(parts[i]) == 1) == (len(x) <= translate.MOST_CHARS)
+    assert all(c.endswith("。") for c in parts[2])
