@@ -224,6 +224,12 @@ def a14_glossary_hash(spark, sf_dir):
     return translate.glossary_hash(X.glossary(spark, sf_dir).where("not contains(source, '\"') and not contains(source, '\\\\')"))
 
 
+@query()
+def a14_glossary_hash_all(spark, sf_dir):
+    """A14 over all terms, those with quotes and backslashes included. Tested against Python's JSON."""
+    return translate.glossary_hash(X.glossary(spark, sf_dir))
+
+
 @query(S + " select id, source_text, source_hash from segments")
 def f16_source_hash(spark, sf_dir):
     return X.segments(spark, sf_dir).select("id", "source_text", T.source_hash(F.concat(F.lit("  "), "source_text", F.lit("\t"))).alias("source_hash"))
@@ -246,6 +252,13 @@ def w2_segment_ordinal(spark, sf_dir):
     return got.where("length(segment_key) = 9").select("drawing_id", "segment_key", F.col("ordinal").cast("long").alias("ordinal"), "source_hash")
 
 
+@query()
+def w2_segment_ordinal_all(spark, sf_dir):
+    """W2 over all segments, from the 1,000th of a drawing on too. Tested against brute force."""
+    rows = X.segments(spark, sf_dir).select("drawing_id", F.lit("extra").alias("section"), F.col("ordinal").alias("pos"), F.lit(0).alias("sub"), F.lit("l").alias("label"), "source_text")
+    return segments.number_segments(rows).select("drawing_id", "segment_key", F.col("ordinal").cast("long").alias("ordinal"), "source_hash")
+
+
 @query("select doc_id as drawing_id, length('【标题栏】') + length('【技术要求】') + length('【全文】') + 3 + 4 + length(text) as n from documents")
 def s13_ocr_text_export(spark, sf_dir):
     from ..sources.files import ocr_text
@@ -359,6 +372,12 @@ def f54_latex_strip(spark, sf_dir):
     return rows.select("id", T.latex_strip(F.concat(F.lit("| \\("), "source_text", F.lit("\\) |\t"))).alias("text"))
 
 
+@query()
+def f54_latex_strip_all(spark, sf_dir):
+    """F54 over all lines, with pipes and backslashes of their own. Tested against brute force."""
+    return X.segments(spark, sf_dir).select("id", T.latex_strip(F.concat(F.lit("| \\("), "source_text", F.lit("\\) |\t"))).alias("text"))
+
+
 @query("select doc_id as drawing_id, 'extra:001' as segment_key, '视图' || doc_id as source_text from documents")
 def x1_incremental_ingest(spark, sf_dir):
     """Drawings as a stream of files, segmented batch by batch; each drawing once."""

@@ -129,6 +129,12 @@ def f45_answer_clean(spark, sf_dir):
     return rows.select("conv_id", "turn", T.answer_clean("text").alias("answer"))
 
 
+@query()
+def f45_answer_clean_all(spark, sf_dir):
+    """F45 over all answers, Markdown and blank lines included. Tested against brute force."""
+    return X.table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.answer_clean("text").alias("answer"))
+
+
 @query("select doc_id, length('标题栏：') + length('技术要求：') + length('全文：') + 3 + 4 + length(text) as n from documents")
 def f46_qa_context(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.char_length(T.qa_context(F.lit(""), F.lit(""), "text")).cast("long").alias("n"))

@@ -305,3 +305,32 @@ def test_texts_beyond_ascii(spark, tmp_path):
         assert "".join("".join(parts[i]).split()) == "".join(x.split())
         assert all(len(c) <= translate.MOST_CHARS for c in parts[i]) and (len(parts[i]) == 1) == (len(x) <= translate.MOST_CHARS)
     assert all(c.endswith("。") for c in parts[2])
+
+
+def test_rows_to_be_changed_are_kept(spark, tmp_path):
+    import hashlib
+    import json
+    import re
+
+    from drawkit import fixtures as X
+    from drawkit.queries import QUERIES
+
+    folder = given(spark, tmp_path / "t", ["\n".join(f"line {i}" for i in range(1, 1203)), "a | b\nx \\\\(y\\\\) z\n\\\\[q\\\\] | r\nc:\\\\d"])
+    own = {r.id: r for r in X.segments(spark, folder).collect()}
+    strip = lambda x: re.sub(r"^[ \t|]+|[ \t|]+$", "", re.sub(r"\\\[(.*?)\\\]", r"\1", re.sub(r"\\\((.*?)\\\)", r"\1", x)))
+    got = {r.id: r.text for r in QUERIES["f54_latex_strip_all"](spark, folder).collect()}
+    assert got == {i: strip("| \\(" + r.source_text + "\\) |\t") for i, r in own.items()}
+    assert any("|" in r.source_text for r in own.values()) and any("\\" in r.source_text for r in own.values())
+    keys = {(r.drawing_id, r.ordinal): r.segment_key for r in QUERIES["w2_segment_ordinal_all"](spark, folder).collect()}
+    assert len(keys) == len(own) and "extra:1202" in keys.values()
+    assert all(k == f"extra:{o:03d}" for (_, o), k in keys.items())
+    answers = [(1, 0, "user", "# no"), (1, 1, "assistant", "## Head\n\n\n\n- **bold** `x`\n---\nend"), (2, 1, "assistant", "```sql\na|b_c\n```"), (3, 1, "assistant", "plain")]
+    spark.createDataFrame(answers, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    got = {r.conv_id: r.answer for r in QUERIES["f45_answer_clean_all"](spark, folder).collect()}
+    assert {k: v.strip() for k, v in got.items()} == {1: "Head\n\nbold x\nend", 2: "abc", 3: "plain"}
+    terms = [('a"b', "c\\d"), ("x", 'y"'), ("é", "z")]
+    rows = spark.createDataFrame([(s, t, True) for s, t in terms], "source string, target string, enabled boolean")
+    want = hashlib.sha256(json.dumps(sorted(map(list, terms)), ensure_ascii=False).encode()).hexdigest()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(X, "glossary", lambda *_: rows)
+        assert QUERIES["a14_glossary_hash_all"](spark, folder).first().glossary_hash == want
