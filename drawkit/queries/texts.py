@@ -250,6 +250,18 @@ def k9_translation_merge(spark, sf_dir):
     return got.join(own.select(F.col("id").alias("segment_id"), "drawing_id", F.col("ordinal").cast("long").alias("ordinal")), "segment_id").select("drawing_id", "ordinal", "translated_text", "status")
 
 
+@query()
+def k9_translation_merge_all(spark, sf_dir):
+    """K9 over every segment: all its chunks come back translated, and of some the markers, the new text or the call are lost. Tested by cases."""
+    rows = X.segments(spark, sf_dir)
+    k, c = F.col("id"), F.col("chunk")
+    clean = F.concat(F.lit("new text "), F.regexp_replace(c, "[㐀-鿿]+", " "))
+    text = F.when(k % 7 == 0, F.lit("lost text")).when(k % 11 == 0, c).otherwise(clean)
+    results = translate.chunks(translate.mask_tokens(rows)).select(k.alias("segment_id"), "chunk_no", text.alias("translated"), F.when(k % 13 == 0, "timeout").alias("error"))
+    got = jobs.translation_merge(results, rows)
+    return rows.select(k.alias("segment_id"), "drawing_id", F.col("ordinal").cast("long").alias("ordinal")).join(got, "segment_id", "left").select("drawing_id", "ordinal", "translated_text", "status", "issues", "error")
+
+
 @query(X.ctes("segments", "translations") + " select s.id, s.translatable from segments s anti join (select segment_id as id, source_hash from translations where status <> 'failed') t using (id, source_hash)")
 def k8_translation_queue(spark, sf_dir):
     """K8: ids to translate (one chunk each here) and to skip."""

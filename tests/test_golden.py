@@ -334,3 +334,21 @@ def test_rows_to_be_changed_are_kept(spark, tmp_path):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(X, "glossary", lambda *_: rows)
         assert QUERIES["a14_glossary_hash_all"](spark, folder).first().glossary_hash == want
+
+
+def test_translation_merge_of_all_segments(spark, tmp_path):
+    from drawkit.queries import QUERIES
+
+    # Drawing 0: ids are ordinals. Two texts of several chunks, one of them with tokens in each.
+    lines = ["line one", "bolt M12x1.5 deep", "plain words", "words; " * 900, "hole 25 mm; " * 500, "螺纹 M6 深", "six", "seam M8", "eight", "nine", "ten", "same words", "twelve", "thirteen M10"]
+    folder = given(spark, tmp_path / "t", ["\n".join(lines)])
+    got = {r.ordinal: r for r in QUERIES["k9_translation_merge_all"](spark, folder).collect()}
+    assert len(got) == len(lines)
+    assert {i for i, r in got.items() if r.status == "failed"} == {0, 13}
+    assert {i: got[i].status for i in range(1, 6)} == dict.fromkeys(range(1, 6), "translated")
+    assert got[1].translated_text == "new text bolt M12x1.5 deep" and got[5].translated_text.split() == "new text M6".split()
+    for i in (3, 4):
+        n = got[i].translated_text.count("new text ")
+        assert n > 1 and got[i].translated_text.replace("new text ", "").split() == lines[i].split()
+    assert got[7].status == "needs_review" and "占位符丢失：M8" in got[7].issues and got[7].translated_text == "lost text"
+    assert got[11].status == "needs_review" and "译文与原文相同" in got[11].issues
