@@ -133,11 +133,11 @@ def _cells(most_rows: int):
         node = np.stack((edge[:-1], edge[1:]), 1)
         which, of = side[node[:, 0]], cell[node[:, 0]]
         # Side 2 is a chunk joined with itself; sides 0 and 1 of a cell are joined with each other.
-        own = node[which == 2]
+        # A chunk of one fingerprint has no link with itself, but two such chunks may have one with each other.
+        own = node[(which == 2) & (node[:, 1] - node[:, 0] > 1)]
         first = np.flatnonzero((which[:-1] == 0) & (which[1:] == 1) & (of[:-1] == of[1:])) if len(which) > 1 else np.empty(0, np.int64)
         left, right = np.concatenate((own, node[first])), np.concatenate((own, node[first + 1]))
-        many = (left[:, 1] - left[:, 0] + right[:, 1] - right[:, 0] > 2)
-        root = forest(len(fp), trie_links(values, left[many], right[many]))
+        root = forest(len(fp), trie_links(values, left, right))
         at = np.flatnonzero(root != np.arange(len(fp)))
         return list(zip(fp[at].tolist(), fp[root[at]].tolist(), strict=True))
 

@@ -333,6 +333,21 @@ def test_simhash_links_of_dense_balls(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_simhash_links_of_single_chunks(spark, most):
+    base = [0x0123456789ABCDEF, 0xFEDCBA9876543210, 0x5555AAAA0F0F3333]
+    values = [v ^ m for v in base for m in (0, 1, 1 << 17, 1 << 40 | 1 << 63)]
+    prints = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(prints, most)).collect()}
+    groups = defaultdict(set)
+    for v in values:
+        groups[roots.get(simhash.signed(v), simhash.signed(v))].add(v)
+    want = defaultdict(set)
+    for v, (_, _, c) in zip(values, slow_components([(i, v) for i, v in enumerate(values)]), strict=True):
+        want[c].add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_simhash_empty(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0
 
