@@ -122,6 +122,85 @@ def test_extract_deep_and_broken():
         html_extract.extract(page)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content has-sidebar'><p>It is, well, text.</p><p>More.</p></div>", "It is, well, text.\nMore."),
+        ("<div id='page-with-menu'><p>It is, well, text.</p><p>More.</p></div>", "It is, well, text.\nMore."),
+        ("<div class='sidebar-right'><div><p>It is, well, text.</p><p>More.</p></div><div class='sidebar'><p>Side, side.</p></div></div>", "It is, well, text.\nMore."),
+        ("<article><h1>T</h1><p>Some, text.</p><h2>References</h2><ul><li><a href=1>First one</a></li><li><a href=2>Second one</a></li><li><a href=3>Third one</a></li></ul></article>", "T\nSome, text.\nReferences\nFirst one\nSecond one\nThird one"),
+        ("<body><ul><li><a href=1>Home page</a><li><a href=2>About us</a><li><a href=3>Contact us</a></ul><p>Text, and text.</p></body>", "Text, and text."),
+        ("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, it holds.</p></article>", "Where x=1, it holds."),
+        ("<div class=c><p>Main, text here.</p></div><div class=comments><article><p>First, long, long, long, comment.</p></article><article><p>Me, too.</p></article></div>", "Main, text here."),
+        ("<div>" * 300 + "<p>one, two</p><p>three</p><div class=siteMenu><a href=1>m</a></div><div class=comments>first!</div>" + "</div>" * 300, "one, two\nthree"),
+        ("<article><b><p>one</b> two</p><p>a < b</p><p title='x > y'>three</article>", "one two\na < b\nthree"),
+        ("<p>one &#65;&#" + "9" * 5000 + "; two", "one A\ufffd two"),
+    ],
+)
+def test_extract_whole_articles(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_extract_takes_time_in_proportion():
+    import time
+
+    n = 400_000
+    for part, tail in [("<a ", ""), ("<b>", "</i>" * (n // 8)), ("<div>", "x"), ("<", ""), ('<a x="', ""), ("<!--", ""), ("<b><div>", "</b>" * 1000 + "x"), ("<ul><li>", "t"), ("<table><tr><td>", "t"), ("<p><button>", "<div>" * (n // 8)), ("<div></p></b></div>", "x"), ("<a>", "x"), ("<div><a href=x>link</a>", "")]:
+        began = time.process_time()
+        html_extract.extract(part * (n // len(part)) + tail)
+        assert time.process_time() - began < 12, part
+
+
+def test_tree_scores_against_plain_definition():
+    """Scores of random pages, each block and each element above it looked at anew."""
+    rng = random.Random(11)
+    H = html_extract
+    for _ in range(150):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<section>", "</section>", "<article>", "</article>", "<td>", "<ul><li>", "</ul>", "<h2>", "</h2>", "<a href=x>", "</a>", "<b>", "</b>", "some, words, here ", "text " * 40, "<nav>menu</nav>"]) for _ in range(40))
+        items, nodes = H.parse(page)
+        H.prune(items, nodes)
+        H.score(nodes)
+        want = {id(n): 0.0 for n in nodes}
+        own = {id(n): [0, 0, 0] for n in nodes}
+        stack = []
+        for x in items:
+            if isinstance(x, str):
+                if any(n.cut for n in stack):
+                    continue
+                b = next(n for n in reversed(stack) if n.tag in H.BLOCK)
+                k = len(x.strip())
+                own[id(b)][0] += k
+                own[id(b)][1] += k * any(n.tag == "a" for n in stack)
+                own[id(b)][2] += x.count(",")
+            elif stack and stack[-1] is x:
+                stack.pop()
+            else:
+                stack.append(x)
+        for n in nodes:
+            k, links, commas = own[id(n)]
+            if not k or n.tag in H.HEADINGS:
+                continue
+            worth = (1 + commas + min(3, k / 100)) * (1 - links / k)
+            above = []
+            up = n
+            while up is not None:
+                above.append(up)
+                up = up.parent
+            article = next((x for x in above if x.tag in ("article", "main")), None)
+            chain = [x for x in above if x.tag in H.BLOCK][n.tag in ("p", "li") :]
+            for share, x in zip((1, 0.5, 0.25, 0.125), chain, strict=False):
+                if x is not article:
+                    want[id(x)] += worth * share
+            if article is not None:
+                want[id(article)] += worth
+        assert all(n.score == pytest.approx(want[id(n)]) for n in nodes)
+        best = max((n for n in nodes if n.tag in H.BLOCK and not n.cut and n.tag not in H.HEADINGS and n.tag not in ("p", "li", "#root")), key=lambda n: want[id(n)] * (1 - n.density), default=None)
+        if best is not None and want[id(best)] * (1 - best.density) > 0:
+            if best.article is not None and 4 * best.article.worth >= best.worth:
+                best = best.article
+            assert best in H.choose(items, nodes)
+
+
 def test_extract_pages(spark):
     df = pages(spark)
     got = {r.page_id: r for r in html_extract.extract_pages(df).collect()}
