@@ -1,9 +1,11 @@
 """WARC archives of Zstandard records under a dictionary, written and read by Spark.
 
-An archive is one part file. Its first frame is skippable and holds a dictionary that was built from the archive's own
-records; each record follows as a frame of its own, so one record can be read without the others. Spark's text sink
-writes the frames (a column of raw bytes), with an empty skippable frame as the line separator, so that the files are
-committed, retried and placed like any other output; the binaryFile source reads them.
+An archive is one file. Its first frame is skippable and holds a dictionary that was trained on the archive's own
+records; each record follows as a frame of its own, so one record can be read without the others. A task begins a new
+archive, with a new dictionary, when one has reached its size, so that no file and no row that holds one grows with the
+table. Spark's text sink writes the archives, one row and file each, with an empty skippable frame as the line end, so
+that they are committed, retried and placed like any other output; the binaryFile source reads them. The sink copies a
+string's bytes as they are; the reader holds every payload to its digest, so a change would not go unseen.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, rebatch, shared_folder
+from ._common import as_bytes, rebatch, shared_folder, stored
 
 #: Fixed values of the formats: skippable frames with and without a dictionary, the magic number of a data frame.
 DICTIONARY_FRAME, EMPTY_FRAME, DATA_FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: The empty skippable frame, as text: all of its bytes are ASCII.
 SEPARATOR = struct.pack("<II", EMPTY_FRAME, 0).decode("ascii")
 LEAST_REVISIT = 1000
+#: Duplicated payloads up to this many are known to every task: 40 bytes each, 8 MB.
+MOST_BROADCAST = 200_000
 
 
 def record_id(page_id: int | None) -> str:
@@ -45,9 +49,10 @@ def page_of(urn: str | None) -> int | None:
 
 
 def warc_record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit holds no payload, but the full payload's digest and length."""
+    """One WARC/1.1 record with an HTTP message. A revisit's message has no body; its headers name the full payload's length and digest."""
     revisit = refers_to is not None
-    block = b"" if revisit else payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     uri = "" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
@@ -55,8 +60,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, sha1: byte
         f"WARC-Record-ID: {record_id(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{sha1.hex()}",
-        f"WARC-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
     ]
     if url is not None:
         head.append(f"WARC-Target-URI: {uri}")
@@ -66,47 +70,55 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, sha1: byte
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """The record's fields, its HTTP message's fields and body."""
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     fields = dict(line.split(": ", 1) for line in lines[1:])
     n = int(fields["Content-Length"])
     if lines[0] != "WARC/1.1" or rest[n:] != b"\r\n\r\n":
         raise ValueError("not a WARC record")
-    return fields, rest[:n]
-
-
-def build_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the samples' own bytes where they are too few to train on."""
-    total = sum(map(len, samples))
-    if len(samples) >= 16 and total >= 8 * size:
-        try:
-            return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[-size:]
-
-
-def frames(records: Iterable[bytes], *, dictionary_bytes: int = 32 << 10, sample_records: int = 400, sample_bytes: int = 4 << 20, level: int = 3) -> Iterator[bytes]:
-    """The frames of one archive. The dictionary is built from its first records, of a bounded number and size."""
-    held: list[bytes] = []
-    size, compress = 0, None
-    source = iter(records)
-    for record in source:
-        held.append(record)
-        size += len(record)
-        if len(held) >= sample_records or size >= sample_bytes:
-            break
-    if not held:
-        return
-    dictionary = build_dictionary([r[: 128 << 10] for r in held], dictionary_bytes)
-    yield struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
-    compress = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True).compress
-    for record in held:
-        yield compress(record)
-    held.clear()
-    for record in source:
-        yield compress(record)
+    http, _, body = rest[:n].partition(b"\r\n\r\n")
+    return fields, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), body
+
+
+def build_dictionary(samples: list[bytes], size: int, most_bytes: int) -> bytes:
+    """A trained dictionary of at most `size` bytes. It is trained on pieces of the samples, spread evenly if they exceed most_bytes."""
+    data = b"".join(samples)
+    each = max(64, min(1024, len(data) // 64))
+    step = each * max(1, -(-len(data) // most_bytes))
+    pieces = [data[i : i + each] for i in range(0, len(data), step)]
+    try:
+        return zstandard.train_dictionary(max(256, min(size, len(data) // 4)), pieces, k=256, d=8).as_bytes()
+    except zstandard.ZstdError:  # of samples that repeat too much, the headers are left
+        return zstandard.train_dictionary(256, [x[i : i + 64] for x in samples[:64] for i in range(0, 512, 64)], k=64, d=8).as_bytes()
+
+
+def archives(records: Iterable[bytes], *, archive_bytes: int = 64 << 20, dictionary_bytes: int = 32 << 10, sample_records: int = 400, sample_bytes: int = 4 << 20, level: int = 3) -> Iterator[bytes]:
+    """Whole archives; one ends with the record that reaches archive_bytes.
+
+    The dictionary is trained on the archive's first records, of a bounded number and size; none is left out of it.
+    """
+    source, sample_bytes = iter(records), min(sample_bytes, archive_bytes)
+    while True:
+        held: list[bytes] = []
+        size = 0
+        for record in source:
+            held.append(record)
+            size += len(record)
+            if len(held) >= sample_records or size >= sample_bytes:
+                break
+        if not held:
+            return
+        dictionary = build_dictionary(held, dictionary_bytes, sample_bytes)
+        compress = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True).compress
+        out = [struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary, *map(compress, held)]
+        size = sum(map(len, out))
+        held.clear()
+        while size < archive_bytes and (record := next(source, None)) is not None:
+            out.append(compress(record))
+            size += len(out[-1])
+        yield b"".join(out)
 
 
 def read_archive(data: bytes) -> Iterator[bytes]:
@@ -137,23 +149,32 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         raise ValueError("an archive ends inside a frame")
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
+def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(page_id, url, payload, sha1, refers_to). Of equal payloads of at least `least` bytes the largest id is the response.
 
     A null payload counts as empty. Rows that repeat the response's id are responses, too; rows without an id are never
-    revisits. Payloads are equal if SHA-256 and length are. One payload may fill a third of the table: the groups
-    are aggregated in the map tasks first, and the join back is one that adaptive execution splits.
+    revisits. Payloads are equal if their SHA-256 is. One payload may fill a third of the table.
+
+    Ids and digests alone find the groups, aggregated in the map tasks first. Up to most_broadcast groups are sent to
+    the pages, which stay where they are. More are joined by the revisits' ids and digests, which spread however large
+    a group is; pages that are no revisit for sure are not joined at all.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    latest = rows.where(F.col("key").isNotNull()).groupBy(F.col("key")).agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "latest")
+    rows = rows.withColumn("key", F.when((F.octet_length("payload") >= least) & F.col("page_id").isNotNull(), F.unhex(F.sha2("payload", 256))))
+    thin = stored(rows.where(F.col("key").isNotNull()).select("page_id", "key"))
+    latest = stored(thin.groupBy("key").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "latest"))
+    if latest.count() <= most_broadcast:
+        rows = rows.join(F.broadcast(latest), "key", "left")
+    else:
+        again = stored(thin.join(latest, "key").where("page_id <> latest").distinct())
+        rows = rows.where(F.col("key").isNotNull()).join(again, ["page_id", "key"], "left").unionByName(rows.where(F.col("key").isNull()).withColumn("latest", F.lit(None).cast("long")))
     refers = F.when(F.col("latest") != F.col("page_id"), F.col("latest"))
-    return rows.join(latest, "key", "left").select("page_id", "url", "payload", F.unhex(F.sha1("payload")).alias("sha1"), refers.alias("refers_to"))
+    return rows.select("page_id", "url", "payload", F.unhex(F.sha1("payload")).alias("sha1"), refers.alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, path: str, **how) -> None:
-    """Archives under path, one per partition of rows (page_id, url, payload, sha1, refers_to)."""
-    schema = pa.schema([("frame", pa.binary())])
+    """Archives under path, of rows (page_id, url, payload, sha1, refers_to)."""
+    schema = pa.schema([("archive", pa.binary())])
 
     def run(batches):
         def records():
@@ -161,11 +182,11 @@ def write_archives(rows: DataFrame, path: str, **how) -> None:
                 for page_id, url, payload, sha1, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield warc_record(page_id, url, payload, sha1, refers_to)
 
-        return rebatch(((x,) for x in frames(records(), **how)), schema)
+        for archive in archives(records(), **how):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], schema=schema)
 
-    frame = rows.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, "frame binary")
-    # The sink copies a string's bytes as they are; the cast doesn't look at them either.
-    frame.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    made = rows.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, "archive binary")
+    made.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -180,11 +201,11 @@ def read_archives(spark, path: str) -> DataFrame:
         def rows():
             for batch in batches:
                 for content in as_bytes(batch.column(0)):
-                    for fields, block in map(parse_record, read_archive(content)):
-                        kind, digest, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Payload-Length"])
-                        if kind == "response" and (len(block) != n or hashlib.sha1(block).hexdigest() != digest):
+                    for fields, http, body in map(parse_record, read_archive(content)):
+                        kind, digest, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"])
+                        if kind == "response" and (len(body) != n or hashlib.sha1(body).hexdigest() != digest):
                             raise ValueError("a record's payload isn't what its header says")
-                        yield page_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), block if kind == "response" else None, n, digest, kind, page_of(fields.get("WARC-Refers-To"))
+                        yield page_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), body if kind == "response" else None, n, digest, kind, page_of(fields.get("WARC-Refers-To"))
 
         return rebatch(rows(), schema)
 

@@ -69,13 +69,15 @@ def test_warc_revisit_of_a_copy(spark):
 def test_warc_files(spark, tmp_path):
     path = f"file://{tmp_path}/warc"
     df = pages(spark)
-    warc.write_archives(warc.with_revisits(df.repartition(2)), path, dictionary_bytes=4096)
+    warc.write_archives(warc.with_revisits(df.repartition(2)), path, dictionary_bytes=4096, archive_bytes=10_000)
     files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) > 6
     total = 0
     for f in files:
         data = f.read_bytes()
-        assert data[:4] == bytes.fromhex("5d2a4d18")
+        assert data[:4] == bytes.fromhex("5d2a4d18") and data[8:12] == bytes.fromhex("37a430ec") and len(data) < 30_000
         records = [warc.parse_record(x) for x in warc.read_archive(data)]
+        assert all(r["Content-Type"] == "application/http; msgtype=response" for r, _, _ in records)
         total += len(records)
         with pytest.raises(ValueError, match="ends inside|no frame"):
             list(warc.read_archive(data[:-11]))
@@ -83,6 +85,21 @@ def test_warc_files(spark, tmp_path):
     assert warc.archive_pages(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("payloads", [[b""], [b"z" * 300_000], [b""] * 1000, [b"x"] * 3, [bytes(range(256)) * 20_000, b"y"]])
+def test_warc_dictionaries_are_real(payloads):
+    records = [warc.warc_record(i, None, p, hashlib.sha1(p).digest(), None) for i, p in enumerate(payloads)]
+    made = list(warc.archives(iter(records)))
+    assert all(a[8:12] == bytes.fromhex("37a430ec") for a in made)
+    assert [x for a in made for x in warc.read_archive(a)] == records
+
+
+def test_warc_many_groups(spark):
+    """Beyond what is broadcast the same records are revisits."""
+    df = edge(spark).unionByName(pages(spark).limit(20).withColumns({"text": F.lit(""), "host": F.lit(0), "key": F.lit(1), "lines": F.lit("")}))
+    cols = ["page_id", "url", "payload", "refers_to"]
+    assert tuples(warc.with_revisits(df, most_broadcast=0), *cols) == tuples(warc.with_revisits(df), *cols)
+
+
 def test_warc_ids():
     for i in (0, 1, 2**63 - 1, -1, -(2**63), 123456789):
         assert warc.page_of(warc.record_id(i)) == (i or None) or i == 0
