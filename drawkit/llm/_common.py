@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: White space of the contracts, for Java and RE2 patterns: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -18,13 +20,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the cluster names none, as in local tests, a temporary one is set for the session.
+    Where a local session names none, as in tests, a temporary one is set for it. On a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             base = at.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)
@@ -38,14 +42,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
-    """docs without the ids that verdicts (id, stays) give no row to stay for. Rows without an id share one verdict.
+def keep_rows(docs: DataFrame, gone: DataFrame, twice: DataFrame, key: dict[str, Column]) -> DataFrame:
+    """The rows of docs whose key is not in gone; of those with one key in twice a single one. Same columns, of any names.
 
-    The ids that go are written first. Their size is then known to Spark, which broadcasts them below its threshold, so
-    that the texts stay where they are, and else joins by id, which no hot key can skew.
+    key: expressions over docs by name; gone and twice have these columns, and may hold nulls in them. gone is written
+    first: its size is then known to Spark, which broadcasts it below its threshold, so that the texts stay where they
+    are, and else joins by the key. twice is empty unless rows repeat; only such rows are dealt by their key, and they
+    are folded in the map tasks first.
     """
-    gone = stored(verdicts.groupBy("id").agg(F.bool_or("stays").alias("stays")).where(~F.col("stays")).select(F.col("id").alias("_gone")))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in key.items()))
+    gone, twice = stored(gone.distinct()), stored(twice.distinct())
+    same = lambda other: reduce(lambda a, b: a & b, (held[k].eqNullSafe(other[k]) for k in key))
+    stays = held.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return stays.select("row.*")
+    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    order = F.xxhash64(*(F.col(f"row.`{c}`") for c in plain))
+    one = held.join(twice, same(twice), "left_semi").groupBy(*key).agg(F.min_by("row", order).alias("row"))
+    return stays.join(twice, same(twice), "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

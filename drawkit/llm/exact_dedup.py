@@ -22,10 +22,10 @@ from itertools import count
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, rebatch, shared_folder, text_or_empty, without
+from ._common import as_bytes, keep_rows, rebatch, shared_folder, stored, text_or_empty
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -82,8 +82,8 @@ class ContentTable:
             self.slots[at] = entry
 
 
-RECORD = pa.schema([("sha", pa.binary()), ("content", pa.binary()), ("n_cp", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("spilled", pa.bool_())])
-RECORD_DDL = "sha binary, content binary, n_cp long, id long, size long, spilled boolean"
+RECORD = pa.schema([("sha", pa.binary()), ("content", pa.binary()), ("n_cp", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("ties", pa.int64()), ("spilled", pa.bool_())])
+RECORD_DDL = "sha binary, content binary, n_cp long, id long, size long, ties long, spilled boolean"
 
 
 def better(a: tuple, b: tuple) -> bool:
@@ -94,28 +94,30 @@ def better(a: tuple, b: tuple) -> bool:
 
 
 class _Groups:
-    """A table with the row that stays and the count of each entry."""
+    """A table with the row that stays, the count of each entry, and how many rows are as good as the one that stays."""
 
     def __init__(self, most_bytes: int) -> None:
         self.table = ContentTable(most_bytes)
         self.rows: list[list] = []
 
-    def put(self, content: bytes, n_cp: int, row_id: int | None, size: int) -> bool:
+    def put(self, content: bytes, n_cp: int, row_id: int | None, size: int, ties: int) -> bool:
         entry, new = self.table.add(content)
         if entry is None:
             return False
         if new:
-            self.rows.append([n_cp, row_id, size])
+            self.rows.append([n_cp, row_id, size, ties])
         else:
             row = self.rows[entry]
             row[2] += size
             if better((n_cp, row_id), (row[0], row[1])):
-                row[:2] = n_cp, row_id
+                row[0], row[1], row[3] = n_cp, row_id, ties
+            elif (n_cp, row_id) == (row[0], row[1]):
+                row[3] += ties
         return True
 
     def records(self, with_content: bool) -> Iterator[tuple]:
-        for content, (n_cp, row_id, size) in zip(self.table.contents, self.rows, strict=True):
-            yield hashlib.sha256(content).digest(), content if with_content else None, n_cp, row_id, size, False
+        for content, (n_cp, row_id, size, ties) in zip(self.table.contents, self.rows, strict=True):
+            yield hashlib.sha256(content).digest(), content if with_content else None, n_cp, row_id, size, ties, False
 
 
 def _fold(most_bytes: int):
@@ -125,10 +127,10 @@ def _fold(most_bytes: int):
             for batch in batches:
                 for row_id, text, n_cp in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), pc.utf8_length(batch.column(1)).to_pylist(), strict=True):
                     content = text.translate(None, BLANKS)
-                    if not held.put(content, n_cp, row_id, 1):
+                    if not held.put(content, n_cp, row_id, 1, 1):
                         yield from held.records(True)
                         held = _Groups(most_bytes)
-                        held.put(content, n_cp, row_id, 1)
+                        held.put(content, n_cp, row_id, 1, 1)
             yield from held.records(True)
 
         return rebatch(rows(), RECORD)
@@ -141,9 +143,9 @@ def _bucket(most_bytes: int):
         def rows():
             held = _Groups(most_bytes)
             for batch in batches:
-                for sha, content, n_cp, row_id, size, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if not held.put(content, n_cp, row_id, size):
-                        yield sha, content, n_cp, row_id, size, True
+                for sha, content, n_cp, row_id, size, ties, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if not held.put(content, n_cp, row_id, size, ties):
+                        yield sha, content, n_cp, row_id, size, ties, True
             yield from held.records(False)
 
         return rebatch(rows(), RECORD)
@@ -158,7 +160,10 @@ def _digests(batches):
 
 
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_bytes: int = 64 << 20, fold_bytes: int = 16 << 20) -> DataFrame:
-    """(sha, keep_id, keep_cp, size) of every group of equal texts. most_bytes: contents that a bucket's table holds."""
+    """(sha, keep_id, keep_cp, size, ties) of every group of equal texts.
+
+    ties: rows that have the id and code points of the one that stays. most_bytes: contents that a bucket's table holds.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_fold(fold_bytes), RECORD_DDL)
     groups = None
@@ -167,7 +172,7 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # Another hash at each level deals anew what met in one bucket; the number of buckets is the session's.
         rows.repartition(F.xxhash64("sha", F.lit(level))).mapInArrow(_bucket(most_bytes), RECORD_DDL).write.parquet(path)
         out = spark.read.schema(RECORD_DDL).parquet(path)
-        done = out.where(~F.col("spilled")).select("sha", F.col("id").alias("keep_id"), F.col("n_cp").alias("keep_cp"), "size")
+        done = out.where(~F.col("spilled")).select("sha", F.col("id").alias("keep_id"), F.col("n_cp").alias("keep_cp"), "size", "ties")
         groups = done if groups is None else groups.unionByName(done)
         rows = out.where("spilled")
         if rows.isEmpty():
@@ -178,33 +183,54 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: the input's columns, then keep_id, group_size, kept and text_sha256.
 
     Input columns of these four names are replaced. A null text counts as empty, and empty texts are one group. Of
-    equal texts the row with the most code points stays, then the smallest id; rows without an id come last. Repeated
-    rows (same id and code points) share their fate: all of them are kept if one is. An empty table gives an empty one.
+    equal texts the row with the most code points stays, then the smallest id; rows without an id come last. Of rows
+    with one id, text and length exactly one is kept. An empty table gives an empty one.
     """
     names = ["keep_id", "group_size", "kept", "text_sha256"]
-    groups = content_groups(docs, id_col, text_col, most_bytes=most_bytes, fold_bytes=fold_bytes)
-    return _with_groups(docs, groups, id_col, text_col, [c for c in docs.columns if c not in names])
+    rest = [c for c in docs.columns if c not in names]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), *_key_columns(text_col))
+    return _judged(rows, content_groups(docs, id_col, text_col, most_bytes=most_bytes, fold_bytes=fold_bytes)).select("row.*", *names)
+
 
+def _key_columns(text_col: str) -> list[Column]:
+    text = text_or_empty(text_col)
+    return [F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256)).alias("sha"), F.char_length(text).cast("long").alias("n_cp")]
 
-def _with_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
-    """Joins groups by the digest of each row's text; only the named columns travel."""
-    text = F.regexp_replace(text_or_empty(text_col), "[\\x20\\x09-\\x0D]+", "")
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.unhex(F.sha2(text, 256)).alias("_sha"), F.char_length(text_or_empty(text_col)).cast("long").alias("_cp"))
-    joined = row.join(groups.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("keep_cp").alias("_keep_cp"), F.col("size").alias("_size")), "_sha", "left")
-    kept = F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_keep")) & (F.col("_cp") == F.col("_keep_cp"))
-    return joined.select("_row.*", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
+
+def _judged(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (id, sha, n_cp, ...) with keep_id, group_size, kept and text_sha256.
+
+    Only where rows tie for staying are rows numbered, and kept in the shared folder for that, so that one of them is chosen.
+    """
+    best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
+    ties = groups.where("ties > 1").select(F.col("sha").alias("tied"))
+    if ties.isEmpty():
+        out = rows.join(groups, "sha", "left").withColumn("kept", best)
+    else:
+        rows = stored(rows.withColumn("_nth", F.monotonically_increasing_id()))
+        out = rows.join(groups, "sha", "left").withColumn("kept", best)
+        first = stored(out.where("kept and ties > 1").groupBy(F.col("sha").alias("tied")).agg(F.min("_nth").alias("_first")))
+        out = out.join(first, F.col("sha") == F.col("tied"), "left").withColumn("kept", F.col("kept") & (F.col("_first").isNull() | (F.col("_nth") == F.col("_first"))))
+    return out.withColumn("group_size", F.col("size")).withColumn("text_sha256", F.lower(F.hex("sha")))
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """exact_dedup without the input's other columns: (id, keep_id, group_size, kept, text_sha256); no text is shuffled twice."""
     groups = content_groups(docs, id_col, text_col, **limits)
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_digests, "id long, sha binary, n_cp long")
-    joined = thin.join(groups, "sha", "left")
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
-    return joined.select(F.col("id").alias(id_col), "keep_id", F.col("size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    thin = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_digests, "id long, sha binary, n_cp long")
+    return _judged(thin, groups).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    report = dedup_report(docs, id_col, text_col, **limits)
-    return without(docs, report.select(F.col(id_col).alias("id"), F.col("kept").alias("stays")), id_col)
+    """The rows of docs that stay, one of each group of equal texts, with the columns of docs, of any names.
+
+    Rows go by id, text and length, not by id: ids may repeat or be null. Of rows that agree in these three one stays.
+    Null and empty texts are one group. An empty table gives an empty one.
+    """
+    groups = content_groups(docs, id_col, text_col, **limits)
+    thin = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_digests, "id long, sha binary, n_cp long")
+    best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))
+    gone = thin.join(groups.where("size > 1"), "sha").where(~best).select("id", "sha", "n_cp")
+    twice = groups.where("ties > 1").select(F.col("keep_id").alias("id"), "sha", F.col("keep_cp").alias("n_cp"))
+    sha, n_cp = _key_columns(text_col)
+    return keep_rows(docs, gone, twice, {"id": F.col(f"`{id_col}`").cast("long"), "sha": sha, "n_cp": n_cp})

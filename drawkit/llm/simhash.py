@@ -1,26 +1,32 @@
 """SimHash near-duplicates: 64-bit fingerprints linked by a binary trie self-join, then connected components.
 
-Two fingerprints that differ in at most 3 bits agree on at least one of their four 16-bit blocks. Each distinct
-fingerprint goes to the bucket of each of its blocks; within a bucket the trie of the fingerprints is joined with
-itself: pairs of nodes descend together, their differing bits add up, and a pair beyond the budget is dropped with
-all below it. A bucket of more than `most` fingerprints is cut into chunks, and each pair of chunks is a cell of its
-own: no link is lost, and no task holds more than two chunks of a bucket. A cell sends on a spanning forest of its
-links, not the links, so that thousands of near copies cost a row each.
+Two fingerprints that differ in at most 3 bits agree on at least one of their four 16-bit blocks, and on at least three
+of six blocks of 10 or 11 bits. Each distinct fingerprint goes to the bucket of each of its four blocks, or, where
+these would grow large, of each of the twenty choices of three blocks, whose buckets are 65,536 times as many. Within
+a bucket the trie of the fingerprints is joined with itself: pairs of nodes descend together, their differing bits add
+up, and a pair beyond the budget is dropped with all below it. A bucket of more than `most` fingerprints is cut into
+chunks, and each pair of chunks is a cell of its own: no link is lost, and no task holds more than two chunks of a
+bucket. A cell sends on a spanning forest of its links, not the links, so that thousands of near copies cost a row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, rebatch, stored, text_or_empty, without
+from ._common import as_bytes, keep_rows, rebatch, stored, text_or_empty
 
-BITS, BUDGET, BLOCKS = 64, 3, 4
+BITS, BUDGET = 64, 3
+#: Fingerprints of one bucket that a task joins at once. Their trie takes a few MB.
+MOST = 1 << 16
+#: Distinct fingerprints from which on three of six blocks make the buckets; one of four then has 64 of them or more.
+MANY = 1 << 22
 
 
 def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
@@ -47,10 +53,18 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def masks(n_blocks: int, n_equal: int) -> list[int]:
+    """The bits of each choice of n_equal of n_blocks blocks, as signed numbers."""
+    edge = [round(i * BITS / n_blocks) for i in range(n_blocks + 1)]
+    each = [(1 << b) - (1 << a) for a, b in pairwise(edge)]
+    return [signed(sum(choice)) for choice in combinations(each, n_equal)]
+
+
 def _fingerprints(batches):
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """Batches whose last column is the text; it gives way to the fingerprint."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(fingerprint(x)) for x in as_bytes(batch.column(1))], pa.int64())], schema=schema)
+        fp = pa.array([signed(fingerprint(x)) for x in as_bytes(batch.columns[-1])], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*batch.schema.names[:-1], "fp"])
 
 
 def trie_links(values: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int = BUDGET, most_pairs: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,10 +176,12 @@ def _cells(most_rows: int):
     return run
 
 
-def fingerprint_links(prints: DataFrame, most: int = 4096) -> DataFrame:
+def fingerprint_links(prints: DataFrame, most: int = MOST, many: int = MANY) -> DataFrame:
     """Links (u > v by their order as found) that connect what Hamming distance 3 connects. prints: distinct fp."""
-    block = F.explode(F.array(*(F.lit(k) for k in range(BLOCKS)))).alias("k")
-    rows = prints.select("fp", block).select("fp", F.expr(f"(shiftrightunsigned(fp, k * 16) & 65535) * {BLOCKS} + k").alias("bucket"))
+    chosen = masks(4, 1) if prints.count() < many else masks(6, 3)
+    block = F.explode(F.array(*map(F.lit, chosen))).alias("mask")
+    # Buckets are numbered by a hash; two that meet are one bucket, which costs time only.
+    rows = prints.select("fp", block).select("fp", F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "mask").alias("bucket"))
     # Only buckets beyond `most` are listed; with so many fingerprints each, they are few beside the rows.
     large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("g"))
     rows = rows.join(large, "bucket", "left").withColumn("g", F.coalesce("g", F.lit(1)))
@@ -200,25 +216,40 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most: int = 4096) -> DataFrame:
-    """(id, fp, component): one row per input row; component is the smallest id that links reach.
-
-    A null text counts as empty; texts without words have fingerprint 0 and are linked like any other. Rows of equal
-    fingerprint are one node, however many they are. Null ids never name a component unless it has no other.
-    """
-    spark_rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = stored(spark_rows.mapInArrow(_fingerprints, "id long, fp long"))
-    prints = stored(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(fingerprint_links(prints.select("fp"), most))
+def _groups(rows: DataFrame, first: Column, **how) -> DataFrame:
+    """(fp, component): the least `first` of the rows that links reach. rows: stored, with fp."""
+    prints = stored(rows.groupBy("fp").agg(F.min(first).alias("least")))
+    roots = components(fingerprint_links(prints.select("fp"), **how))
     # Only linked fingerprints have a root; each of the others is a component of its own.
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(named)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("fp", "component")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    return named.join(least, "root").select("fp", "component")
+
 
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, fp, component): one row per input row; component is the smallest id that links reach.
+
+    A null text counts as empty; texts without words have fingerprint 0 and are linked like any other. Rows of equal
+    fingerprint are one node, however many they are. Null ids never name a component unless it has no other. Repeated
+    rows give repeated rows, an empty table an empty one; other columns are not read.
+    """
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = stored(texts.mapInArrow(_fingerprints, "id long, fp long"))
+    return rows.join(_groups(rows, F.col("id"), **how), "fp").select("id", "fp", "component")
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most: int = 4096) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest id. Same columns."""
-    groups = simhash_groups(docs, id_col, text_col, most=most)
-    return without(docs, groups.select("id", F.col("id").eqNullSafe(F.col("component")).alias("stays")), id_col)
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that stay: of each component one row, that with the smallest id. Same columns, of any names.
+
+    Rows without an id come last, and of one id the text with the smaller SHA-256 stays; rows that agree in id and text
+    are one, so ids may repeat or be null. A null text counts as empty. An empty table gives an empty one.
+    """
+    digest = F.unhex(F.sha2(text_or_empty(text_col), 256))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), digest.alias("sha"), text_or_empty(text_col).alias("text"))
+    rows = stored(texts.mapInArrow(_fingerprints, "id long, sha binary, fp long"))
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("sha"))
+    judged = rows.join(_groups(rows, place, **how), "fp").withColumn("stays", place.eqNullSafe(F.col("component")))
+    gone = judged.where("not stays").select("id", "sha")
+    twice = judged.where("stays").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "sha")
+    return keep_rows(docs, gone, twice, {"id": F.col(f"`{id_col}`").cast("long"), "sha": digest})

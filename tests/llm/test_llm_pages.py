@@ -241,7 +241,36 @@ def test_line_dedup(spark):
     rows = [(i, f"http://user@Site.example.com:80/{i}", body(i)) for i in range(9)] + [(100 + i, f"https://small.example/{i}", body(0)) for i in range(4)] + [(200, None, body(0)), (201, "http://site.example.com", None)]
     got = {r.page_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, DDL).repartition(3), ratio=0.4).collect()}
     assert got[1].text == "own 1\nalso 1" and (got[1].n_lines, got[1].n_dropped, got[1].host) == (5, 3, "site.example.com")
-    assert got[100].text == "own 0\nalso 0\nmenu\ntail\ntail" and got[200].n_dropped == 0 and got[200].host is None
+    assert got[100].text == "" and got[200].n_dropped == 0 and got[200].host is None
     assert got[201].text == "" and got[201].n_lines == 0
     assert {r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows[:9], DDL), ratio=0.2).where("page_id < 3").collect()} == {"own 0", "own 1", "own 2"}
     assert line_dedup.line_dedup(edge(spark)).count() == len(EDGE) and line_dedup.line_dedup(empty(spark)).count() == 0
+
+
+def slow_line_dedup(rows, ratio):
+    import re
+
+    host = {}
+    cut = []
+    for i, url, page in rows:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", url or "")
+        text = re.sub(r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", "\n", page or "")
+        lines = [x for x in (y.strip(" \t\n\v\f\r") for y in re.split("[\r\n]", text)) if x]
+        cut.append((i, m[1].lower() if m else None, lines))
+        if m:
+            host.setdefault(m[1].lower(), []).append(set(lines))
+    out = []
+    for i, h, lines in cut:
+        n = Counter(x for s in host.get(h, []) for x in s)
+        kept = [x for x in lines if not (n[x] > 1 and n[x] > ratio * len(host[h]))]
+        out.append((i, h, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("how", [{}, {"most_broadcast": 0, "pages_each": 2}])
+def test_line_dedup_against_plain_counts(spark, how):
+    rng = random.Random(8)
+    more = [(1000 + i, f"http://h{rng.randrange(6)}.example/{i}", "\n".join(f"<p>line {rng.randrange(9)}</p>" for _ in range(rng.randrange(8)))) for i in range(150)]
+    rows = EDGE + more + [(r.page_id, r.url, r.html) for r in pages(spark).collect()]
+    df = spark.createDataFrame(rows, DDL).repartition(3).withColumn("digests", F.lit(1)).withColumn("host", F.lit("x"))
+    assert tuples(line_dedup.line_dedup(df, **how), "page_id", "host", "n_lines", "n_dropped", "text") == slow_line_dedup(rows, 0.3)

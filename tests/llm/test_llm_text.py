@@ -306,7 +306,70 @@ def test_simhash(spark, make, most):
     assert simhash_rows(df, most) == sorted(want, key=repr)
     stay = simhash.near_dedup(df)
     assert stay.columns == df.columns
-    assert stay.select("doc_id").distinct().count() == len({c for _, _, c in want})
+    assert rows_of(stay, "doc_id", "text") == slow_near_dedup([(r.doc_id, r.text) for r in df.collect()])
+
+
+def slow_near_dedup(rows):
+    """One row of each component: the smallest id, nulls last, then the smaller digest."""
+    comps = component_of([slow_fingerprint(t or "") for _, t in rows])
+    best = {}
+    for (i, t), c in zip(rows, comps, strict=True):
+        rank = (i is None, i or 0, hashlib.sha256((t or "").encode()).digest())
+        if c not in best or rank < best[c][0]:
+            best[c] = rank, (i, t)
+    return sorted((x for _, x in best.values()), key=repr)
+
+
+def component_of(values):
+    distinct = sorted(set(values))
+    root = {v: v for v in distinct}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    return [find(v) for v in values]
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, simhash.near_dedup])
+def test_copies_go_by_rows(spark, drop):
+    """Rows without an id, rows that repeat, and columns of any name."""
+    rows = [(None, "x y z", "a"), (None, "x y z", "b"), (1, "a", "a"), (1, "a", "a"), (1, "q r s t", "c"), (2, "q r s t", "c"), (None, None, "d"), (7, "", "d"), (7, "", None), (8, "entirely other words here", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for c in ("_gone", "id", "sha", "row", "n_cp", "fp", "stays", "a.b"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = drop(df)
+    assert got.columns == df.columns
+    assert rows_of(got, "doc_id", "text") == sorted([(None, "x y z"), (1, "a"), (1, "q r s t"), (7, ""), (8, "entirely other words here")], key=repr)
+    assert drop(df.limit(0)).count() == 0
+    for report in (exact_dedup.dedup_report(df), exact_dedup.exact_dedup(df)):
+        kept = Counter(r.text_sha256 for r in report.where("kept").collect())
+        assert report.count() == len(rows) and set(kept.values()) == {1} and len(kept) == 5
+
+
+def test_simhash_with_three_of_six_blocks(spark):
+    assert len(simhash.masks(4, 1)) == 4 and len(simhash.masks(6, 3)) == 20
+    rng = random.Random(2)
+    values = {rng.getrandbits(64) for _ in range(300)}
+    for v in sorted(values)[:200]:
+        for b in rng.sample(range(64), rng.randint(1, 4)):
+            v ^= 1 << b
+        values.add(v)
+    values = sorted(values)
+    prints = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(prints, many=1)).collect()}
+    groups = defaultdict(set)
+    for v in values:
+        groups[roots.get(simhash.signed(v), simhash.signed(v))].add(v)
+    want = defaultdict(set)
+    for v, c in zip(values, component_of(values), strict=True):
+        want[c].add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
 def test_simhash_links_of_dense_balls(spark):
