@@ -80,62 +80,79 @@ def test_quality_sorts_structs_when_hash_bits_meet(spark, monkeypatch):
     assert rows_of(quality.base_features(df), "doc_id", "n_repeat_words") == want
 
 
-def test_quality_distances(spark):
-    df = documents(spark)
-    got = {r.doc_id: r for r in quality.quality(df, least_chars=50, least_commons=5, most_chars=0.2).collect()}
-    feats = {r.doc_id: r for r in quality.base_features(df).collect()}
-    refs = defaultdict(lambda: np.zeros(6))
-    for r in feats.values():
-        if not got[r.doc_id].base_failed and r.word_chars >= 50:
-            refs[r.lang] += r.chars
+def histograms(text, lang):
+    """Counts of character classes, and of common and other words, of a text."""
+    words = WORD.findall(text)
+    chars = [len(re.findall(c, text)) for c in quality.CLASSES]
+    chars.append(sum(map(len, words)) - sum(chars))
+    if lang not in quality.WORD_SHARES:
+        return chars, None
+    bare = [w[:-1] if w[-1] in ".,;:!?" else w for w in words]
+    commons = [sum(w in quality.forms(c) for w in bare) for c in quality.WORD_SHARES[lang]]
+    return chars, [len(words) - sum(commons), *commons]
+
+
+def distance(counts, reference):
     h = lambda p: -sum(x * np.log2(x) for x in p if x > 0)
-    judged = 0
-    for i, r in feats.items():
-        if r.word_chars < 50:
-            assert got[i].char_distance is None
-            continue
-        p, q = np.array(r.chars) / sum(r.chars), refs[r.lang] / refs[r.lang].sum()
-        d = np.sqrt(max(0, h((p + q) / 2) - (h(p) + h(q)) / 2))
-        assert got[i].char_distance == pytest.approx(d, abs=1e-6)
-        judged += 1
-    assert judged > 50
-    assert any(r.word_distance is not None for r in got.values())
-    assert all(r.kept == (not r.base_failed and (r.char_distance or 0) <= 0.2 and (r.word_distance or 0) <= 0.65) for r in got.values())
-    noise = spark.createDataFrame([(1, " ".join("9$%" + str(i) for i in range(400)), "en", "s", 0)], DDL).unionByName(df)
-    assert [r.kept for r in quality.quality(noise).where("doc_id = 1 and n_symbols > 300").collect()] == [False]
+    p, q = np.array(counts) / sum(counts), np.array(reference) / sum(reference)
+    return np.sqrt(max(0, h((p + q) / 2) - (h(p) + h(q)) / 2))
+
+
+@pytest.mark.parametrize("make", [edge, documents])
+def test_quality_distances(spark, make):
+    df = make(spark)
+    out = quality.quality(df, least_chars=50, least_words=20)
+    assert out.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = []
+    for r in df.select("doc_id", "text", "lang").collect():
+        chars, commons = histograms(r.text or "", r.lang)
+        refs = quality.WORD_SHARES.get(r.lang)
+        c = round(distance(chars, quality.CHAR_SHARES[r.lang]), 5) if refs and sum(chars) >= 50 else None
+        w = round(distance(commons, [100 - sum(refs.values()), *refs.values()]), 5) if refs and sum(commons) >= 20 else None
+        want.append((r.doc_id, c, w, bool(not base(r.text or "")[5] and (c or 0) <= 0.24 and (w or 0) <= 0.33)))
+    got = [(r.doc_id, *(None if x is None else round(x, 5) for x in (r.char_distance, r.word_distance)), r.kept) for r in out.collect()]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        assert g[0] == w[0] and g[3] == w[3] and all((x is None) == (y is None) and (x is None or abs(x - y) < 3e-5) for x, y in zip(g[1:3], w[1:3], strict=True))
+
+
+def test_quality_of_junk_and_prose(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rng = random.Random(3)
+    junk = [(10**6, " ".join("9$%" + str(i) for i in range(400)), "en"), (10**6 + 1, " ".join(f"menu{chr(97 + rng.randrange(26))}" for _ in range(300)), "en"), (10**6 + 2, "日本語 テキスト " * 400 + " ".join(map(chr, range(0x4E00, 0x4F00))), "de")]
+    made = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    out = {r.doc_id: r for r in quality.quality(made).collect()}
+    assert not any(out[i].kept for i, _, _ in junk)
+    good = [out[r.doc_id] for r in labels.where("quality = 1").collect()]
+    assert all(r.kept for r in good if not r.base_failed) and sum(not r.base_failed for r in good) > 100
+    alone = quality.quality(docs.where("doc_id = 5")).first()
+    assert alone == out[5]
     assert quality.quality(empty(spark)).count() == 0
 
 
-def test_quality_by_all_words(spark):
-    lang = "en"
+def test_quality_by_corpus(spark):
     rng = random.Random(3)
     junk = {i: " ".join(f"menu{chr(97 + rng.randrange(26))}" for _ in range(300)) for i in (10**6, 10**6 + 1)}
-    df = documents(spark).unionByName(spark.createDataFrame([(i, t, lang, "s", 0) for i, t in junk.items()], DDL))
-    got = {r.doc_id: r for r in quality.quality_by_all_words(df).collect()}
-    common = {k: [{w, w.capitalize(), w.upper()} for w in ws] for k, ws in quality.COMMON_WORDS.items()}
-    hist, refs = {}, defaultdict(lambda: np.zeros(17))
+    df = documents(spark).unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in junk.items()], DDL))
+    got = {r.doc_id: r for r in quality.quality_by_corpus(df).collect()}
+    hist, refs = {}, defaultdict(lambda: np.zeros(21))
     for r in df.collect():
-        words = WORD.findall(r.text or "")
-        if r.lang in common and len(words) >= 50:
-            n = [sum(w in forms for w in words) for forms in common[r.lang]]
-            hist[r.doc_id] = r.lang, np.array([len(words) - sum(n), *n])
+        _, commons = histograms(r.text or "", r.lang)
+        if commons and sum(commons) >= 50:
+            hist[r.doc_id] = r.lang, np.array(commons)
             if not got[r.doc_id].base_failed:
                 refs[r.lang] += hist[r.doc_id][1]
-    h = lambda p: -sum(x * np.log2(x) for x in p if x > 0)
     near = defaultdict(list)
     for i, (of, n) in hist.items():
-        p, q = n / n.sum(), refs[of] / refs[of].sum()
-        assert got[i].word_distance == pytest.approx(np.sqrt(max(0, h((p + q) / 2) - (h(p) + h(q)) / 2)), abs=2e-6)
+        assert got[i].word_distance == pytest.approx(distance(n, refs[of]), abs=2e-6)
         if not got[i].base_failed:
             near[of].append(round(got[i].word_distance, 3))
     limits = {k: np.percentile(v, 75) + 1.5 * (np.percentile(v, 75) - np.percentile(v, 25)) for k, v in near.items()}
     assert all((r.word_distance is None) == (i not in hist) for i, r in got.items())
     assert all(got[i].word_limit == pytest.approx(limits[of], abs=2e-6) for i, (of, _) in hist.items())
     assert all(r.kept == (not r.base_failed and (r.char_distance or 0) <= 0.36 and (r.word_distance or 0) <= (r.word_limit or 1)) for r in got.values())
-    old = {r.doc_id: r for r in quality.quality(df).collect()}
-    for i in junk:  # passes the base rules and the characters; op1_quality doesn't judge its words
-        assert not got[i].base_failed and got[i].char_distance <= 0.36 and not got[i].kept and old[i].word_distance is None
-    assert quality.quality_by_all_words(empty(spark)).count() == 0
+    assert not any(got[i].kept or got[i].base_failed for i in junk)
+    assert quality.quality_by_corpus(empty(spark)).count() == 0
 
 
 # --- byte-level BPE
