@@ -5,8 +5,10 @@ expected severity is the sum of P(grade > k). Features are words (letters, lower
 as 1 + log(count). Those that say something about the labels are chosen by how unlikely their share of positive rows
 is (Chernoff's bound, over all features that were seen); their number is bounded, and so is the model that goes to the workers.
 
-Labels may carry ordered grades. Where they are only 0 and 1, the positive rows get the grades 1..n by the number of
-positive features in them, cut at equal parts of the labelled positives.
+Labels may carry ordered grades, and then the model learns these. Where they are only 0 and 1 there is nothing to learn
+an order from: the positive rows get the grades 1..n by the number of features in them that speak for toxicity, cut at
+equal parts of the labelled positives. Such grades, and the expected severity made of them, say how much of what marks
+toxic texts a text holds, not how an annotator would grade it. The bound on labelled rows is the one limit of the fit.
 """
 
 import re
@@ -112,10 +114,13 @@ def _feature_counts(batches):
     yield from rebatch(out(), schema)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most_labelled: int = 20_000, most_features: int = 4096, least_rows: int = 3, n_grades: int = 4) -> OrdinalModel:
-    """A model from at most most_labelled labelled rows (those of the smallest hashed ids) and most_features features.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most_labelled: int = 20_000, n_grades: int = 4) -> OrdinalModel:
+    """A model from at most most_labelled labelled rows (those of the smallest hashed ids), over their whole texts.
 
-    Labels that are null count as unlabelled. With no positive or no negative row the model says grade 0 for all.
+    Features are all those whose share of positive rows is too far from the whole's to be chance among as many as were
+    seen; the driver holds their counts in the labelled rows. Labels that are null count as unlabelled, of a repeated id
+    the highest counts, and a document that repeats is as many rows. With no positive or no negative row the model says
+    grade 0 for all.
     """
     of = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     of = of.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
@@ -124,12 +129,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not positive or positive == n:
         return OrdinalModel({}, [50.0 + k for k in range(n_grades - 1)])
     share = positive / n
-    counts = rows.mapInArrow(_feature_counts, "feature string, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= least_rows)
+    counts = rows.mapInArrow(_feature_counts, "feature string, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     q = F.col("pos") / F.col("n")
     surprise = F.col("n") * (F.when(q > 0, q * F.ln(q / share)).otherwise(0.0) + F.when(q < 1, (1 - q) * F.ln((1 - q) / (1 - share))).otherwise(0.0))
     counts = stored(counts.select("feature", surprise.alias("surprise"), F.when(q > share, 1).otherwise(-1).alias("sign"), (F.col("pos") == F.col("n")).alias("pure")))
     seen = counts.count()
-    chosen = counts.where(F.col("surprise") > float(np.log(max(1, seen)))).orderBy(F.desc("surprise"), "feature").limit(most_features).collect()
+    chosen = counts.where(F.col("surprise") > float(np.log(max(1, seen)))).collect()
     signs = {r.feature: r.sign for r in chosen}
     pure = frozenset(r.feature for r in chosen if r.pure)
     if not signs:
@@ -182,7 +187,9 @@ class Scorer:
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", *, cut: float = 0.4) -> DataFrame:
-    """(id, expected_severity, grade, p_toxic, toxic) per row; toxic: P(grade > 0) is over cut.
+    """(id, expected_severity, grade, p_toxic, toxic) per row; toxic: P(grade > 0) is over cut, grade: how many are.
+
+    What grades mean is what they meant in fit_toxicity().
 
     A null or empty text has no feature and gets the model's prior. Repeated rows give repeated rows, an empty table an
     empty one; other columns are not read.

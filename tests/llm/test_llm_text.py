@@ -278,6 +278,66 @@ def test_ordinal_grades_are_ordered():
     assert sum(model.above(model.weights["fine"])) < 0.5
 
 
+def test_ordinal_fit_is_where_the_likelihood_is_flat():
+    """At the fitted weights no small step, in any direction, makes the penalised likelihood better by more than its square."""
+    rng = np.random.default_rng(5)
+    grades = rng.integers(0, 4, 400)
+    rows = [{f"w{k}": int(rng.poisson(0.3 + (k == 0) * g + (k == 1) * (3 - g))) for k in range(4)} for g in grades]
+    rows = [{f: n for f, n in r.items() if n} for r in rows]
+    model = toxicity.fit_ordinal(rows, grades, 4, rounds=4000, rate=0.02)
+    names, decay = sorted(model.weights), 1e-3
+
+    def loss(w, theta):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            score = sum(w[f] * toxicity.value_of(n) for f, n in r.items())
+            cdf = [0.0, *(1 / (1 + np.exp(-(t - score))) for t in theta), 1.0]
+            total -= np.log(max(cdf[g + 1] - cdf[g], 1e-9))
+        return total / len(rows) + decay / 2 / len(rows) ** 0.5 * sum(x * x for x in w.values())
+
+    at = loss(model.weights, model.thresholds)
+    for step in (1e-2, -1e-2):
+        for f in names:
+            assert loss({**model.weights, f: model.weights[f] + step}, model.thresholds) > at - 1e-5
+        for k in range(3):
+            assert loss(model.weights, [t + step * (i == k) for i, t in enumerate(model.thresholds)]) > at - 1e-5
+
+
+def slow_severity(model, text):
+    """P(grade > k) straight from the model's words and thresholds."""
+    counts = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        found = [f for f in (word, *("^" + word[:n] for n in (4, 5) if len(word) > n)) if f in model.weights]
+        counts.update(found + ["+"] * any(f in model.pure for f in found))
+    score = sum(model.weights[f] * (1 + np.log(n)) for f, n in counts.items())
+    return [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+
+
+@pytest.mark.parametrize("graded", [False, True])
+def test_toxicity_against_plain_scores(spark, graded):
+    rng = random.Random(4)
+    rows, marks = [], []
+    for i in range(300):
+        g = rng.randrange(4)
+        rows.append((i, " ".join(rng.choice(["stone", "river", "cloud", "field"]) for _ in range(20)) + " vile" * g + (" Vileness!" if g else ""), "en", "s", 0))
+        marks.append((i, g if graded else int(g > 0)))
+    df, labels = spark.createDataFrame(rows, DDL), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(df, labels)
+    assert "vile" in model.weights and model.weights["vile"] > 0
+    for made in (df, edge(spark)):
+        text = {}
+        for r in made.select("doc_id", "text").collect():
+            text.setdefault(r.doc_id, []).append(slow_severity(model, r.text))
+        for r in toxicity.score_toxicity(made, model).collect():
+            above = next(a for a in text[r.doc_id] if abs(sum(a) - r.expected_severity) < 1e-6)
+            assert (r.grade, r.toxic) == (sum(p > 0.4 for p in above), above[0] > 0.4) and r.p_toxic == pytest.approx(above[0], abs=1e-8)
+    out = {r.doc_id: r for r in toxicity.score_toxicity(df, model).collect()}
+    assert all(out[i].toxic == (m > 0) for i, m in marks)
+    if graded:
+        means = [np.mean([out[i].expected_severity for i, m in marks if m == g]) for g in range(4)]
+        assert means == sorted(means)
+
+
 # --- SimHash
 
 
