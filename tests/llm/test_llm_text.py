@@ -584,3 +584,31 @@ def test_mixing_small_cell(spark):
         assert got[2] == pytest.approx(0.72 * factor, rel=1e-9) if rate == 0.5 else got[2] > 0
     assert chances(cells, 1.0) == [1, 1, 1, 0]
     assert chances(make(), 0.5) == []
+
+
+def plain_rake(n, wants, rounds=500):
+    """Proportional fitting of an array (source, language, topic) to its three marginals."""
+    w = np.where(n > 0, 1.0, 0.0)
+    for _ in range(rounds):
+        for axis, want in enumerate(wants):
+            sums = (n * w).sum(axis=tuple(i for i in range(3) if i != axis))
+            f = np.divide(want * n.sum(), sums, out=np.zeros_like(sums), where=sums > 0)
+            w = w * f.reshape([-1 if i == axis else 1 for i in range(3)])
+    return w
+
+
+def test_mixing_weights_against_plain_fit(spark):
+    rng = np.random.default_rng(6)
+    n = rng.integers(1, 500, (4, 3, 2)) * (rng.random((4, 3, 2)) > 0.15)
+    wants = [x / x.sum() for x in (n.sum((1, 2)) ** 0.6, n.sum((0, 2)) ** 0.6, n.sum((0, 1)) ** 0.6)]
+    cells = spark.createDataFrame([(f"s{i}" if i else None, f"l{j}", f"t{k}", int(n[i, j, k])) for i in range(4) for j in range(3) for k in range(2)], "source string, lang string, topic string, n long")
+    names = {"source": [None, "s1", "s2", "s3"], "lang": ["l0", "l1", "l2"], "topic": ["t0", "t1"]}
+    targets = {d: spark.createDataFrame(list(zip(names[d], map(float, w), strict=True)), "value string, share double") for d, w in zip(names, wants, strict=True)}
+    got = mixing.rake(cells, targets, tolerance=1e-9).collect()
+    want = plain_rake(n, wants)
+    for r in got:
+        at = names["source"].index(r.source), names["lang"].index(r.lang), names["topic"].index(r.topic)
+        assert r.weight == pytest.approx(want[at], rel=1e-5) and r.off <= 1e-9
+    torn = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, n long")
+    unmet = {"source": [("a", 0.9), ("b", 0.1)], "lang": [("x", 0.1), ("y", 0.9)], "topic": [("t", 1.0)]}
+    assert mixing.rake(torn, {d: spark.createDataFrame(v, "value string, share double") for d, v in unmet.items()}).first().off > 0.1
