@@ -90,10 +90,11 @@ class Encoder:
     def extend(self, data: bytes | bytearray, last: list[int], upto: int, stop=None) -> None:
         """Appends the last token of each prefix beyond those in last, whose entry 0 stands for the empty prefix."""
         whole, longest, pairs, compatible = self.words.whole, self.words.longest, self.pairs, self.words.compatible
-        data = bytes(data)
+        base = max(0, len(last) - longest)  # no token that ends beyond the known prefixes begins before
+        data = bytes(data[base:upto])
         for end in range(len(last), upto + 1):
             for start in range(max(0, end - longest), end):
-                token = whole.get(data[start:end])
+                token = whole.get(data[start - base : end - base])
                 if token is None:
                     continue
                 if start:
