@@ -1,17 +1,20 @@
 """Text, codes, file names and notes as column expressions.
 
 All of it stays in the JVM except nfkc(), which Spark has no function for; nfkc_rows() sends only those rows through
-Python that hold anything beyond ASCII.
+Python that hold other compatibility forms than wide ASCII. Jobs call it where texts come in.
 """
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: File suffixes by class.
 DRAWING_SUFFIXES = [".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]
@@ -47,16 +50,56 @@ def fold_width(c: Column) -> Column:
     return F.when(c.rlike(r"[！-～\u3000\u00A0]"), F.translate(c, WIDE, NARROW)).otherwise(c)
 
 
-@F.pandas_udf(StringType())
+#: Characters that NFKC leaves alone, or that fold_width() does: ASCII, CJK ideographs and punctuation, wide ASCII, no-break space.
+SETTLED = r"^[\x00-\x7E\u00A0\u00B0\u00B1\u00D7\u2014\u2300\u3000-\u3002\u3010\u3011\u4E00-\u9FFF\uFF01-\uFF5E]*$"
+
+
+@F.pandas_udf(ArrayType(StringType()))
 def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode normal form NFKC."""
-    return s.str.normalize("NFKC")
+    """Unicode normal form NFKC of each text of an array; a null is none."""
+    return s.map(lambda xs: None if xs is None else [x if x is None else unicodedata.normalize("NFKC", x) for x in xs])
 
 
 def nfkc_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """df with the columns in NFKC. Rows that are ASCII in all of them don't leave the JVM."""
-    plain = reduce(lambda a, b: a & b, (text(c).rlike(r"^[\x00-\x7F]*$") for c in columns))
-    return df.where(plain).unionByName(df.where(~plain).withColumns({c: nfkc(F.col(c)) for c in columns}))
+    """df with the columns in NFKC, as far as fold_width() doesn't do that. One pass: of rows that hold nothing else only
+    a null leaves the JVM."""
+    plain = reduce(lambda a, b: a & b, (text(c).rlike(SETTLED) for c in columns))
+    rows = df.withColumn("_nfkc", nfkc(F.when(~plain, F.array(*columns))))
+    return rows.withColumns({c: F.when(F.col("_nfkc").isNotNull(), F.get("_nfkc", F.lit(i))).otherwise(F.col(c)) for i, c in enumerate(columns)}).drop("_nfkc")
+
+
+#: HTML's named references, with and without a semicolon behind them, as Python's library lists them.
+_NAMED = json.dumps(html5)
+_LEGACY = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+#: What references to 128..159 stand for.
+_HIGH = [bytes([n]).decode("cp1252", "replace") for n in range(128, 160)]
+
+
+def unescape(c: Column) -> Column:
+    """A text with its HTML character references decoded: numbers, names, and old names without a semicolon."""
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def character(n: Column) -> Column:
+        ok = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
+        return F.when(n.between(128, 159), F.get(F.array(*map(F.lit, _HIGH)), (n - 128).cast("int"))).when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def decoded(piece: Column) -> Column:
+        """What follows an &."""
+        digits, hexes = F.regexp_extract(piece, r"^#(\d+);?", 1), F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+);?", 1)
+        name, old = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*;)", 1), F.regexp_extract(piece, f"^({_LEGACY})", 1)
+        number = F.coalesce(digits.try_cast("long"), F.lit(-1).cast("long"))
+        by_hex = F.coalesce(F.conv(F.right(hexes, F.lit(8)), 16, 10).try_cast("long"), F.lit(-1).cast("long"))
+        rest = lambda pattern: F.regexp_replace(piece, pattern, "")
+        after = lambda found: F.substring(piece, F.length(found) + 1, F.length(piece))
+        return (
+            F.when(digits != "", F.concat(character(number), rest(r"^#\d+;?")))
+            .when(hexes != "", F.concat(character(by_hex), rest(r"^#[xX][0-9a-fA-F]+;?")))
+            .when((name != "") & F.element_at(named, name).isNotNull(), F.concat(F.element_at(named, name), after(name)))
+            .when(old != "", F.concat(F.element_at(named, old), after(old)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(decoded(piece))), "")).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:
@@ -80,17 +123,26 @@ def clean_text(c: Column | str) -> Column:
     return clean(text(c)) if isinstance(c, str) else let(text(c), clean)
 
 
+SUFFIXES = "|".join(s[1:] for s in sorted(DRAWING_SUFFIXES + MODEL_SUFFIXES + NATIVE_SUFFIXES, key=len, reverse=True))
+#: Only texts with a match have anything around a code; one look tells, and most codes are bare.
+EDGED = rf"^{BOUNDARY_CLASS}|{BOUNDARY_CLASS}$|[._\-/ ]$|(?i)\.(?:{SUFFIXES})$"
+CODE = r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9][A-Za-z0-9._/\-]{2,39}$"
+
+
 def strip_code_boundary(c: Column | str) -> Column:
     """a code without the punctuation and the file suffix around it."""
     edges = rf"^{BOUNDARY_CLASS}+|{BOUNDARY_CLASS}+$"
-    suffixes = "|".join(s[1:] for s in sorted(DRAWING_SUFFIXES + MODEL_SUFFIXES + NATIVE_SUFFIXES, key=len, reverse=True))
-    bare = F.regexp_replace(F.regexp_replace(clean_text(c), edges, ""), rf"(?i)\.(?:{suffixes})$", "")
-    return F.btrim(F.regexp_replace(F.regexp_replace(bare, edges, ""), r"[._\-/ ]+$", ""))
+
+    def strip_edges(v: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(v, edges, ""), rf"(?i)\.(?:{SUFFIXES})$", "")
+        return F.when(v.rlike(EDGED), F.btrim(F.regexp_replace(F.regexp_replace(bare, edges, ""), r"[._\-/ ]+$", ""))).otherwise(v)
+
+    return let(clean_text(c), strip_edges)
 
 
 def is_valid_code(c: Column | str) -> Column:
     """3 to 40 characters of a code, with a letter and a digit among them."""
-    return strip_code_boundary(c).rlike(r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9][A-Za-z0-9._/\-]{2,39}$")
+    return strip_code_boundary(c).rlike(CODE)
 
 
 def normalize_code(c: Column | str) -> Column:
@@ -166,7 +218,7 @@ def classify_note(c: Column | str) -> Column:
 
 def code_tokens(c: Column) -> Column:
     """the code-like tokens of a text that are valid codes, in order."""
-    return F.filter(F.split(c, r"[^A-Za-z0-9._/\-]+"), lambda t: t.rlike(r"^(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9][A-Za-z0-9._/\-]{2,39}$") & is_valid_code(t))
+    return F.filter(F.split(c, r"[^A-Za-z0-9._/\-]+"), lambda t: t.rlike(CODE) & (~t.rlike(EDGED) | is_valid_code(t)))
 
 
 def code_from_text(c: Column | str) -> Column:

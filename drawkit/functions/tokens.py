@@ -15,32 +15,31 @@ from pyspark.sql import types as S
 
 from .text import text
 
-#: Units, and the patterns of tokens.
+#: Units, scales of hardness and bodies of standards.
 UNITS = r"mm|cm|m|in|inch|inches|kg|g|mg|t|MPa|kPa|Pa|N|kN|rpm|min|s|h|L|mL|ml|°C|℃|°|%|μm|um|lb|lbs|psi"
 HARDNESS = "HRC|HRA|HRB|HBW|HBS|HB|HV"
 STANDARDS = "GB|JB|ISO|DIN|ASTM|ANSI|JIS|EN"
-NUMBER = r"\d+(?:\.\d+)?"
-NO_DIGIT, NO_WORD, END = r"(?<![\d.])", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+#: The patterns of tokens, and whether case counts for nothing.
 PATTERNS = [
-    (rf"(?:⌀|Φ|φ|Ø)\s*{NUMBER}", False),
-    (rf"±\s*{NUMBER}\s*(?:{UNITS})?", False),
-    (rf"{NO_DIGIT}{NUMBER}\s*±\s*{NUMBER}\s*(?:{UNITS})?{END}", False),
-    (rf"{NO_WORD}(?:Ra|Rz)\s*{NUMBER}{END}", True),
-    (rf"{NO_WORD}(?:{HARDNESS})\s*{NUMBER}{END}", True),
-    (rf"{NO_DIGIT}{NUMBER}\s*(?:{HARDNESS}){END}", True),
-    (rf"{NO_WORD}(?:M|G|R|SR|C)\s*{NUMBER}(?:\s*[x×]\s*{NUMBER})?{END}", False),
-    (rf"{NO_DIGIT}{NUMBER}\s*[～~\-—–]\s*{NUMBER}\s*(?:{UNITS}|{HARDNESS}){END}", True),
-    (rf"{NO_DIGIT}{NUMBER}\s*(?:{UNITS}|{HARDNESS}){END}", True),
-    (rf"{NO_DIGIT}{NUMBER}\s*[+-]\s*{NUMBER}(?:\s*(?:{UNITS}))?{END}", True),
-    (rf"{NO_DIGIT}[+-]\s*{NUMBER}(?![.\d])", False),
-    (rf"{NO_WORD}(?:{STANDARDS})\s*(?:/\s*T)?\s*[A-Z0-9][A-Z0-9.\-—–]*{END}", True),
-    (rf"{NO_WORD}(?:Q\d+[A-Z]?|\d{{2,3}}(?:Cr|Mn|Ni|Mo|Si|Ti|V|W|B|Al|Cu)[A-Za-z0-9]*|\dA\d{{2}}|H62|1Cr18Ni9Ti|40Cr|20CrMnTi|45#|06Cr19Ni10|304|316L|6061|7075|HT200|QT\d+-\d+){END}", True),
-    (rf"{NO_WORD}[A-Z]{{1,8}}(?:-[A-Z0-9]{{1,12}}){{2,}}{END}", False),
-    (rf"{NO_WORD}[A-Z]{{2,8}}\d{{2,}}(?:[.-]\d+)*{END}", False),
-    (rf"{NO_DIGIT}{NUMBER}\s*[×x]\s*{NUMBER}(?![\d.])", False),
-    (rf"{NO_DIGIT}\d+:\d+(?![\d.])", False),
-    (rf"{NO_WORD}A[0-4]{END}", False),
-]
+    (r"(?:⌀|Φ|φ|Ø)\s*\d+(?:\.\d+)?", False),
+    (r"±\s*\d+(?:\.\d+)?\s*(?:mm|cm|m|in|inch|inches|kg|g|mg|t|MPa|kPa|Pa|N|kN|rpm|min|s|h|L|mL|ml|°C|℃|°|%|μm|um|lb|lbs|psi)?", False),
+    (r"(?<![\d.])\d+(?:\.\d+)?\s*±\s*\d+(?:\.\d+)?\s*(?:mm|cm|m|in|inch|inches|kg|g|mg|t|MPa|kPa|Pa|N|kN|rpm|min|s|h|L|mL|ml|°C|℃|°|%|μm|um|lb|lbs|psi)?(?![A-Za-z0-9])", False),
+    (r"(?<![A-Za-z0-9])(?:Ra|Rz)\s*\d+(?:\.\d+)?(?![A-Za-z0-9])", True),
+    (r"(?<![A-Za-z0-9])(?:HRC|HRA|HRB|HBW|HBS|HB|HV)\s*\d+(?:\.\d+)?(?![A-Za-z0-9])", True),
+    (r"(?<![\d.])\d+(?:\.\d+)?\s*(?:HRC|HRA|HRB|HBW|HBS|HB|HV)(?![A-Za-z0-9])", True),
+    (r"(?<![A-Za-z0-9])(?:M|G|R|SR|C)\s*\d+(?:\.\d+)?(?:\s*[x×]\s*\d+(?:\.\d+)?)?(?![A-Za-z0-9])", False),
+    (r"(?<![\d.])\d+(?:\.\d+)?\s*[～~\-—–]\s*\d+(?:\.\d+)?\s*(?:mm|cm|m|in|inch|inches|kg|g|mg|t|MPa|kPa|Pa|N|kN|rpm|min|s|h|L|mL|ml|°C|℃|°|%|μm|um|lb|lbs|psi|HRC|HRA|HRB|HBW|HBS|HB|HV)(?![A-Za-z0-9])", True),
+    (r"(?<![\d.])\d+(?:\.\d+)?\s*(?:mm|cm|m|in|inch|inches|kg|g|mg|t|MPa|kPa|Pa|N|kN|rpm|min|s|h|L|mL|ml|°C|℃|°|%|μm|um|lb|lbs|psi|HRC|HRA|HRB|HBW|HBS|HB|HV)(?![A-Za-z0-9])", True),
+    (r"(?<![\d.])\d+(?:\.\d+)?\s*[+-]\s*\d+(?:\.\d+)?(?:\s*(?:mm|cm|m|in|inch|inches|kg|g|mg|t|MPa|kPa|Pa|N|kN|rpm|min|s|h|L|mL|ml|°C|℃|°|%|μm|um|lb|lbs|psi))?(?![A-Za-z0-9])", True),
+    (r"(?<![\d.])[+-]\s*\d+(?:\.\d+)?(?![.\d])", False),
+    (r"(?<![A-Za-z0-9])(?:GB|JB|ISO|DIN|ASTM|ANSI|JIS|EN)\s*(?:/\s*T)?\s*[A-Z0-9][A-Z0-9.\-—–]*(?![A-Za-z0-9])", True),
+    (r"(?<![A-Za-z0-9])(?:Q\d+[A-Z]?|\d{2,3}(?:Cr|Mn|Ni|Mo|Si|Ti|V|W|B|Al|Cu)[A-Za-z0-9]*|\dA\d{2}|H62|1Cr18Ni9Ti|40Cr|20CrMnTi|45#|06Cr19Ni10|304|316L|6061|7075|HT200|QT\d+-\d+)(?![A-Za-z0-9])", True),
+    (r"(?<![A-Za-z0-9])[A-Z]{1,8}(?:-[A-Z0-9]{1,12}){2,}(?![A-Za-z0-9])", False),
+    (r"(?<![A-Za-z0-9])[A-Z]{2,8}\d{2,}(?:[.-]\d+)*(?![A-Za-z0-9])", False),
+    (r"(?<![\d.])\d+(?:\.\d+)?\s*[×x]\s*\d+(?:\.\d+)?(?![\d.])", False),
+    (r"(?<![\d.])\d+:\d+(?![\d.])", False),
+    (r"(?<![A-Za-z0-9])A[0-4](?![A-Za-z0-9])", False),
+]
 _COMPILED = [re.compile(p, re.I if fold else 0) for p, fold in PATTERNS]
 #: No text without one of these holds a token.
 MAYBE = r"[0-9]|[⌀ΦφØ±]|(?i)(?:GB|JB|ISO|DIN|ASTM|ANSI|JIS|EN)|[A-Z]-[A-Z]"
@@ -48,8 +47,8 @@ MAYBE = r"[0-9]|[⌀ΦφØ±]|(?i)(?:GB|JB|ISO|DIN|ASTM|ANSI|JIS|EN)|[A-Z]-[A-Z]
 
 @F.pandas_udf(S.ArrayType(S.StructType([S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())])))
 def raw_spans(s: pd.Series) -> pd.Series:
-    """Spans of all patterns, in characters, as they are found; they may overlap."""
-    return s.map(lambda t: [{"start": m.start(), "end": m.end()} for p in _COMPILED for m in p.finditer(t) if m.end() > m.start()])
+    """Spans of all patterns, in characters, as they are found; they may overlap. A null has none."""
+    return s.map(lambda t: [{"start": m.start(), "end": m.end()} for p in _COMPILED for m in p.finditer(t or "") if m.end() > m.start()])
 
 
 def union_spans(spans: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..shared import settled
+from ..shared import once
 
 #: Header words, patterns of header lines and page markers, and issues.
 HEADER_WORDS = ["序号", "代号", "名称", "备注", "数量", "图号", "零件号", "件号", "明细", "BOM"]
@@ -48,12 +48,14 @@ def lines_to_rows(lines: DataFrame, source: str = "ocr_text") -> DataFrame:
     """
     clean = T.clean_text("line")
     rows = lines.select("drawing_id", "pos", "page_number", clean.alias("raw_text")).where((F.col("raw_text") != "") & ~F.col("raw_text").rlike(HEADER_LINE))
-    rows = rows.withColumn("code", F.get(T.code_tokens(F.col("raw_text")), F.lit(0))).where(F.col("code").isNotNull())
+    rows = once(rows.withColumn("code", F.get(T.code_tokens(F.col("raw_text")), F.lit(0)))).where(F.col("code").isNotNull())
     # The first whole run of code characters that is this token, not one inside another run.
-    quoted = F.concat(F.lit(r"^((?:|.*?[^A-Za-z0-9._/\-]))\Q"), F.col("code"), F.lit(r"\E(?:(?![A-Za-z0-9._/\-])(.*))$"))
-    rows = rows.withColumn("before", F.btrim(F.call_function("regexp_extract", F.col("raw_text"), quoted, F.lit(1)))).withColumn("after", F.btrim(F.call_function("regexp_extract", F.col("raw_text"), quoted, F.lit(2))))
+    runs = F.concat(F.lit(" "), F.regexp_replace("raw_text", r"[^A-Za-z0-9._/\-]", " "), F.lit(" "))
+    at = F.call_function("instr", runs, F.concat(F.lit(" "), F.col("code"), F.lit(" ")))
+    rows = once(rows.withColumn("at", at))
+    rows = rows.withColumn("before", F.btrim(F.substring("raw_text", F.lit(1), F.col("at") - 1))).withColumn("after", F.btrim(F.substring("raw_text", F.col("at") + F.length("code"), F.length("raw_text"))))
     cells = F.filter(F.transform(F.split("after", r"\t+|\s{2,}|\s*\|\s*"), lambda x: F.btrim(x)), lambda x: x != "")
-    rows = rows.withColumn("cells", cells).withColumn("cells", F.when(F.size("cells") == 1, F.split(F.get("cells", F.lit(0)), r"\s+")).otherwise(F.col("cells")))
+    rows = once(rows.withColumn("cells", cells)).withColumn("cells", F.when(F.size("cells") == 1, F.split(F.get("cells", F.lit(0)), r"\s+")).otherwise(F.col("cells")))
     last = F.try_element_at("cells", F.lit(-1))
     counted = (F.size("cells") >= 2) & last.rlike(r"^\d+(?:\.\d+)?$")
     rows = rows.withColumn("quantity", F.when(counted, last).otherwise("")).withColumn("cells", F.when(counted, F.slice("cells", 1, F.size("cells") - 1)).otherwise(F.col("cells")))
@@ -61,7 +63,7 @@ def lines_to_rows(lines: DataFrame, source: str = "ocr_text") -> DataFrame:
     noted = (F.size("cells") >= 1) & last.rlike("标准件|外购件|无图|备注")
     rows = rows.withColumn("note", F.when(noted, last).otherwise("")).withColumn("cells", F.when(noted, F.slice("cells", 1, F.size("cells") - 1)).otherwise(F.col("cells")))
     issues = F.array() if source == "vision" else F.array(F.lit(INFERRED))
-    return rows.select("drawing_id", "pos", "page_number", F.regexp_extract("before", r"(\d{1,4})\s*$", 1).alias("sequence_no"), "code", F.btrim(F.array_join("cells", " ")).alias("name"), "note", "quantity", "raw_text", issues.cast("array<string>").alias("issues"))
+    return once(rows).select("drawing_id", "pos", "page_number", F.regexp_extract("before", r"(\d{1,4})\s*$", 1).alias("sequence_no"), "code", F.btrim(F.array_join("cells", " ")).alias("name"), "note", "quantity", "raw_text", issues.cast("array<string>").alias("issues"))
 
 
 MODEL_PAGE = "struct<has_table:string,table_kind:string,title_block_code:string,title_block_name:string,rows:array<map<string,string>>,issues:array<string>>"
@@ -97,7 +99,7 @@ def filter_rows(rows: DataFrame, codes: DataFrame | None = None) -> DataFrame:
 
     rows: drawing_id, pos, code, name, note, quantity, raw_text, issues. codes: (drawing_id, title_code).
     """
-    rows = rows.withColumns({c: T.clean_text(c) for c in ("code", "name", "note", "quantity", "raw_text")})
+    rows = once(rows.withColumns({c: T.clean_text(c) for c in ("code", "name", "note", "quantity", "raw_text")}))
     rows = rows.where((F.col("code") != "") | (F.col("name") != "") | (F.col("note") != ""))
     tight = F.regexp_replace("name", r"\s+", "")
     heading = T.compact("code").isin(HEADER_WORDS) | (tight.isin(HEADER_WORDS) & (F.col("code") == "")) | (tight.isin(HEADER_NAMES) & ~T.is_valid_code("code"))
@@ -142,8 +144,8 @@ def reindex(rows: DataFrame) -> DataFrame:
 
 
 def merge_and_validate(rows: DataFrame) -> DataFrame:
-    """A8, A9 and W3. Settled in between, so that no cell is cleaned more often than once."""
-    return reindex(flag_conflicts(settled(merge_duplicates(settled(rows)))))
+    """A8, A9 and W3. All three are per drawing, so the rows are dealt by their drawing once."""
+    return reindex(flag_conflicts(once(merge_duplicates(rows.repartition("drawing_id")))))
 
 
 def coalesce_sources(primary: DataFrame, base: DataFrame) -> DataFrame:

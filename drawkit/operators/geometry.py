@@ -1,20 +1,21 @@
 """Blocks on pages: tables, titles and requirements from where texts stand.
 
-blocks: drawing_id, page, pos, text, x, y, w, h, confidence. Clustering by height is a fold over a page's blocks; greedy
-removal of overlaps runs per page and text in Arrow groups. A page is small, and pages are spread over the cluster.
+blocks: drawing_id, page, pos, text, x, y, w, h, confidence. A page's blocks are put into one array, in the order of
+their centres, by one shuffle; rows, headers, columns and cells are then worked out in that array. A page is small, and
+pages are spread over the cluster.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import boxes as B
 from ..functions import text as T
-from ..shared import settled
+from ..shared import once, settled
 
 #: Columns, labels and words of title blocks.
 HEADER_KEYS = ["序号", "代号", "名称", "数量", "备注"]
@@ -29,44 +30,59 @@ def with_centers(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"cx": B.center(F.col("x"), F.col("w")), "cy": B.center(F.col("y"), F.col("h"))})
 
 
-def y_clusters(blocks: DataFrame, tolerance: float, out: str = "group_id") -> DataFrame:
-    """Blocks with the number of their row on the page.
+def page_arrays(blocks: DataFrame, columns: list[str]) -> DataFrame:
+    """(drawing_id, page, bs): the page's blocks in the order of (cy, cx, pos), as structs of these and the columns."""
+    each = F.struct("cy", "cx", "pos", *(c for c in columns if c not in ("cy", "cx", "pos")))
+    return with_centers(blocks).groupBy(*PAGE).agg(F.array_sort(F.collect_list(each)).alias("bs"))
+
 
-    In the order of centres a block joins the open row if it is within the tolerance of that row's mean so far. The
-    mean moves with each block, so this is a fold over the page's blocks, not a window's frame.
+def row_starts(bs: Column, tolerance: float) -> Column:
+    """Where the rows of blocks begin, counted from 1.
+
+    In the order of centres a block joins the open row if it is within the tolerance of that row's mean so far; so rows
+    are runs. The mean moves with each block, which makes this a fold and not a window's frame.
     """
-    rows = with_centers(blocks)
-    each = F.struct("cy", "cx", "pos", F.struct(*(c for c in blocks.columns if c not in PAGE)).alias("b"))
-    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(each)).alias("bs"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0.0).alias("t"), F.array().cast("array<int>").alias("ids"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0.0).alias("t"), F.array().cast("array<int>").alias("at"))
+
+    def add(acc: Column, y: Column) -> Column:
+        joins = (acc["n"] > 0) & (F.abs(y - acc["t"] / F.greatest(acc["n"], F.lit(1))) <= tolerance)
+        i = acc["i"] + 1
+        return F.when(joins, F.struct(i.alias("i"), (acc["n"] + 1).alias("n"), (acc["t"] + y).alias("t"), acc["at"].alias("at"))).otherwise(F.struct(i.alias("i"), F.lit(1).alias("n"), (F.lit(0.0) + y).alias("t"), F.concat(acc["at"], F.array(i)).alias("at")))
 
-    def add(acc: Column, x: Column) -> Column:
-        joins = (acc["n"] > 0) & (F.abs(x["cy"] - acc["t"] / F.greatest(acc["n"], F.lit(1))) <= tolerance)
-        g = F.when(joins, acc["g"]).otherwise(acc["g"] + 1)
-        return F.struct(g.alias("g"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"), (F.when(joins, acc["t"]).otherwise(0.0) + x["cy"]).alias("t"), F.concat(acc["ids"], F.array(g)).alias("ids"))
+    return F.aggregate(F.transform(bs, lambda b: b["cy"]), start, add, lambda acc: acc["at"])
 
-    folded = pages.withColumn("ids", F.aggregate("bs", start, add, lambda acc: acc["ids"]))
-    flat = folded.select(*PAGE, F.inline(F.zip_with("bs", "ids", lambda x, g: F.struct(x["b"].alias("b"), x["cx"].alias("cx"), x["cy"].alias("cy"), g.alias(out)))))
-    return flat.select(*PAGE, "b.*", "cx", "cy", out).select(*blocks.columns, "cx", "cy", out)
 
+def runs(bs: Column, starts: Column) -> Column:
+    """The rows of blocks that begin where starts says, as an array of arrays."""
+    return F.transform(starts, lambda at, i: F.slice(bs, at, F.coalesce(F.get(starts, i + 1), F.size(bs) + 1) - at))
 
-def header_groups(blocks: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+
+def y_clusters(blocks: DataFrame, tolerance: float, out: str = "group_id") -> DataFrame:
+    """Blocks with the number of their row on the page."""
+    pages = page_arrays(blocks, [c for c in blocks.columns if c not in PAGE])
+    rows = pages.withColumn("starts", row_starts(F.col("bs"), tolerance)).select(*PAGE, F.posexplode(runs(F.col("bs"), F.col("starts"))).alias(out, "r"))
+    return rows.select(*PAGE, out, F.inline("r")).select(*blocks.columns, "cx", "cy", out)
+
+
+def header_groups(blocks: DataFrame) -> DataFrame:
     """Per page the row with most column names, at least three; ties go to the first."""
-    rows = y_clusters(blocks, 0.018) if clusters is None else clusters
+    rows = y_clusters(blocks, 0.018)
     named = F.array_compact(F.array(*(F.when(F.col("text").contains(k), F.lit(k)) for k in HEADER_KEYS)))
     keys = rows.select(*PAGE, "group_id", F.explode(named).alias("key")).groupBy(*PAGE, "group_id").agg(F.count_distinct("key").alias("n"))
     best = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("n"), "group_id"))
     return keys.where("n >= 3").withColumn("rank", best).where("rank = 1").select(*PAGE, "group_id", "n")
 
 
-def nearest_column(cells: DataFrame, columns: DataFrame, most: float = 0.075) -> DataFrame:
-    """Cells with the column whose middle is nearest; cells farther than `most` from any are left out.
+def names_of(row: Column) -> Column:
+    """How many of the column names a row of blocks holds."""
+    holds = lambda k: F.exists(row, lambda b: b["text"].contains(k)).cast("int")
+    return reduce(lambda a, b: a + b, map(holds, HEADER_KEYS))
 
-    columns: page keys, key, col_x, col_order. At most eight per page, so a cell meets eight rows.
-    """
-    pairs = cells.join(columns, PAGE).withColumn("dx", F.abs(F.col("cx") - F.col("col_x")))
-    nearest = F.row_number().over(Window.partitionBy(*PAGE, "pos").orderBy("dx", "col_order"))
-    return pairs.withColumn("rank", nearest).where(f"rank = 1 and dx <= {most}").drop("rank", "col_x", "col_order")
+
+def nearest_column(columns: Column, cx: Column, most: float = 0.075) -> Column:
+    """The column whose middle is nearest to cx, ties by order; null beyond `most`. columns: structs (col_x, col_order, key)."""
+    nearest = F.array_min(F.transform(columns, lambda c: F.struct(F.abs(cx - c["col_x"]).alias("dx"), c["col_order"].alias("o"), c["key"].alias("key"))))
+    return F.when(nearest["dx"] <= most, nearest["key"])
 
 
 def is_header_block(c: Column | str = "text") -> Column:
@@ -79,30 +95,52 @@ def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     tables: drawing_id, page, x, y, w, h, complete: the envelope of each table, and whether all columns have names.
     """
-    clustered = settled(y_clusters(blocks, 0.018))
-    header = settled(clustered.join(header_groups(blocks, clustered), [*PAGE, "group_id"], "left_semi"))
-    order = F.struct("cy", "cx", "pos")
+    found = settled(table_pages(blocks))
+    rows = found.select(*PAGE, F.posexplode("rows").alias("row_id", "cells"))
+    text = lambda bs, c=None: F.array_join(F.transform(bs, lambda b: b["text"] if c is None else T.clean_text(b["text"])), " ")
     keys = [*HEADER_KEYS, *OPTIONAL_COLUMNS]
-    named = header.select(*PAGE, "cx", order.alias("o"), F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(i).alias("col_order")) for i, k in enumerate(keys)))).alias("c"), "text").where(F.contains("text", F.col("c.key")))
-    columns = named.groupBy(*PAGE, F.col("c.key").alias("key"), F.col("c.col_order").alias("col_order")).agg(F.min_by("cx", "o").alias("col_x"))
-    frame = header.groupBy(*PAGE).agg(F.avg("cy").alias("hy")).join(columns.groupBy(*PAGE).agg((F.min("col_x") - 0.07).alias("x_min"), (F.max("col_x") + 0.07).alias("x_max"), F.count_if(F.col("key").isin(HEADER_KEYS)).alias("named")), PAGE)
-    inside = with_centers(blocks).join(frame, PAGE).where(~is_header_block() & F.col("cy").between(F.col("hy") - 0.35, F.col("hy") + 0.08) & F.col("cx").between(F.col("x_min"), F.col("x_max")))
-    inside = inside.select(*blocks.columns).join(header.select(*PAGE, "pos"), [*PAGE, "pos"], "left_anti")
-    cells = settled(y_clusters(inside, 0.013, "row_id"))
-    placed = nearest_column(cells, columns)
-    whole = cells.groupBy(*PAGE, "row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "pos", "text"))), lambda b: b["text"]), " ").alias("raw_text"), *B.union_box())
-    joined = placed.groupBy(*PAGE, "row_id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "pos", T.clean_text("text").alias("t")))), lambda b: b["t"]), " ").alias("t"))
-    wide = joined.groupBy(*PAGE, "row_id").pivot("key", keys).agg(F.first("t"))
-    rows = whole.join(wide, [*PAGE, "row_id"], "left")
+    under = lambda k: T.let(F.filter("cells", lambda b: b["key"] == k), lambda bs: F.when(F.size(bs) > 0, text(bs, 1))).alias(k)
+    rows = once(rows.select(*PAGE, "row_id", text(F.col("cells")).alias("raw_text"), *envelope(F.col("cells")), *map(under, keys)))
     code = T.ocr_code_fix(T.normalize_code(F.regexp_replace(T.text("代号"), r"\s+", "")))
     note = F.when(T.text("备注").rlike("[一-鿿]"), F.btrim(T.text("备注"))).otherwise("")
     rows = rows.select("drawing_id", F.col("page").alias("page_number"), F.col("row_id").alias("pos"), F.btrim(T.text("序号")).alias("sequence_no"), code.alias("code"), F.btrim(T.text("名称")).alias("name"), note.alias("note"), F.btrim(T.text("数量")).alias("quantity"), F.btrim("raw_text").alias("raw_text"), "x", "y", "w", "h")
     rows = rows.where((F.col("code") != "") | ((F.col("name") != "") & F.col("quantity").rlike(NUMERIC)))
     rows = rows.withColumn("quantity", F.when(F.col("quantity").rlike(NUMERIC), F.col("quantity")).otherwise(F.regexp_extract("quantity", r"-?\d+(?:\.\d+)?", 0)))
     issues = F.array_compact(F.array(F.when(F.col("code") == "", "代号缺失").when(~T.is_valid_code("code"), "代号格式无法确认"), F.when(F.col("name") == "", "名称缺失"), F.when(F.col("quantity") == "", "数量缺失")))
-    everything = header.select(*PAGE, "x", "y", "w", "h").unionByName(cells.select(*PAGE, "x", "y", "w", "h"))
-    found = everything.groupBy(*PAGE).agg(*B.union_box()).join(frame.select(*PAGE, (F.col("named") == len(HEADER_KEYS)).alias("complete")), PAGE)
-    return rows.withColumn("issues", issues), found
+    return once(rows.withColumn("issues", issues)), found.select(*PAGE, *envelope(F.concat("header", F.transform(F.flatten("rows"), lambda b: b.dropFields("key")))), "complete")
+
+
+def envelope(bs: Column) -> list[Column]:
+    """A10 of an array of blocks."""
+    low = lambda k: F.array_min(F.transform(bs, lambda b: b[k]))
+    high = lambda k, n: F.array_max(F.transform(bs, lambda b: b[k] + b[n]))
+    rounded = lambda c, name: F.coalesce(F.round(c, 6), F.lit(0.0)).alias(name)
+    return [rounded(low("x"), "x"), rounded(low("y"), "y"), rounded(high("x", "w") - low("x"), "w"), rounded(high("y", "h") - low("y"), "h")]
+
+
+def table_pages(blocks: DataFrame) -> DataFrame:
+    """(drawing_id, page, header, rows, complete) of pages with a table: its header's blocks and its rows of cells, each with its column's key.
+
+    The table's window reaches from 0.35 above the header to 0.08 below it, and 0.07 beyond the outer columns.
+    """
+    keys = [*HEADER_KEYS, *OPTIONAL_COLUMNS]
+    pages = page_arrays(blocks, ["text", "x", "y", "w", "h"])
+    pages = pages.where(F.exists("bs", lambda b: b["text"].rlike("|".join(HEADER_KEYS)))).withColumn("starts", row_starts(F.col("bs"), 0.018))
+    rows = F.transform(runs(F.col("bs"), F.col("starts")), lambda r, i: F.struct(names_of(r).alias("n"), (-i).alias("i"), r.alias("r")))
+    best = F.element_at(F.array_sort(F.transform(F.filter(rows, lambda x: x["n"] >= 3), lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i")))), -1)
+    pages = once(pages.withColumn("best", best)).where("best is not null")
+    pages = once(pages.withColumn("header", F.get(runs(F.col("bs"), F.col("starts")), -F.col("best.i"))))
+    first = lambda k: F.get(F.filter("header", lambda b: b["text"].contains(k)), F.lit(0))["cx"]
+    columns = F.filter(F.array(*(F.struct(first(k).alias("col_x"), F.lit(i).alias("col_order"), F.lit(k).alias("key")) for i, k in enumerate(keys))), lambda c: c["col_x"].isNotNull())
+    hy = F.aggregate("header", F.lit(0.0), lambda a, b: a + b["cy"]) / F.size("header")
+    pages = once(pages.select(*PAGE, "bs", "header", columns.alias("columns"), hy.alias("hy")))
+    xs = F.transform("columns", lambda c: c["col_x"])
+    pages = pages.withColumns({"x_min": F.array_min(xs) - 0.07, "x_max": F.array_max(xs) + 0.07, "complete": F.size(F.filter("columns", lambda c: c["key"].isin(HEADER_KEYS))) == len(HEADER_KEYS)})
+    inside = F.filter("bs", lambda b: b["cy"].between(F.col("hy") - 0.35, F.col("hy") + 0.08) & b["cx"].between(F.col("x_min"), F.col("x_max")) & ~is_header_block(b["text"]) & ~F.exists("header", lambda h: h["pos"] == b["pos"]))
+    cells = F.transform(inside, lambda b: F.struct(*(b[k].alias(k) for k in ("cy", "cx", "pos", "text", "x", "y", "w", "h")), nearest_column(F.col("columns"), b["cx"]).alias("key")))
+    pages = once(pages.select(*PAGE, "header", "complete", cells.alias("cells")))
+    pages = once(pages.withColumn("starts", row_starts(F.col("cells"), 0.013)))
+    return pages.select(*PAGE, "header", runs(F.col("cells"), F.col("starts")).alias("rows"), "complete")
 
 
 def title_regions(blocks: DataFrame) -> DataFrame:
@@ -147,25 +185,17 @@ def scan_to_bom(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def greedy_unique(blocks: DataFrame, measure: str, least: float, order: list[str]) -> DataFrame:
     """In the given order, a block stays unless it overlaps one of the same text that stayed.
 
-    measure: "iou", or "smaller" for the share of the smaller area. Groups are (page, text).
+    measure: "iou", or "smaller" for the share of the smaller area. A fold over the blocks of one text on one page.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        box = pdf[["x", "y", "w", "h"]].to_numpy()
-        stay: list[int] = []
-        for i, (x, y, w, h) in enumerate(box):
-            if stay:
-                b = box[stay]
-                shared = np.clip(np.minimum(b[:, 0] + b[:, 2], x + w) - np.maximum(b[:, 0], x), 0, None) * np.clip(np.minimum(b[:, 1] + b[:, 3], y + h) - np.maximum(b[:, 1], y), 0, None)
-                area = b[:, 2] * b[:, 3]
-                by = area + w * h - shared if measure == "iou" else np.minimum(area, w * h)
-                if (np.divide(shared, by, out=np.zeros_like(shared), where=by > 0) >= least).any():
-                    continue
-            stay.append(i)
-        return pdf.iloc[stay]
-
-    return blocks.groupBy(*PAGE, "text").applyInPandas(keep, blocks.schema)
+    rest = [c for c in blocks.columns if c not in (*PAGE, "text")]
+    each = F.struct(*order, F.struct(*rest).alias("b"))
+    texts = blocks.groupBy(*PAGE, "text").agg(F.array_sort(F.collect_list(each)).alias("bs")).withColumn("bs", F.transform("bs", lambda x: x["b"]))
+    ratio = B.iou if measure == "iou" else B.overlap_ratio
+    side = lambda b: {k: b[k] for k in ("x", "y", "w", "h")}
+    none = F.filter("bs", lambda _: F.lit(False))
+    kept = F.aggregate("bs", none, lambda acc, b: F.when(F.exists(acc, lambda k: ratio(side(k), side(b)) >= least), acc).otherwise(F.concat(acc, F.array(b))))
+    several = F.when(F.size("bs") > 1, kept).otherwise(F.col("bs"))
+    return texts.withColumn("bs", several).select(*PAGE, "text", F.inline("bs")).select(*blocks.columns)
 
 
 def iou_dedup(blocks: DataFrame) -> DataFrame:

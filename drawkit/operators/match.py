@@ -23,8 +23,9 @@ SEPARATORS = ["-", "_", " "]
 
 def file_view(files: DataFrame, name: str = "original_filename") -> DataFrame:
     """Files (check_id, drawing_id, name) with stem, suffix, kind and, for files that can't match, the reason."""
+    files = T.nfkc_rows(files.withColumn("_shown", F.col(name)), name)
     clean = T.clean_text(name)
-    view = files.where(clean != "").select("check_id", "drawing_id", F.col(name).alias("original_filename"), clean.alias("matched_filename"), T.is_temp_file(name).alias("temp"), T.casefold(T.clean_text(T.file_stem(name))).alias("stem"), T.file_suffix(name).alias("suffix"))
+    view = files.where(clean != "").select("check_id", "drawing_id", F.col("_shown").alias("original_filename"), clean.alias("matched_filename"), T.is_temp_file(name).alias("temp"), T.casefold(T.clean_text(T.file_stem(name))).alias("stem"), T.file_suffix(name).alias("suffix"))
     kind = F.when(F.col("temp"), "temp").otherwise(T.suffix_class(F.col("suffix")))
     reason = F.coalesce(*(F.when(F.col("kind") == k, REASONS[k]) for k in ("temp", "model", "native", "other")))
     return view.withColumn("kind", kind).withColumn("ignored_reason", reason)

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -15,8 +11,8 @@ from ..functions import tokens as E
 from ..functions.labels import label
 
 MOST_CHARS, MOST_TERMS = 3000, 30
-#: A glossary up to this many terms is broadcast; a larger one is matched by its terms' first characters.
-BROADCAST_TERMS = 20_000
+#: Characters by which terms are met.
+KEY = 3
 DONE = ["translated", "skipped", "needs_review"]
 STATUSES = ["translated", "cached", "skipped", "needs_review", "failed", "missing"]
 TARGET_LANGS = ["en"]
@@ -59,67 +55,84 @@ def work_queue(segments: DataFrame, translations: DataFrame, *, target_lang: str
     return segments.join(own.select(F.col("segment_id").alias("id"), "source_hash").distinct(), ["id", "source_hash"], "left_anti")
 
 
+def _grams(c: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    run = lambda chars, x, i: F.concat(x, *(F.get(chars, i + k) for k in range(1, n)))
+    return F.array_distinct(T.let(F.split(c, ""), lambda chars: F.array_compact(F.transform(chars, lambda x, i: run(chars, x, i)))))
+
+
 def glossary_terms(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """(id, terms): of the enabled terms in a segment's text the 30 longest, ties by the source.
 
-    A small glossary (its size is counted first) is broadcast and tested against every text. A larger one is joined by a
-    term's first two characters with the pairs of characters of each text, and then tested.
+    A term is met through its first KEY characters (shorter ones through all they have), which are joined with the runs of
+    as many characters of each text, each once; what meets is then tested. So a text meets only terms that begin like
+    something in it, whatever the size of the glossary.
     """
-    terms = glossary.where("enabled and source <> ''").select("source", "target")
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        found = segments.select("id", "source_text").join(F.broadcast(terms), F.contains("source_text", F.col("source")))
-    else:
-        starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("source_text"), F.lit(1))), lambda i: F.substring("source_text", i, F.lit(2))))
-        single = F.array_distinct(F.split("source_text", ""))
-        asked = segments.select("id", "source_text", F.explode(F.concat(starts, single)).alias("_k")).distinct()
-        found = asked.join(terms.withColumn("_k", F.substring("source", 1, 2)), "_k").where(F.contains("source_text", F.col("source")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("source")), "source", "target"))
-    kept = found.select("id", "source", "target").withColumn("rank", rank).where(f"rank <= {MOST_TERMS}")
-    return kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "target"))), lambda t: F.struct(t["source"].alias("source"), t["target"].alias("target"))).alias("terms"))
-
-
-def split_chunks(text: str, limit: int = MOST_CHARS) -> list[str]:
-    """pieces of at most `limit` characters, cut at sentence ends; a longer sentence not inside a number or placeholder."""
-    if len(text) <= limit:
-        return [text]
-    out: list[str] = []
-    held = ""
-    for part in filter(None, map(str.strip, re.split(r"(?<=[。！？；;!?])\s*|(?<=\.)\s+|\n+", text))):
-        while len(part) > limit:
-            cut = limit
-            while cut > 0 and part[cut - 1].isdigit() and part[cut].isdigit():
-                cut -= 1
-            while cut > 0 and "." in part[cut - 1 : cut + 1]:
-                cut -= 1
-            cut = next((m.start() for m in re.finditer(r"SCGPH\d{4}", part) if m.start() < cut < m.end()), cut) or limit
-            out.append(part[:cut].strip())
-            part = part[cut:].strip()
-        if held and len(held) + len(part) + 1 > limit:
-            out.append(held)
-            held = part
-        elif part:
-            held = f"{held} {part}".strip()
-    return [*out, held] if held else out or [text]
+    terms = glossary.where("enabled and source <> ''").select("source", "target").withColumn("_k", F.left("source", F.lit(KEY)))
+    asked = segments.select("id", "source_text", F.explode(F.concat(*(_grams(F.col("source_text"), n) for n in range(1, KEY + 1)))).alias("_k"))
+    found = asked.join(terms, "_k").where((F.length("source") <= KEY) | F.contains("source_text", F.col("source")))
+    ranked = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("source")).alias("n"), "source", "target"))).alias("ts"))
+    return ranked.select("id", F.transform(F.slice("ts", 1, MOST_TERMS), lambda t: F.struct(t["source"].alias("source"), t["target"].alias("target"))).alias("terms"))
 
 
-def chunks(rows: DataFrame, text_col: str = "masked", limit: int = MOST_CHARS) -> DataFrame:
-    """rows with chunk_no and chunk. Texts within the limit, nearly all, don't leave the JVM."""
+def hard_cut(c: Column, limit: int) -> Column:
+    """where to cut a text longer than the limit: at the limit, or before a number or placeholder that stands there.
+
+    Digits that go on beyond the cut are left to the next piece; then the cut lies neither before nor behind a full stop.
+    If that leaves nothing the cut is at the limit.
+    """
+    digits = F.when(F.substring(c, limit + 1, 1).rlike(r"(?U)\d"), F.regexp_replace(F.left(c, F.lit(limit)), r"(?U)\d+$", "")).otherwise(F.left(c, F.lit(limit)))
+
+    def before_marker(cut: Column) -> Column:
+        ahead = F.length(F.regexp_extract(F.left(c, cut + 8), r"(?s)^(.*)SCGPH[0-9]{4}", 1))
+        holds = F.left(c, cut + 8).rlike(r"SCGPH[0-9]{4}") & (ahead < cut) & (cut < ahead + 9)
+        at = F.when(holds, ahead).otherwise(cut)
+        return F.when(at > 0, at).otherwise(limit)
+
+    clear = lambda n: F.length(F.regexp_extract(F.left(c, n + 1), r"(?s)^(.*[^.])[^.]", 1))
+    return T.let(T.let(F.length(digits), clear), before_marker)
+
+
+def hard_pieces(c: Column, limit: int) -> Column:
+    """pieces of a sentence, each but the last cut where hard_cut() says. Two cuts take a limit's worth, which bounds their number."""
+    start = F.struct(c.alias("rest"), F.array().cast("array<string>").alias("out"))
 
-    @F.pandas_udf(S.ArrayType(S.StringType()))
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_chunks(t, limit))
+    def step(acc: Column, _: Column) -> Column:
+        cut = lambda at: F.struct(T.strip(F.substring(acc["rest"], at + 1, F.length(acc["rest"]))).alias("rest"), F.concat(acc["out"], F.array(T.strip(F.left(acc["rest"], at)))).alias("out"))
+        return F.when(F.length(acc["rest"]) > limit, T.let(hard_cut(acc["rest"], limit), cut)).otherwise(acc)
 
-    short = rows.where(F.length(text_col) <= limit).withColumns({"chunk_no": F.lit(0), "chunk": F.col(text_col)})
-    long = rows.where(F.length(text_col) > limit).select("*", F.posexplode(cut(F.col(text_col))).alias("chunk_no", "chunk"))
-    return short.unionByName(long)
+    most = (2 * F.ceil(F.length(c) / max(1, limit - 10)) + 2).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: F.concat(acc["out"], F.array(acc["rest"])))
+
+
+def split_chunks(c: Column, limit: int = MOST_CHARS) -> Column:
+    """array of pieces of at most `limit` characters: sentences packed in order, longer ones cut.
+
+    Sentences end behind 。！？；;!? and line ends, and behind a full stop with a space. The cut pieces of a long sentence
+    come before what was being packed; its last piece is packed on.
+    """
+    sentences = F.filter(F.transform(F.split(c, r"(?U)(?<=[。！？；;!?])\s*|(?<=\.)\s+|\n+"), T.strip), lambda x: x != "")
+    pieces = F.transform(sentences, lambda x: F.when(F.length(x) > limit, hard_pieces(x, limit)).otherwise(F.array(x)))
+    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def pack(acc: Column, parts: Column) -> Column:
+        last, out = F.element_at(parts, -1), F.concat(acc["out"], F.slice(parts, 1, F.size(parts) - 1))
+        full = (acc["held"] != "") & (last != "") & (F.length(acc["held"]) + F.length(last) + 1 > limit)
+        return F.when(full, F.struct(last.alias("held"), F.concat(out, F.array(acc["held"])).alias("out"))).otherwise(F.struct(T.strip(F.concat_ws(" ", acc["held"], last)).alias("held"), out.alias("out")))
+
+    packed = F.aggregate(pieces, start, pack, lambda acc: F.when(acc["held"] != "", F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]))
+    return F.when(F.length(c) <= limit, F.array(c)).otherwise(T.let(packed, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(c))))
+
+
+def chunks(rows: DataFrame, text_col: str = "masked", limit: int = MOST_CHARS) -> DataFrame:
+    """rows with chunk_no and chunk."""
+    return rows.select("*", F.posexplode(split_chunks(F.col(text_col), limit)).alias("chunk_no", "chunk"))
 
 
 def mask_tokens(rows: DataFrame, text_col: str = "source_text") -> DataFrame:
-    """Rows with spans, tokens and masked. Texts that can't hold a token don't leave the JVM."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    maybe = F.col(text_col).rlike(E.MAYBE)
-    spanned = rows.where(~maybe).withColumn("spans", empty).unionByName(rows.where(maybe).withColumn("spans", E.raw_spans(F.col(text_col))))
-    spanned = spanned.withColumn("spans", E.union_spans(F.col("spans")))
+    """Rows with spans, tokens and masked. Of texts that can't hold a token nothing but a null leaves the JVM."""
+    maybe = F.when(F.col(text_col).rlike(E.MAYBE), F.col(text_col))
+    spanned = rows.withColumn("spans", E.raw_spans(maybe)).withColumn("spans", E.union_spans(F.col("spans")))
     return spanned.withColumns({"tokens": E.span_texts(F.col(text_col), F.col("spans")), "masked": E.mask(F.col(text_col), F.col("spans"))})
 
 

@@ -15,9 +15,8 @@ def prepare_rows(rows: DataFrame) -> DataFrame:
 
     A drawing belongs to one check here; check_id is carried as part of the row.
     """
-    checks = rows.select("drawing_id", "check_id").distinct()
-    clean = bom.filter_rows(rows.drop("check_id").withColumn("issues", F.array().cast("array<string>")))
-    return bom.merge_and_validate(clean).join(checks, "drawing_id")
+    rows = T.nfkc_rows(rows, "sequence_no", "code", "name", "note", "quantity", "raw_text")
+    return bom.merge_and_validate(bom.filter_rows(rows.withColumn("issues", F.array().cast("array<string>"))))
 
 
 def kit_check_all(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -54,15 +53,14 @@ def rematch_edited(items: DataFrame, patch: DataFrame, files: DataFrame) -> tupl
 
 def bom_from_text(drawings: DataFrame, limit: int = 10) -> DataFrame:
     """K5: BOM rows of the drawings' full texts. drawings: id, all_text, title_text, filename."""
-    lines = bom.table_pages(bom.page_lines(drawings, most_sections=limit))
+    lines = T.nfkc_rows(bom.table_pages(bom.page_lines(drawings, most_sections=limit)), "line")
     codes = drawings.select(F.col("id").alias("drawing_id"), T.drawing_code("title_text", T.display_filename("original_filename", "filename"), F.lit("")).alias("title_code"))
-    # Settled, or the filters that follow would be pushed below the parsing and parse each line again and again.
-    return bom.merge_and_validate(bom.filter_rows(settled(bom.lines_to_rows(lines)), codes))
+    return bom.merge_and_validate(bom.filter_rows(bom.lines_to_rows(lines), codes))
 
 
 def bom_from_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K6: (rows, titles) from the places of the blocks."""
-    rows, heads = geometry.scan_to_bom(blocks)
+    rows, heads = geometry.scan_to_bom(T.nfkc_rows(blocks, "text"))
     codes = heads.select("drawing_id", "title_code")
     return bom.merge_and_validate(bom.filter_rows(rows.drop("x", "y", "w", "h"), codes)), heads
 
@@ -98,7 +96,7 @@ def layout_ingest(payloads: DataFrame, markdown: DataFrame) -> DataFrame:
     blocks = settled(layout.layout_blocks(payloads))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "pos", "text"))), lambda x: x["text"]), "\n\n")
     titles = layout.title_tables(blocks).groupBy("drawing_id").agg(ordered.alias("title_text"))
-    regions = layout.tech_regions(blocks).groupBy("drawing_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("_region"))
+    regions = layout.tech_regions(blocks).groupBy("drawing_id").agg(ordered.alias("_region"))
     sections = layout.tech_sections(markdown)
     out = markdown.select("drawing_id", layout.title_lines("markdown").alias("_lines"))
     for other in (titles, regions, sections, layout.all_text(blocks, markdown)):

@@ -6,14 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir; in a temporary one if the session has none."""
+    """A fresh path in the folder of spark.checkpoint.dir. A local session without one gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not at.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
             at = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = at.get()
@@ -25,3 +28,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df as it is, but the optimizer moves no expression across: what is worked out below isn't worked out again in filters above."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))

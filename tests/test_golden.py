@@ -45,6 +45,14 @@ def test_matching_wide_codes_and_order(spark):
     assert got.match_status == "exists" and [m.drawing_id for m in got.matches] == [3, 9]
 
 
+@pytest.mark.parametrize("name,file", [("Ⅱ型板", "AB.0001-II型板.pdf"), ("㎜尺", "AB.0001-mm尺.pdf"), ("ｶﾞｲﾄﾞ", "AB.0001-ガイド.pdf"), ("mm尺", "AB.0001_㎜尺.pdf"), ("①型", "ＡＢ．０００１ 1型.pdf")])
+def test_matching_compatibility_forms(spark, name, file):
+    ddl = "check_id long, drawing_id long, pos int, page_number int, sequence_no string, code string, name string, note string, quantity string, raw_text string"
+    rows = spark.createDataFrame([(1, 1, 1, 1, "1", "AB.0001", name, "", "1", "")], ddl)
+    got = jobs.kit_check_all(rows, spark.createDataFrame([(1, 5, file)], "check_id long, drawing_id long, original_filename string")).first()
+    assert got.match_status == "exists"
+
+
 def test_items_order_of_rules(spark):
     assert kit(spark, "SK.CNC.0003", "外框", [(1, "x.pdf")], "标准件").match_status == "exempt"
     odd = kit(spark, "$$", "外框", [(1, "x.pdf")], "标准件")
@@ -98,12 +106,20 @@ def test_issues(spark):
     assert "psi" in issue("5 MPa", "700 psi") and "磅" in issue("5 kg", "11 lb") and "标准体系" in issue("GB 1", "ISO 1")
 
 
-def test_chunks():
-    assert translate.split_chunks("短") == ["短"]
-    parts = translate.split_chunks("一二三。" * 30, 20)
+def test_chunks(spark):
+    cut = lambda x, limit=3000: spark.createDataFrame([(x,)], "x string").select(translate.split_chunks(F.col("x"), limit).alias("c")).first().c
+    assert cut("短") == ["短"] and cut("") == [""]
+    parts = cut("一二三。" * 30, 20)
     assert "".join(p.replace(" ", "") for p in parts) == "一二三。" * 30 and max(map(len, parts)) <= 20
-    cut = translate.split_chunks("a" * 17 + "12345" + "b" * 10, 20)
-    assert cut[0] == "a" * 17 and "SCGPH0001" in translate.split_chunks("a" * 15 + "SCGPH0001" + "b" * 20, 20)[1]
+    assert cut("a" * 17 + "12345" + "b" * 10, 20)[0] == "a" * 17
+    assert "SCGPH0001" in cut("a" * 15 + "SCGPH0001" + "b" * 20, 20)[1]
+    assert cut("a" * 18 + "1.5" + "b" * 10, 20)[0] == "a" * 18 and cut("7" * 50, 20) == ["7" * 20, "7" * 20, "7" * 10]
+    rng = random.Random(12)
+    for _ in range(15):
+        text = "".join(rng.choice(["一二。", "ab. ", "123", "4.5", "SCGPH0007", "x" * 9, "！", "\n"]) for _ in range(40))
+        parts = cut(text, 25)
+        assert max(map(len, parts)) <= 25 and sorted("".join(parts).replace(" ", "")) == sorted("".join(text.split()))
+        assert sum(p.count("SCGPH0007") for p in parts) == text.count("SCGPH0007")
 
 
 def test_bom_rows(spark):
@@ -209,6 +225,69 @@ def test_title_region_and_ingest(spark):
     assert doc.title_text == "SK.CNC.0001\n工作台框" and doc.tech_text == "技术要求 1. 发黑" and doc.all_text.count("技术要求") == 1
 
 
+def test_tables_as_text(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        parts: list
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("tr", "br"):
+                self.parts.append("\n")
+            elif tag in ("td", "th") and self.parts and self.parts[-1] not in ("\n", " | "):
+                self.parts.append(" | ")
+
+        def handle_data(self, data):
+            self.parts += [data.strip()] if data.strip() else []
+
+    import re
+
+    rng = random.Random(3)
+    texts = ["<table>" + "".join(rng.choice(["<tr>", "</tr>", "<td>", "</td>", "<th class='a'>", "<br/>", "<b>", "</b>", " x ", "a|b", "&deg;C", "&#177;0.1", "&times;", "&lt;td&gt;", "\n", "1 < 2", " "]) for _ in range(rng.randint(1, 12))) + "</table>" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", layout.html_table_text(F.col("t")).alias("a"), layout.plain_markdown(F.concat(F.lit("# h\n"), "t", F.lit(" &deg;\n- i"))).alias("b")).collect():
+        p = Plain()
+        p.parts = []
+        p.feed(r.t)
+        p.close()
+        want = re.sub(r"\n{2,}", "\n", re.sub(r"[ \t]*\|[ \t]*", " | ", "".join(p.parts))).strip(" \n|")
+        assert r.a == want
+        assert r.b == re.sub(r"\n{3,}", "\n\n", re.sub(r" {2,}\n", "\n", f"h\n\n{want}\n &deg;\ni"))
+
+
+def test_unescape(spark):
+    import html
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["&deg;", "&#177;", "&amp;lt;", "&lt", "&copy2", "&#x41;", "&#128;", "&bogus;", "& ", "&", "a", "&#0;", "&notit;", "&nbsp;", "&#55296;", "&#x1F600;"]) for _ in range(6)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.u == html.unescape(r.t) for r in df.select("t", T.unescape(F.col("t")).alias("u")).collect())
+
+
+def test_requirement_regions(spark):
+    ddl = "drawing_id long, page_idx int, pos int, type string, content string, x0 double, y0 double, x1 double, y1 double"
+    row = lambda d, k, kind, text, x=None, y=None: (d, 0, k, kind, text, x, y, None if x is None else x + 0.3, None if y is None else y + 0.05)
+    rows = [
+        row(1, 0, "text", "技术要求：", 0.1, 0.2), row(1, 1, "text", "1. a", 0.12, 0.26), row(1, 2, "image", "no", 0.1, 0.3), row(1, 3, "text", "b", 0.1, 0.32), row(1, 4, "text", "other column", 0.6, 0.4), row(1, 5, "text", "c", 0.1, 0.5),
+        row(2, 0, "text", "技术条件 x", 0.1, 0.2), row(2, 1, "text", "above", 0.1, 0.1), row(2, 2, "text", "below", 0.1, 0.3),
+        row(3, 0, "text", "技术要求", 0.5, 0.5), row(3, 1, "text", "left", 0.1, 0.6), row(3, 2, "text", "1. a", 0.5, 0.6), row(3, 3, "text", "low", 0.5, 0.96), row(3, 4, "text", "b", 0.5, 0.7),
+        row(4, 0, "text", "工艺要求"), row(4, 1, "text", "a"), row(4, 2, "text", "2、b"), row(4, 3, "text", "c"),
+    ]
+    got = {r.drawing_id: r.text for r in layout.tech_regions(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {1: "1. a\nb", 2: "x", 3: "1. a", 4: "a\n2、b"}
+
+
+def test_title_lines(spark):
+    cases = [
+        ("图名DRAWING NAME | 面板 | 图号 | AB01", [("图名", "面板"), ("图号", "AB01")]), ("1:5 | 比例", [("比例", "1:5")]), ("版次 | 状态 | 说明", []), ("齿数 | 20", []), ("材料：45", [("材料", "45")]), ("图名 外框 | x", [("图名", "外框")]),
+        ("制图 | AB12.3", [("图号", "AB12.3")]), ("标记 | 比例", []), ("12 | 单位 | 某某机械厂", [("单位", "某某机械厂")]), ("a | b | 材料", [("材料", "b")]), ("a | b | 材料 | 图名", [("材料", "b"), ("图名", "a")]), ("第 2 页 共 3 页 | x", [("页码", "第 2 页 共 3 页")]),
+        ("初版 | x", [("版次记录", "初版 | x")]), ("REV A | x", [("版次", "A")]), ("某某大学", []), ("Q235", [("材料", "Q235")]), ("外框体", [("图名", "外框体")]), ("scale 1:2", [("比例", "2")]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: [(p.label, p.text) for p in r.p if p.label] for r in df.select("i", segments.title_pairs(F.col("t")).alias("p")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_title_tables(spark):
     ddl = "drawing_id long, page_idx int, pos int, type string, content string, x0 double, y0 double, x1 double, y1 double"
     rows = [(1, 0, 0, "table", "图号 A 材料 45", 0.5, 0.7, 0.9, 0.9), (1, 0, 1, "table", "图号 A 材料 45 比例 1:2 图名 框", 0.5, 0.7, 0.9, 0.95), (1, 0, 2, "table", "图号 B 材料 50", 0.0, 0.0, 0.3, 0.3), (1, 0, 3, "table", "齿数 12", 0.0, 0.5, 0.2, 0.6), (1, 0, 4, "table", "图号 C 比例 1", None, None, None, None)]
@@ -265,12 +344,14 @@ def test_requests(spark):
     assert got == {1: None, 2: "mode", 3: "empty", 4: "no root", 5: "root outside", 6: "deleted: 7", 7: "unsupported: 2", 8: "too many", 9: "empty"}
 
 
-def test_glossary_by_prefix_agrees_with_broadcast(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "abc cab a"), (2, ""), (3, "xyz")], "id long, source_text string")
-    terms = spark.createDataFrame([(s, s.upper(), True) for s in ("a", "ab", "cab", "zz", "c a")], "source string, target string, enabled boolean")
-    want = sorted(map(repr, translate.glossary_terms(rows, terms).collect()))
-    monkeypatch.setattr(translate, "BROADCAST_TERMS", 1)
-    assert sorted(map(repr, translate.glossary_terms(rows, terms).collect())) == want and want
+def test_glossary_terms(spark):
+    texts = {1: "abc cab a", 2: "", 3: "xyz", 4: "c" * 50 + "abcd", 5: "外框 面板", 6: None}
+    names = ["a", "ab", "cab", "zz", "c a", "bcd", "外", "框 面", "x" * 4, "", "cccc", *("c" * n for n in range(5, 45))]
+    rows = spark.createDataFrame(list(texts.items()), "id long, source_text string")
+    terms = spark.createDataFrame([(s, s.upper(), True) for s in names] + [("abc", "-", False)], "source string, target string, enabled boolean")
+    got = {r.id: [t.source for t in r.terms] for r in translate.glossary_terms(rows, terms).collect()}
+    want = {i: sorted({s for s in names if s and s in (t or "")}, key=lambda s: (-len(s), s))[:30] for i, t in texts.items()}
+    assert got == {i: t for i, t in want.items() if t} and len(got[4]) == 30
 
 
 def test_tables_refuse_unknown_columns(spark):
