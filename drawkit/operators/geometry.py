@@ -123,24 +123,35 @@ def table_pages(blocks: DataFrame) -> DataFrame:
 
     The table's window reaches from 0.35 above the header to 0.08 below it, and 0.07 beyond the outer columns.
     """
-    keys = [*HEADER_KEYS, *OPTIONAL_COLUMNS]
-    pages = page_arrays(blocks, ["text", "x", "y", "w", "h"])
-    pages = pages.where(F.exists("bs", lambda b: b["text"].rlike("|".join(HEADER_KEYS)))).withColumn("starts", row_starts(F.col("bs"), 0.018))
-    rows = F.transform(runs(F.col("bs"), F.col("starts")), lambda r, i: F.struct(names_of(r).alias("n"), (-i).alias("i"), r.alias("r")))
-    best = F.element_at(F.array_sort(F.transform(F.filter(rows, lambda x: x["n"] >= 3), lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i")))), -1)
-    pages = once(pages.withColumn("best", best)).where("best is not null")
-    pages = once(pages.withColumn("header", F.get(runs(F.col("bs"), F.col("starts")), -F.col("best.i"))))
-    first = lambda k: F.get(F.filter("header", lambda b: b["text"].contains(k)), F.lit(0))["cx"]
-    columns = F.filter(F.array(*(F.struct(first(k).alias("col_x"), F.lit(i).alias("col_order"), F.lit(k).alias("key")) for i, k in enumerate(keys))), lambda c: c["col_x"].isNotNull())
-    hy = F.aggregate("header", F.lit(0.0), lambda a, b: a + b["cy"]) / F.size("header")
-    pages = once(pages.select(*PAGE, "bs", "header", columns.alias("columns"), hy.alias("hy")))
-    xs = F.transform("columns", lambda c: c["col_x"])
-    pages = pages.withColumns({"x_min": F.array_min(xs) - 0.07, "x_max": F.array_max(xs) + 0.07, "complete": F.size(F.filter("columns", lambda c: c["key"].isin(HEADER_KEYS))) == len(HEADER_KEYS)})
-    inside = F.filter("bs", lambda b: b["cy"].between(F.col("hy") - 0.35, F.col("hy") + 0.08) & b["cx"].between(F.col("x_min"), F.col("x_max")) & ~is_header_block(b["text"]) & ~F.exists("header", lambda h: h["pos"] == b["pos"]))
-    cells = F.transform(inside, lambda b: F.struct(*(b[k].alias(k) for k in ("cy", "cx", "pos", "text", "x", "y", "w", "h")), nearest_column(F.col("columns"), b["cx"]).alias("key")))
-    pages = once(pages.select(*PAGE, "header", "complete", cells.alias("cells")))
-    pages = once(pages.withColumn("starts", row_starts(F.col("cells"), 0.013)))
-    return pages.select(*PAGE, "header", runs(F.col("cells"), F.col("starts")).alias("rows"), "complete")
+    pages = page_arrays(blocks, ["text", "x", "y", "w", "h"]).where(F.exists("bs", lambda b: b["text"].rlike("|".join(HEADER_KEYS))))
+    # Each step is bound to a name once; as columns of their own they would be copied or worked out again in the next.
+    rows_of = lambda bs, tolerance: T.let(row_starts(bs, tolerance), lambda at: runs(bs, at))
+    return pages.select(*PAGE, T.let(rows_of(F.col("bs"), 0.018), lambda rows: T.let(header_of(rows), lambda h: F.when(h.isNotNull(), _table(F.col("bs"), h, rows_of)))).alias("t")).where("t is not null").select(*PAGE, "t.*")
+
+
+def header_of(rows: Column) -> Column:
+    """A18 of an array of rows: the row with most column names, at least three; ties go to the first."""
+    ranked = F.array_sort(F.transform(rows, lambda r, i: F.struct(names_of(r).alias("n"), (-i).alias("i"))))
+    return T.let(F.element_at(ranked, -1), lambda best: F.when(best["n"] >= 3, F.get(rows, -best["i"])))
+
+
+def _table(bs: Column, header: Column, rows_of) -> Column:
+    """G3 of one page: struct (header, rows, complete)."""
+    first = lambda k: F.get(F.filter(header, lambda b: b["text"].contains(k)), F.lit(0))["cx"]
+    columns = F.filter(F.array(*(F.struct(first(k).alias("col_x"), F.lit(i).alias("col_order"), F.lit(k).alias("key")) for i, k in enumerate([*HEADER_KEYS, *OPTIONAL_COLUMNS]))), lambda c: c["col_x"].isNotNull())
+    hy = F.aggregate(header, F.lit(0.0), lambda a, b: a + b["cy"]) / F.size(header)
+
+    def frame(columns: Column) -> Column:
+        xs = F.transform(columns, lambda c: c["col_x"])
+        return F.struct(columns.alias("columns"), hy.alias("hy"), (F.array_min(xs) - 0.07).alias("x0"), (F.array_max(xs) + 0.07).alias("x1"), F.transform(header, lambda h: h["pos"]).alias("own"))
+
+    def whole(f: Column) -> Column:
+        inside = F.filter(bs, lambda b: b["cy"].between(f["hy"] - 0.35, f["hy"] + 0.08) & b["cx"].between(f["x0"], f["x1"]) & ~F.array_contains(f["own"], b["pos"]) & ~is_header_block(b["text"]))
+        cells = F.transform(inside, lambda b: F.struct(*(b[k].alias(k) for k in ("cy", "cx", "pos", "text", "x", "y", "w", "h")), nearest_column(f["columns"], b["cx"]).alias("key")))
+        complete = F.size(F.filter(f["columns"], lambda c: c["key"].isin(HEADER_KEYS))) == len(HEADER_KEYS)
+        return F.struct(header.alias("header"), T.let(cells, lambda c: rows_of(c, 0.013)).alias("rows"), complete.alias("complete"))
+
+    return T.let(T.let(columns, frame), whole)
 
 
 def title_regions(blocks: DataFrame) -> DataFrame:
