@@ -2,8 +2,8 @@
 
 What is reached, at which depth and by which references does not depend on an order and is a loop of joins from the
 roots on: each round joins the frontier with the edges and leaves out what was seen. Rounds end in the shared folder.
-Flags that depend on the order of a walk are worked out per check (at most 200 drawings) in Arrow groups, with
-in_cycle as the form that doesn't.
+Marks that depend on the order of a walk are worked out per check in Arrow groups, for checks of at most 200 drawings,
+which is what a request may hold; in larger ones the references that lie on a cycle are marked, in any order.
 """
 
 from __future__ import annotations
@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from ..shared import settled
 
 MOST_DEPTH = 50
+#: Drawings of a check that is walked in order.
+MOST_DRAWINGS = 200
+#: What marked items say.
+MARKS = {
+    "self": "循环引用：明细表指向图纸自身，未继续展开", "path": "循环引用：该子装配已在上层展开，未重复提取", "depth": "达到子装配展开深度上限，未继续展开",
+    "failed": "匹配文件可能为子装配，但明细表识别失败，未继续展开",
+}
+#: Rounds of peeling that are one job.
+STEPS = 4
 
 
 def expand(roots: DataFrame, edges: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
@@ -44,12 +53,14 @@ def parents(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def peel(edges: DataFrame) -> DataFrame:
-    """edges without those that lead from a node nothing leads to, or to one that leads nowhere, until none does."""
+    """edges without those that lead from a node nothing leads to, or to one that leads nowhere, until none does. STEPS layers are one job."""
     n = edges.count()
     while n:
-        kept = edges.join(edges.select("check_id", F.col("child").alias("parent")).distinct(), ["check_id", "parent"], "left_semi")
-        kept = kept.join(edges.select("check_id", F.col("parent").alias("child")).distinct(), ["check_id", "child"], "left_semi")
-        edges = settled(kept.select("check_id", "parent", "child"))
+        kept = edges
+        for _ in range(STEPS):
+            led, leads = kept.select("check_id", F.col("child").alias("parent")).distinct(), kept.select("check_id", F.col("parent").alias("child")).distinct()
+            kept = kept.join(led, ["check_id", "parent"], "left_semi").join(leads, ["check_id", "child"], "left_semi").select("check_id", "parent", "child")
+        edges = settled(kept)
         if (m := edges.count()) == n:
             break
         n = m
@@ -97,8 +108,8 @@ def in_cycle(edges: DataFrame) -> DataFrame:
 def walk_flags(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """J21, path-exact: (check_id, item_id, on_path, depth): items whose file is the drawing itself or one on the path to it.
 
-    edges: check_id, item_id, parent, child; a walk follows them in the order of item_id. A check is one group: it has
-    at most 200 drawings by request.
+    edges: check_id, item_id, parent, child; a walk follows them in the order of item_id, and stops below most_depth
+    (on_path is null there). A check is one group; larger ones than MOST_DRAWINGS are for in_cycle().
     """
     starts = roots.groupBy("check_id").agg(F.sort_array(F.collect_set("drawing_id")).alias("_roots"))
 
@@ -118,17 +129,35 @@ def walk_flags(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH)
                     todo.pop()
                     path.pop()
                     continue
-                on_path = child in path
+                on_path = None if len(path) > most_depth else child in path
                 out.append((pdf["check_id"].iloc[0], item, on_path, len(path) - 1))
-                if not on_path and child not in visited and len(path) <= most_depth:
+                if on_path is False and child not in visited:
                     visited.add(child)
                     path.append(child)
                     todo.append(iter(by.get(child, ())))
-        return pd.DataFrame(out, columns=["check_id", "item_id", "on_path", "depth"])
+        return pd.DataFrame(out, columns=["check_id", "item_id", "on_path", "depth"]).astype({"on_path": "boolean"})
 
     return edges.join(starts, "check_id").groupBy("check_id").applyInPandas(walk, "check_id long, item_id long, on_path boolean, depth int")
 
 
+def reference_marks(edges: DataFrame, roots: DataFrame, reached: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """(check_id, item_id, mark): items whose reference ends the expansion: "self", "path" or "depth".
+
+    edges: check_id, item_id, parent, child, of the drawings reached. Checks of at most MOST_DRAWINGS parents are walked in order.
+    """
+    own = edges.where("parent = child").select("check_id", "item_id", F.lit("self").alias("mark"))
+    others = settled(edges.where("parent <> child"))
+    sizes = others.groupBy("check_id").agg(F.count_distinct("parent").alias("n"))
+    small, large = sizes.where(F.col("n") <= MOST_DRAWINGS).select("check_id"), sizes.where(F.col("n") > MOST_DRAWINGS).select("check_id")
+    walked = walk_flags(others.join(small, "check_id", "left_semi"), roots.join(small, "check_id", "left_semi"), most_depth)
+    marks = own.unionByName(walked.where("on_path is null or on_path").select("check_id", "item_id", F.when(F.col("on_path"), "path").otherwise("depth").alias("mark")))
+    if not large.isEmpty():
+        rest = others.join(large, "check_id", "left_semi")
+        deep = rest.join(reached.where(F.col("depth") >= most_depth).select("check_id", F.col("drawing_id").alias("parent")), ["check_id", "parent"], "left_semi")
+        marks = marks.unionByName(in_cycle(rest).where("in_cycle").select("check_id", "item_id", F.lit("path").alias("mark"))).unionByName(deep.select("check_id", "item_id", F.lit("depth").alias("mark")))
+    return marks.distinct()
+
+
 def child_failures(edges: DataFrame, extractions: DataFrame) -> DataFrame:
     """(check_id, item_id) of items whose file is a table that couldn't be read. extractions: drawing_id, status, rows_count."""
     bad = extractions.where((F.col("status") == "failed") | ((F.col("status") == "partial") & (F.col("rows_count") == 0))).select(F.col("drawing_id").alias("child"))

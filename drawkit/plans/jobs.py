@@ -24,16 +24,34 @@ def kit_check_all(rows: DataFrame, files: DataFrame) -> DataFrame:
     return match.build_items(prepare_rows(rows), files)
 
 
-def kit_check_manual(rows: DataFrame, files: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """K2: (items, reached): items of the drawings that the roots reach by files that exist, and those drawings with their depth.
+def kit_check_manual(rows: DataFrame, files: DataFrame, roots: DataFrame, extractions: DataFrame | None = None, most_depth: int = graph.MOST_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(items, reached): items of the drawings that the roots reach by files that exist, and those drawings with their depth.
 
-    Matching is done once for all drawings; the expansion restricts it. roots: check_id, drawing_id.
+    Matching is done once for all drawings; the expansion restricts it. Items at which the expansion ends for a reason
+    (a cycle, the depth limit, a table that couldn't be read) are for review and say so. roots: check_id, drawing_id.
+    extractions: drawing_id, status, rows_count; without them every table counts as read.
     """
-    items = kit_check_all(rows, files)
-    edges = items.where("match_status = 'exists'").select("check_id", F.col("drawing_id").alias("parent"), F.explode("matches").alias("m")).select("check_id", "parent", F.col("m.drawing_id").alias("child"))
+    items = settled(kit_check_all(rows, files).withColumn("_item", F.xxhash64("check_id", "drawing_id", "row_index")))
+    matched = items.where("match_status = 'exists'").select("check_id", F.col("drawing_id").alias("parent"), F.col("_item").alias("item_id"), F.explode("matches.drawing_id").alias("child")).distinct()
     own = rows.select("check_id", F.col("drawing_id").alias("child")).distinct()
-    reached = graph.expand(roots, edges.join(own, ["check_id", "child"], "left_semi").select("check_id", "parent", "child"))
-    return items.join(reached.select("check_id", "drawing_id"), ["check_id", "drawing_id"], "left_semi"), reached
+    edges = settled(matched.join(own, ["check_id", "child"], "left_semi"))
+    failed = None
+    if extractions is not None:
+        failed = graph.child_failures(matched, extractions).select("check_id", "item_id", F.lit("failed").alias("mark"))
+        read = extractions.where("status in ('ok', 'partial') and rows_count > 0").select(F.col("drawing_id").alias("child"))
+        edges = edges.join(read, "child", "left_semi").select("check_id", "parent", "item_id", "child")
+    reached = graph.expand(roots, edges.select("check_id", "parent", "child"), most_depth)
+    seen = reached.select("check_id", F.col("drawing_id").alias("parent"))
+    marks = graph.reference_marks(edges.join(seen, ["check_id", "parent"], "left_semi"), roots, reached, most_depth)
+    marks = marks if failed is None else marks.unionByName(failed)
+    order = F.array(*map(F.lit, graph.MARKS))
+    said = marks.groupBy("check_id", F.col("item_id").alias("_item")).agg(F.array_sort(F.collect_set(F.array_position(order, F.col("mark")))).alias("_marks"))
+    names = F.array(*map(F.lit, graph.MARKS.values()))
+    out = items.join(reached.select("check_id", "drawing_id"), ["check_id", "drawing_id"], "left_semi").join(said, ["check_id", "_item"], "left")
+    marked = F.col("_marks").isNotNull()
+    issue = T.join_issues(F.col("extraction_issue"), F.array_join(F.transform("_marks", lambda k: F.element_at(names, k.cast("int"))), "；"))
+    out = out.withColumns({"extraction_issue": F.when(marked, issue).otherwise(F.col("extraction_issue")), "extraction_status": F.when(marked, "review").otherwise(F.col("extraction_status"))})
+    return out.drop("_item", "_marks"), reached
 
 
 def rematch_edited(items: DataFrame, patch: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,6 +76,15 @@ def bom_from_text(drawings: DataFrame, limit: int = 10) -> DataFrame:
     return bom.merge_and_validate(bom.filter_rows(bom.lines_to_rows(lines), codes))
 
 
+def bom_from_text_status(drawings: DataFrame, rows: DataFrame, pages: DataFrame, limit: int = 10) -> DataFrame:
+    """F52 at the end of K5: (drawing_id, rows, valid, status). rows: bom_from_text(). pages: drawing_id, pages_total, pages_processed, focused, pages_read, issues.
+
+    A drawing has a table if one of its pages names a column.
+    """
+    tables = bom.table_pages(bom.page_lines(drawings, most_sections=limit)).select("drawing_id").distinct().withColumn("has_table", F.lit(True))
+    return bom.drawing_status(rows, pages.join(tables, "drawing_id", "left").fillna(False, ["has_table"]), limit)
+
+
 def bom_from_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K6: (rows, titles) from the places of the blocks."""
     rows, heads = geometry.scan_to_bom(T.nfkc_rows(blocks, "text"))

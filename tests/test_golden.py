@@ -337,6 +337,37 @@ def test_manual_check(spark):
     assert {r.drawing_id for r in items.collect()} == {10, 20} and {(r.drawing_id, r.depth) for r in reached.collect()} == {(10, 0), (20, 1)}
 
 
+def test_manual_check_marks(spark):
+    """Cycles, references to a drawing itself, tables that weren't read and the depth limit."""
+    ddl = "check_id long, drawing_id long, pos int, page_number int, sequence_no string, code string, name string, note string, quantity string, raw_text string"
+    code = lambda d: f"AA.{d:03d}"
+    refs = [(1, 2), (1, 1), (2, 3), (3, 1), (2, 9), (3, 4), (4, 5)]
+    rows = spark.createDataFrame([(1, a, k, 1, str(k), code(b), "b", "", "1", "") for k, (a, b) in enumerate(refs)] + [(1, 5, 50, 1, "1", "ZZ.9", "z", "", "1", ""), (1, 9, 90, 1, "1", "ZZ.9", "z", "", "1", "")], ddl)
+    files = spark.createDataFrame([(1, d, code(d) + ".pdf") for d in (1, 2, 3, 4, 5, 9)], "check_id long, drawing_id long, original_filename string")
+    extractions = spark.createDataFrame([(d, "failed" if d == 9 else "ok", 0 if d == 9 else 2) for d in (1, 2, 3, 4, 5, 9)], "drawing_id long, status string, rows_count long")
+    roots = spark.createDataFrame([(1, 1)], "check_id long, drawing_id long")
+    for most in (graph.MOST_DRAWINGS, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(graph, "MOST_DRAWINGS", most)
+            items, reached = jobs.kit_check_manual(rows, files, roots, extractions)
+            got = {(r.drawing_id, r.code): (r.extraction_status, r.extraction_issue) for r in items.collect()}
+        assert {(r.drawing_id, r.depth) for r in reached.collect()} == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)}
+        assert got[1, code(1)] == ("review", graph.MARKS["self"]) and got[3, code(1)] == ("review", graph.MARKS["path"]) and got[2, code(9)] == ("review", graph.MARKS["failed"])
+        assert got[4, code(5)] == ("ok", "")
+        if most > 1:
+            assert got[1, code(2)] == ("ok", "")
+    items, reached = jobs.kit_check_manual(rows, files, roots, most_depth=2)
+    got = {(r.drawing_id, r.code): r.extraction_issue for r in items.collect()}
+    assert got[3, code(4)] == graph.MARKS["depth"] and {r.drawing_id for r in reached.collect()} == {1, 2, 3, 9}
+
+
+def test_text_status(spark):
+    drawings = spark.createDataFrame([(1, "序号 代号 名称\n1 AB.001 框 2"), (2, "nothing"), (3, "代号\nno code here")], "id long, all_text string").withColumns({"title_text": F.lit(""), "original_filename": F.lit("x.pdf"), "filename": F.lit("x.pdf")})
+    pages = spark.createDataFrame([(i, 1, 1, True, 1, 0) for i in (1, 2, 3)], "drawing_id long, pages_total int, pages_processed int, focused boolean, pages_read int, issues int")
+    got = {r.drawing_id: (r.rows, r.valid, r.status) for r in jobs.bom_from_text_status(drawings, jobs.bom_from_text(drawings), pages).collect()}
+    assert got == {1: (1, 1, "ok"), 2: (0, 0, "no_table"), 3: (0, 0, "failed")}
+
+
 def test_requests(spark):
     drawings = spark.createDataFrame([(1, ".pdf"), (2, ".sldprt")], "id long, file_type string")
     asked = [(1, "all", [1, 1], []), (2, "none", [1], []), (3, "all", [], []), (4, "manual", [1], []), (5, "manual", [1], [9]), (6, "all", [1, 7], []), (7, "all", [2], []), (8, "all", list(range(300)), []), (9, "all", None, None)]
