@@ -66,16 +66,21 @@ def p13_checkable_listing(spark, sf_dir):
     return catalog.checkable(X.drawings(spark, sf_dir)).where("has_ocr").select("id", "name", "has_ocr")
 
 
-@query(D + " select id, filename, '' as title_text, length(all_text) as n from drawings")
+@query(D + " select id, filename, '' as title_text, '' as tech_text, sha256(all_text) as all_text from drawings")
 def p17_ocr_sections_view(spark, sf_dir):
     got = catalog.ocr_sections(X.drawings(spark, sf_dir))
-    return got.select("id", "filename", "title_text", F.char_length("all_text").cast("long").alias("n"))
+    return got.select("id", "filename", "title_text", "tech_text", F.sha2("all_text", 256).alias("all_text"))
 
 
-@query(D + " select count(*) as n from drawings")
+@query(D + """, newest as (select id, row_number() over (order by upload_time desc, id desc) as r from drawings), hits as (select id, row_number() over (order by upload_time desc, id desc) as r from drawings where translate(all_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%the%')
+ select 'count' as tool, count(*) as n from drawings union all select 'detail', id from drawings where id = 7 union all select 'list', id from newest where r between 11 and 20 union all select 'search', id from hits where r <= 10""")
 def p14_named_tool_queries(spark, sf_dir):
-    """The tool count."""
-    return catalog.run_tool(X.drawings(spark, sf_dir), "count")
+    """The tools count, detail, list and search."""
+    rows = X.drawings(spark, sf_dir)
+    out = catalog.run_tool(rows, "count").select(F.lit("count").alias("tool"), "n")
+    for tool, parameters in (("detail", {"id": 7}), ("list", {"page": 2}), ("search", {"keyword": "THE"})):
+        out = out.unionByName(catalog.run_tool(rows, tool, **parameters).select(F.lit(tool).alias("tool"), F.col("id").alias("n")))
+    return out
 
 
 @query(S + " select drawing_id, count(*) as n from segments group by all")
@@ -128,11 +133,11 @@ def u4_keyed_update(spark, sf_dir):
     return tables.keyed_update(*old_new(spark, sf_dir), ["key"], ["v"])
 
 
-@query(f"with {EVENTS} select key, v from o anti join n using (key)")
+@query(f"with {EVENTS} select key, v from o where key not in (select key from n where v % 2 = 0)")
 def u5_keyed_delete(spark, sf_dir):
     """U5, U9."""
     old, new = old_new(spark, sf_dir)
-    return tables.keyed_delete(old, new.select("key"))
+    return tables.keyed_delete(old, new.where("v % 2 = 0").select("key"))
 
 
 @query("select count(*) as n, count(distinct o_custkey) as customers from orders")
@@ -259,11 +264,12 @@ def w2_segment_ordinal_all(spark, sf_dir):
     return segments.number_segments(rows).select("drawing_id", "segment_key", F.col("ordinal").cast("long").alias("ordinal"), "source_hash")
 
 
-@query("select doc_id as drawing_id, length('【标题栏】') + length('【技术要求】') + length('【全文】') + 3 + 4 + length(text) as n from documents")
+@query("select doc_id as drawing_id, sha256('【标题栏】' || chr(10) || source || chr(10) || chr(10) || '【技术要求】' || chr(10) || lang || chr(10) || chr(10) || '【全文】' || chr(10) || text) as value from documents")
 def s13_ocr_text_export(spark, sf_dir):
     from ..sources.files import ocr_text
 
-    return ocr_text(X.drawings(spark, sf_dir)).select("drawing_id", F.char_length("value").cast("long").alias("n"))
+    rows = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title_text"), F.col("lang").alias("tech_text"), F.col("text").alias("all_text"))
+    return ocr_text(rows).select("drawing_id", F.sha2("value", 256).alias("value"))
 
 
 @query("select doc_id as drawing_id, sha256('doc_' || doc_id || '.pdf' || chr(0) || 'v1' || chr(0) || 'm' || chr(0) || '10' || chr(0) || chr(0) || text || chr(0) || 'd.pdf') as signature from documents")

@@ -70,21 +70,39 @@ def t10_reading_order(spark, sf_dir):
     return geometry.reading_order(blocks(spark, sf_dir)).select("drawing_id", "text")
 
 
-@query()
+BLOCKS_IN_ORDER = "b as (select page, pos, text, x, y, w, h, row_number() over (partition by page order by y + h / 2, x + w / 2, pos) as i, y + h / 2 as cy from boxes)"
+
+
+@query(X.ctes("boxes") + f""", {BLOCKS_IN_ORDER},
+f as (select page, pos, i, 0 as g, 1::bigint as n, cy as t from b where i = 1 union all
+  select b.page, b.pos, b.i, case when abs(b.cy - f.t / f.n) <= 0.014 then f.g else f.g + 1 end, case when abs(b.cy - f.t / f.n) <= 0.014 then f.n + 1 else 1 end, case when abs(b.cy - f.t / f.n) <= 0.014 then f.t + b.cy else b.cy end
+  from f join b on b.page = f.page and b.i = f.i + 1)
+select page as drawing_id, pos::int as pos, g as group_id from f""")
 def w6_y_clustering(spark, sf_dir):
-    """W6. Tested against a plain loop."""
+    """W6."""
     return geometry.y_clusters(blocks(spark, sf_dir), 0.014).select("drawing_id", "pos", "group_id")
 
 
-@query()
+def greedy_sql(order: str, by: str, least: float) -> str:
+    """J16, J17 block by block: the list of what stayed goes along."""
+    shared = "greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y))"
+    ratio = by.format(s=shared)
+    return f"""{X.ctes("boxes")}, b as (select *, row_number() over (partition by page, text order by {order}) as i from boxes),
+f as (select page, text, i, pos, true as stays, [{{'x': x, 'y': y, 'w': w, 'h': h}}] as kept from b where i = 1 union all
+  select b.page, b.text, b.i, b.pos, len(list_filter(f.kept, lambda k: {ratio} >= {least})) = 0, case when len(list_filter(f.kept, lambda k: {ratio} >= {least})) = 0 then list_append(f.kept, {{'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}}) else f.kept end
+  from f join b on b.page = f.page and b.text = f.text and b.i = f.i + 1)
+select page as drawing_id, pos::int as pos, text from f where stays"""
+
+
+@query(greedy_sql("y, x, pos", "{s} / (k.w * k.h + b.w * b.h - {s})", 0.8))
 def j16_iou_dedup(spark, sf_dir):
-    """J16. Tested against a plain loop."""
+    """J16."""
     return geometry.iou_dedup(blocks(spark, sf_dir)).select("drawing_id", "pos", "text")
 
 
-@query()
+@query(greedy_sql("pos", "{s} / least(k.w * k.h, b.w * b.h)", 0.6))
 def j17_overlap_dedup(spark, sf_dir):
-    """J17. Tested against a plain loop."""
+    """J17."""
     return geometry.overlap_dedup(blocks(spark, sf_dir)).select("drawing_id", "pos", "text")
 
 
@@ -105,17 +123,27 @@ def g6_tech_region(spark, sf_dir):
     return geometry.tech_regions(own).select("drawing_id", "text", "x", "y")
 
 
-@query("select o_orderkey as drawing_id, 3 + 0 * o_orderkey as columns, case when o_orderkey % 2 = 0 then 2 else 1 end as rows from orders")
+SIZED = "p as (select o_orderkey as k, (1000 + o_orderkey % 9 * 700)::int as w, (900 + o_orderkey % 40 * 120)::int as h from orders)"
+
+
+def sized_pages(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return X.table(spark, sf_dir, "orders").select(k.alias("drawing_id"), (1000 + k % 9 * 700).cast("int").alias("width"), (900 + k % 40 * 120).cast("int").alias("height"))
+
+
+@query(f"""with {SIZED}, xs as (select k, unnest(list_distinct(list_append(range(0, greatest(w - 2000, 0) + 1, 1680), greatest(w - 2000, 0)))) as x0 from p), ys as (select k, unnest(list_distinct(list_append(range(0, greatest(h - 2000, 0) + 1, 1680), greatest(h - 2000, 0)))) as y0 from p)
+select p.k as drawing_id, x0::int as x0, y0::int as y0, least(x0 + 2000, w)::int as x1, least(y0 + 2000, h)::int as y1 from p join xs on p.k = xs.k join ys on p.k = ys.k""")
 def g8_tile_grid(spark, sf_dir):
-    pages = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("drawing_id"), F.lit(5100).alias("width"), F.when(F.col("o_orderkey") % 2 == 0, 3300).otherwise(1900).alias("height"))
-    got = geometry.tile_grid(pages, 2000)
-    return got.groupBy("drawing_id").agg(F.count_distinct("x0").alias("columns"), F.count_distinct("y0").alias("rows"))
+    """Every tile."""
+    return geometry.tile_grid(sized_pages(spark, sf_dir), 2000).select("drawing_id", "x0", "y0", "x1", "y1")
 
 
-@query("select o_orderkey as drawing_id, zone, case zone when 'title' then greatest(round(0.55 * w)::int, w - 2200) when 'tech_right' then greatest(round(0.5 * w)::int, w - 2200) else 0 end as x0 from (select o_orderkey, 1000 + (o_orderkey % 50) * 100 as w from orders), (select unnest(['title', 'tech_left', 'tech_right', 'tech_top']) as zone)")
+@query(f"""with {SIZED}, z as (select * from (values ('title', 0.55, 0.7, 1.0, 1.0, true, true), ('tech_left', 0.0, 0.45, 0.5, 1.0, false, true), ('tech_right', 0.5, 0.0, 1.0, 0.6, true, false), ('tech_top', 0.0, 0.0, 0.5, 0.55, false, false)) t(zone, a, b, c, d, r, u)),
+q as (select k, zone, r, u, round(a * w)::int as x0, round(b * h)::int as y0, round(c * w)::int as x1, round(d * h)::int as y1 from p cross join z)
+select k as drawing_id, zone, case when r then greatest(x0, x1 - 2200) else x0 end as x0, case when u then greatest(y0, y1 - 2200) else y0 end as y0, case when r then x1 else least(x1, x0 + 2200) end as x1, case when u then y1 else least(y1, y0 + 2200) end as y1 from q""")
 def g9_candidate_zones(spark, sf_dir):
-    pages = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("drawing_id"), (1000 + F.col("o_orderkey") % 50 * 100).cast("int").alias("width"), F.lit(1000).alias("height"))
-    return geometry.candidate_zones(pages).select("drawing_id", "zone", "x0")
+    """Every zone's box."""
+    return geometry.candidate_zones(sized_pages(spark, sf_dir)).select("drawing_id", "zone", "x0", "y0", "x1", "y1")
 
 
 @query(X.ctes("boxes") + " select page as drawing_id, pos, round((1000 + x * 500) / 4000, 8) as px0, round((200 + y * 400) / 3000, 8) as py0 from boxes where text <> 'click'")

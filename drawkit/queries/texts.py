@@ -47,12 +47,11 @@ def f9_code_tokens(spark, sf_dir):
     return rows.select("id", F.get(T.code_tokens(F.concat(F.lit("ab 12 "), "code", F.lit(" x"))), F.lit(0)).alias("token"), T.code_from_text(F.concat(F.lit("A1B2\n图号："), "code")).alias("labelled"), T.drawing_name(F.lit(""), F.lit(""), F.col("file"), F.col("code")).alias("rest"))
 
 
-@query(f"with p as ({P}) select id, 'PT.0' || lpad(cast(id as varchar), 6, '0') as fixed from p")
+@query(f"with p as ({P}) select id, 'PT.101' || lpad(cast(id as varchar), 6, '0') as fixed, 'PT.1O1' || lpad(cast(id as varchar), 6, '0') || '-AB' as tight from p")
 def f14_ocr_code_fix(spark, sf_dir):
-    """F14, F15, F17."""
-    code = F.concat(F.lit("pt.1O1"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("-ab"))
-    got = parts(spark, sf_dir).select("id", T.block_code(code).alias("fixed"))
-    return got.select("id", F.concat(F.lit("PT.0"), F.substring("fixed", 7, 6)).alias("fixed"))
+    """a code with a letter O between digits, spaces and a short tail."""
+    code = F.concat(F.lit(" pt.1 O1"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" -ab\t"))
+    return parts(spark, sf_dir).select("id", T.block_code(code).alias("fixed"), T.compact(code).alias("tight"))
 
 
 @query("select doc_id, lower(regexp_replace(text, '[^a-zA-Z0-9_]+', '', 'g')) as letters from documents where regexp_full_match(text, '[\\x00-\\x7f]*')")
@@ -135,9 +134,10 @@ def f45_answer_clean_all(spark, sf_dir):
     return X.table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.answer_clean("text").alias("answer"))
 
 
-@query("select doc_id, length('标题栏：') + length('技术要求：') + length('全文：') + 3 + 4 + length(text) as n from documents")
+@query("select doc_id, sha256('标题栏：' || chr(10) || source || chr(10) || chr(10) || '技术要求：' || chr(10) || lang || chr(10) || chr(10) || '全文：' || chr(10) || text) as context from documents")
 def f46_qa_context(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").select("doc_id", F.char_length(T.qa_context(F.lit(""), F.lit(""), "text")).cast("long").alias("n"))
+    """the whole text, by its digest."""
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.qa_context("source", "lang", "text"), 256).alias("context"))
 
 
 @query("select p_partkey as id, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then p_name else '' end as hint from part")
@@ -241,13 +241,18 @@ def f29_text_chunks_all(spark, sf_dir):
     return translate.chunks(rows).select("doc_id", "chunk_no", "chunk")
 
 
-@query(X.ctes("segments") + " select drawing_id, ordinal, source_text as translated_text, 'translated' as status from segments where not regexp_matches(source_text, '[0-9+/±:-]') and false")
+@query(X.ctes("bom_rows") + """, r as (select drawing_id, pos, 'M' || quantity as m, pos % 4 as k from bom_rows)
+select drawing_id, pos, case k when 0 then 'thread ' || m || ' deep' when 1 then 'thread deep' when 2 then '螺纹 ' || m || ' 深' else '' end as translated_text,
+  case k when 0 then 'translated' when 3 then 'failed' else 'needs_review' end as status,
+  case k when 0 then '' when 1 then '占位符丢失：' || m || '；工程数据未原样保留：' || m when 2 then '译文与原文相同；译文不含目标语言文字' else '占位符丢失：' || m || '；工程数据未原样保留：' || m || '；译文不含目标语言文字' end as issues, case k when 3 then 'timeout' end as error from r""")
 def k9_translation_merge(spark, sf_dir):
-    """K9: results of which none is new text: all are for review, so none is translated."""
-    own = X.segments(spark, sf_dir).where(~F.col("source_text").rlike(r"[0-9+/±:\-]"))
-    results = own.select(F.col("id").alias("segment_id"), F.lit(0).alias("chunk_no"), F.col("source_text").alias("translated"), F.lit(None).cast("string").alias("error"))
-    got = jobs.translation_merge(results, own).where("status = 'translated'")
-    return got.join(own.select(F.col("id").alias("segment_id"), "drawing_id", F.col("ordinal").cast("long").alias("ordinal")), "segment_id").select("drawing_id", "ordinal", "translated_text", "status")
+    """Threads in two chunks each: translated; without the marker; as they were; or lost with the call."""
+    rows = X.bom_rows(spark, sf_dir).select("drawing_id", "pos", F.xxhash64("drawing_id", "pos").alias("id"), F.concat(F.lit("螺纹 M"), "quantity", F.lit(" 深")).alias("source_text"), F.lit("h").alias("source_hash"))
+    k = F.col("pos") % 4
+    texts = F.array(F.when(k == 0, "thread SCGPH0001").when(k == 1, "thread").when(k == 2, "螺纹 SCGPH0001").otherwise(""), F.when(k < 2, "deep").when(k == 2, "深"))
+    results = rows.select(F.col("id").alias("segment_id"), F.posexplode(texts).alias("chunk_no", "translated"), F.when(k == 3, "timeout").alias("error")).where("translated is not null")
+    got = jobs.translation_merge(results, rows)
+    return rows.select(F.col("id").alias("segment_id"), "drawing_id", F.col("pos").cast("long").alias("pos")).join(got, "segment_id").select("drawing_id", "pos", "translated_text", "status", "issues", "error")
 
 
 @query()
