@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.labels import label
 from ..operators import bom, graph, match, tables, verdict
 from ..plans import jobs
+from ..shared import settled
 from ..sources import files as S
 
 QUERIES: dict = {}
@@ -342,15 +343,25 @@ def a3_recorded_status(spark, sf_dir):
     return verdict.recorded_status(rows).select("check_id", "drawing_id", "status", F.size("issues").alias("issues"))
 
 
-@query(ITEMS + """ select check_id, count(*) as lines, count(*) filter (match_status = 'missing') as missing_lines, max(length(code)) as longest from judged group by all""")
+REASONS = {k: v for k, v in match.REASONS.items()}
+LABELLED = "case match_status when 'exists' then '存在' when 'missing' then '不存在' when 'candidate' then '待复核' when 'exempt' then '免查' else '未检查' end"
+
+
+@query(ITEMS + f""", gone as (select check_id, string_agg(distinct case kind when 'temp' then '{REASONS["temp"]}' else '{REASONS["model"]}' end, '；' order by case kind when 'temp' then '{REASONS["temp"]}' else '{REASONS["model"]}' end) as reasons from view where kind <> 'drawing' group by all),
+said as (select j.*, concat_ws('；', case when clash then '{bom.CONFLICT}' end, case when odd then '{REASONS["note"]}' end, case when match_status = 'candidate' then '{REASONS["candidate"]}' end, case when match_status = 'missing' and note <> '标准件' then reasons end) as issue from judged j left join gone g on j.check_id = g.check_id),
+cells as (select check_id, 2 as part, drawing_id, page_number, row_index, concat_ws(',', cast(drawing_id as varchar), '', cast(page_number as varchar), cast(row_index as varchar), sequence_no, code, name, note, quantity, {LABELLED}, coalesce(matched, ''), coalesce(maybe, ''), case extraction_status when 'ok' then '正常' else '待复核' end, issue, concat_ws(' ', code, name, nullif(note, ''), quantity), '否') as line from said),
+tail as (select distinct check_id, 3 as part, drawing_id, 0 as page_number, 0 as row_index, cast(drawing_id as varchar) || ',,,,,,,,,,,,,open,,' as line from said where match_status = 'missing')
+select check_id, part, drawing_id, row_number() over (partition by check_id, part, drawing_id order by page_number, row_index) as n, line from (select * from cells union all select * from tail)""")
 def s11_kit_csv_export(spark, sf_dir):
-    """Lines of the exported table, counted by check."""
-    own = items(spark, sf_dir)
+    """Every line of items and issues, in its place."""
+    from pyspark.sql.window import Window
+
+    own = settled(items(spark, sf_dir))
     sums = own.groupBy("check_id").agg(*verdict.item_counts())
-    issues = spark.createDataFrame([], "check_id long, drawing_id long, issues string")
-    lines = S.kit_csv_lines(sums, own, issues).where("part = 2")
-    cell = F.split("line", ",")
-    return lines.groupBy("check_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.get(cell, F.lit(9)) == "不存在").alias("missing_lines"), F.max(F.length(F.get(cell, F.lit(5)))).cast("long").alias("longest"))
+    issues = own.where("match_status = 'missing'").select("check_id", "drawing_id", F.lit("open").alias("issues")).distinct()
+    lines = S.kit_csv_lines(sums, own, issues).where("part >= 2")
+    place = F.row_number().over(Window.partitionBy("check_id", "part", "ord.a").orderBy("ord"))
+    return lines.select("check_id", "part", F.col("ord.a").alias("drawing_id"), place.cast("long").alias("n"), "line")
 
 
 @query(ITEMS + " select match_status, case match_status when 'exists' then '存在' when 'missing' then '不存在' when 'candidate' then '待复核' when 'exempt' then '免查' end as label, count(*) as n from judged group by all")

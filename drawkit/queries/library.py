@@ -224,9 +224,10 @@ def j11_glossary_term_match(spark, sf_dir):
     return got.select("id", F.array_join(F.transform("terms", lambda t: F.concat(t["source"], F.lit("="), t["target"])), "|").alias("terms"))
 
 
-@query(X.ctes("glossary") + """ select sha256('[' || string_agg('["' || source || '", "' || target || '"]', ', ' order by source, target) || ']') as glossary_hash from glossary where not contains(source, '"') and not contains(source, chr(92))""")
+@query(X.ctes("glossary") + r""", q as (select source, target, replace(replace(source, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') as s, replace(replace(target, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') as t from glossary)
+ select sha256('[' || string_agg('["' || s || '", "' || t || '"]', ', ' order by source, target) || ']') as glossary_hash from q""")
 def a14_glossary_hash(spark, sf_dir):
-    return translate.glossary_hash(X.glossary(spark, sf_dir).where("not contains(source, '\"') and not contains(source, '\\\\')"))
+    return translate.glossary_hash(X.glossary(spark, sf_dir))
 
 
 @query()
@@ -249,12 +250,10 @@ def j23_segment_sync(spark, sf_dir):
     return segments.diff_segments(rows.where("ordinal % 5 > 0"), new)
 
 
-@query(S + """, k as (select drawing_id, 'extra:' || lpad(cast(row_number() over (partition by drawing_id order by ordinal) as varchar), 3, '0') as segment_key, row_number() over (partition by drawing_id order by ordinal) as ordinal, source_hash from segments)
- select * from k where length(segment_key) = 9""")
+@query(S + """, k as (select drawing_id, row_number() over (partition by drawing_id order by ordinal) as ordinal, source_hash from segments) select drawing_id, 'extra:' || format('{:03d}', ordinal) as segment_key, ordinal, source_hash from k""")
 def w2_segment_ordinal(spark, sf_dir):
     rows = X.segments(spark, sf_dir).select("drawing_id", F.lit("extra").alias("section"), F.col("ordinal").alias("pos"), F.lit(0).alias("sub"), F.lit("l").alias("label"), "source_text")
-    got = segments.number_segments(rows)
-    return got.where("length(segment_key) = 9").select("drawing_id", "segment_key", F.col("ordinal").cast("long").alias("ordinal"), "source_hash")
+    return segments.number_segments(rows).select("drawing_id", "segment_key", F.col("ordinal").cast("long").alias("ordinal"), "source_hash")
 
 
 @query()
@@ -372,10 +371,9 @@ def p5_section_filter(spark, sf_dir):
     return translate.section_filter(X.segments(spark, sf_dir).withColumn("section", section), ["title", "tech"]).select("id")
 
 
-@query(S + " select id, source_text as text from segments where not contains(source_text, chr(92)) and not contains(source_text, '|')")
+@query(S + r""" select id, regexp_replace(regexp_replace(regexp_replace('| \(' || source_text || '\) |' || chr(9), '\\\((.*?)\\\)', '\1', 'g'), '\\\[(.*?)\\\]', '\1', 'g'), '^[ \t|]+|[ \t|]+$', '', 'g') as text from segments""")
 def f54_latex_strip(spark, sf_dir):
-    rows = X.segments(spark, sf_dir).where("not contains(source_text, '\\\\') and not contains(source_text, '|')")
-    return rows.select("id", T.latex_strip(F.concat(F.lit("| \\("), "source_text", F.lit("\\) |\t"))).alias("text"))
+    return X.segments(spark, sf_dir).select("id", T.latex_strip(F.concat(F.lit("| \\("), "source_text", F.lit("\\) |\t"))).alias("text"))
 
 
 @query()

@@ -54,10 +54,9 @@ def f14_ocr_code_fix(spark, sf_dir):
     return parts(spark, sf_dir).select("id", T.block_code(code).alias("fixed"), T.compact(code).alias("tight"))
 
 
-@query("select doc_id, lower(regexp_replace(text, '[^a-zA-Z0-9_]+', '', 'g')) as letters from documents where regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("select doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '', 'g')) as letters from documents")
 def f18_match_text(spark, sf_dir):
-    rows = X.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select("doc_id", T.match_text("text").alias("letters"))
+    return X.table(spark, sf_dir, "documents").select("doc_id", T.match_text("text").alias("letters"))
 
 
 @query()
@@ -122,10 +121,14 @@ def f42_tolerant_json(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select("event_id", layout.tolerant_json(answer, "k int")["k"].alias("k"))
 
 
-@query("select conv_id, turn, trim(regexp_replace(text, '[*#`|_]', '', 'g'), E' \\n') as answer from conversations where role = 'assistant' and not regexp_matches(text, '[*#`|_+-]') and not contains(text, E'\\n\\n')")
+@query(r"""with a as (select conv_id, turn, '## ' || text || chr(10) || chr(10) || chr(10) || '---' || chr(10) || '- *' || role || '*  ' || chr(10) || '```sql' || chr(10) || 'x|y_z `' || turn || '`' || chr(10) || '```' as t from conversations),
+l as (select conv_id, turn, list_transform(list_filter(string_split(regexp_replace(t, '```[A-Za-z]*', '', 'g'), chr(10)), lambda x: not regexp_matches(x, '^\s*(?:[-*_]\s*){3,}$')), lambda x: rtrim(regexp_replace(regexp_replace(regexp_replace(x, '^\s*#{1,6}\s*', ''), '^\s*[-*+]\s+', ''), '[*#`|_]', '', 'g'))) as ls from a)
+select conv_id, turn, trim(regexp_replace(array_to_string(ls, chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) as answer from l""")
 def f45_answer_clean(spark, sf_dir):
-    rows = X.table(spark, sf_dir, "conversations").where("role = 'assistant'").where(~F.col("text").rlike(r"[*#`|_+\-]") & ~F.contains("text", F.lit("\n\n")))
-    return rows.select("conv_id", "turn", T.answer_clean("text").alias("answer"))
+    """answers with a heading, a rule, a list, emphasis, a fence and blank lines."""
+    rows = X.table(spark, sf_dir, "conversations")
+    marked = F.concat(F.lit("## "), "text", F.lit("\n\n\n---\n- *"), "role", F.lit("*  \n```sql\nx|y_z `"), F.col("turn").cast("string"), F.lit("`\n```"))
+    return rows.select("conv_id", "turn", T.answer_clean(marked).alias("answer"))
 
 
 @query()
