@@ -91,3 +91,16 @@ def rebatch(rows: Iterable[tuple], schema: pa.Schema, most: int = 4096, most_byt
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: list[str], size: str, most: int = 100_000, listed: int = 100_000) -> DataFrame:
+    """rows with the columns of their group; no task gets all rows of a large one. groups: stored, one row per key.
+
+    size: the column of groups that says how many rows a group has. Groups beyond `most` rows, and beyond a `listed`-th
+    of all rows, are broadcast: they are at most `listed`, however many rows there are. The others are joined by the key.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(most, total // listed)
+    large = F.broadcast(groups.where(F.col(size) > limit))
+    small = rows.join(large.select(*key), key, "left_anti").join(groups.where(F.col(size) <= limit), key)
+    return rows.join(large, key).unionByName(small)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, line_dedup, mixing, quality, simhash, toxicity, warc, word_pieces
+from . import byte_bpe, exact_dedup, html_extract, line_dedup, mixing, quality, simhash, token_alignment, toxicity, vector_dedup, warc, whitening, word_pieces
 from ._common import table
 
 
@@ -57,8 +57,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     own = [op1_quality, op1_quality_words, op2_byte_bpe, op3_warc, op4_toxicity, op5_word_pieces, op6_html, op7_simhash, op8_mixing, op9_exact_dedup, op10_line_dedup]
+    own += [op11_token_alignment, op12_whitening, op13_vector_dedup]
     return {f.__name__: f for f in own}
 
 
@@ -79,5 +92,5 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_
 
 
 def oracle_sql() -> dict[str, str]:
-    """Models (4), tokenizers (2, 5), tree scoring (6), fingerprints (7) and raking (8) have no SQL form."""
-    return {"op1_quality": quality.oracle_sql(), "op3_warc": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    """Models (4), tokenizers (2, 5, 11), tree scoring (6), fingerprints (7), raking (8) and eigenvectors (12) have no SQL form."""
+    return {"op1_quality": quality.oracle_sql(), "op3_warc": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op13_vector_dedup": vector_dedup.ORACLE_SQL}
