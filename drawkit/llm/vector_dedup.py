@@ -110,7 +110,7 @@ class Cells:
 
 def exact_cosine(u: np.ndarray, v: np.ndarray) -> float:
     """The cosine of two vectors from sums without rounding, the same in whatever order and block they meet."""
-    u, v = (x / np.abs(x).max() for x in (u, v))
+    u, v = (np.ldexp(x, -np.frexp(np.abs(x).max())[1]) for x in (u, v))  # by powers of two, which round nothing
     return math.fsum(u * v) / math.sqrt(math.fsum(u * u) * math.fsum(v * v))
 
 

@@ -178,7 +178,7 @@ def links_by_hand(rows, least=0.9):
         for j in range(i):
             b = rows[j][1]
             if usable[i] and usable[j] and len(a) == len(b):
-                a, b = ([x / max(map(abs, v)) for x in v] for v in (rows[i][1], b))
+                a, b = ([math.ldexp(x, -math.frexp(max(map(abs, v)))[1]) for x in v] for v in (rows[i][1], b))
                 cosine = math.fsum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(math.fsum(x * x for x in a) * math.fsum(x * x for x in b))
                 if cosine >= least:
                     near[i].append(j)
