@@ -28,21 +28,25 @@ def kit_check_manual(rows: DataFrame, files: DataFrame, roots: DataFrame, extrac
     """(items, reached): items of the drawings that the roots reach by files that exist, and those drawings with their depth.
 
     Matching is done once for all drawings; the expansion restricts it. Items at which the expansion ends for a reason
-    (a cycle, the depth limit, a table that couldn't be read) are for review and say so. roots: check_id, drawing_id.
+    (a cycle, the depth limit, a table that couldn't be read) are for review and say so. Depths and marks are those of a
+    walk that enters each drawing once, from the roots by id along the rows. roots: check_id, drawing_id.
     extractions: drawing_id, status, rows_count; without them every table counts as read.
     """
     items = settled(kit_check_all(rows, files).withColumn("_item", F.xxhash64("check_id", "drawing_id", "row_index")))
-    matched = items.where("match_status = 'exists'").select("check_id", F.col("drawing_id").alias("parent"), F.col("_item").alias("item_id"), F.explode("matches.drawing_id").alias("child")).distinct()
+    exists = items.where("match_status = 'exists'").select("check_id", F.col("drawing_id").alias("parent"), F.col("_item").alias("item_id"), "row_index", F.posexplode("matches.drawing_id").alias("pos", "child"))
+    # A drawing's references are followed in the order of its rows, and of the files of a row.
+    matched = exists.select("check_id", "parent", "item_id", "child", (F.col("row_index").cast("long") * (1 << 20) + F.col("pos")).alias("ord"))
     own = rows.select("check_id", F.col("drawing_id").alias("child")).distinct()
     edges = settled(matched.join(own, ["check_id", "child"], "left_semi"))
     failed = None
     if extractions is not None:
         failed = graph.child_failures(matched, extractions).select("check_id", "item_id", F.lit("failed").alias("mark"))
         read = extractions.where("status in ('ok', 'partial') and rows_count > 0").select(F.col("drawing_id").alias("child"))
-        edges = edges.join(read, "child", "left_semi").select("check_id", "parent", "item_id", "child")
-    reached = graph.expand(roots, edges.select("check_id", "parent", "child"), most_depth)
-    seen = reached.select("check_id", F.col("drawing_id").alias("parent"))
-    marks = graph.reference_marks(edges.join(seen, ["check_id", "parent"], "left_semi"), roots, reached, most_depth)
+        edges = edges.join(read, "child", "left_semi")
+    reached, marks = graph.walk(edges, roots, most_depth)
+    marks = edges.join(marks, ["check_id", "parent", "child"]).select("check_id", "item_id", "mark")
+    deepest = items.join(reached.where(F.col("depth") >= most_depth), ["check_id", "drawing_id"], "left_semi")
+    marks = marks.unionByName(deepest.select("check_id", F.col("_item").alias("item_id"), F.lit("depth").alias("mark")))
     marks = marks if failed is None else marks.unionByName(failed)
     order = F.array(*map(F.lit, graph.MARKS))
     said = marks.groupBy("check_id", F.col("item_id").alias("_item")).agg(F.array_sort(F.collect_set(F.array_position(order, F.col("mark")))).alias("_marks"))
@@ -51,7 +55,7 @@ def kit_check_manual(rows: DataFrame, files: DataFrame, roots: DataFrame, extrac
     marked = F.col("_marks").isNotNull()
     issue = T.join_issues(F.col("extraction_issue"), F.array_join(F.transform("_marks", lambda k: F.element_at(names, k.cast("int"))), "；"))
     out = out.withColumns({"extraction_issue": F.when(marked, issue).otherwise(F.col("extraction_issue")), "extraction_status": F.when(marked, "review").otherwise(F.col("extraction_status"))})
-    return out.drop("_item", "_marks"), reached
+    return out.drop("_item", "_marks"), reached.withColumn("discovery", F.when(F.col("depth") == 0, "root").otherwise("reference"))
 
 
 def rematch_edited(items: DataFrame, patch: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -259,26 +259,38 @@ def p6_check_request_validation(spark, sf_dir):
     return verdict.validate_requests(asked, drawings.withColumn("file_type", F.lit(".PDF"))).select("check_id", F.array_join("drawing_ids", ",").alias("drawing_ids"), "error")
 
 
-@query(X.ctes("edges") + """, reach(check_id, drawing_id, depth) as (select 0::bigint, 1::bigint, 0 union select e.check_id, e.child, r.depth + 1 from reach r join edges e on r.drawing_id = e.parent and e.child > e.parent)
+@query(X.ctes("edges") + """, reach(check_id, drawing_id, depth) as (select 0::bigint, 1::bigint, 0 union select e.check_id, e.child, r.depth + 1 from reach r join edges e on r.drawing_id = e.parent and e.child <> e.parent where r.depth < 50)
 select check_id, drawing_id, min(depth) as depth, case when min(depth) = 0 then 'root' else 'reference' end as discovery from reach group by all""")
 def j20_assembly_expansion(spark, sf_dir):
-    """J20, K2's expansion, from part 1 down the tree."""
-    e = X.edges(spark, sf_dir).where("child > parent")
+    """J20, K2's expansion, from part 1 on, references back up the tree included."""
     roots = spark.range(1).select(F.lit(0).cast("long").alias("check_id"), F.lit(1).cast("long").alias("drawing_id"))
-    return graph.expand(roots, e)
+    return graph.expand(roots, X.edges(spark, sf_dir))
 
 
-@query()
+@query(X.ctes("edges") + """, reach(start, node) as (select child, child from edges union select r.start, e.child from reach r join edges e on r.node = e.parent)
+select check_id, parent, child, parent = child or exists (from reach where start = child and node = parent) as in_cycle from edges""")
 def j21_cycle_flag(spark, sf_dir):
-    """Which references lie on a cycle. Tested against brute force."""
+    """Which references lie on a cycle."""
     return graph.in_cycle(X.edges(spark, sf_dir))
 
 
-@query()
+#: A walk as a state for each check and step: what is still to be looked at, the path, and what was entered. Needs e(check_id, parent,
+#: child, ord) and roots(check_id, drawing_id); a row of walk is one reference looked at, d the depth of its drawing.
+WALK = """adj as (select check_id, parent, list(child order by ord, child) as kids from (select check_id, parent, child, min(ord) as ord from e group by all) group by all),
+walk as (select check_id, list({'p': null::bigint, 'c': drawing_id::bigint, 'd': -1::bigint} order by drawing_id) as todo, []::bigint[] as path, []::bigint[] as seen, null::bigint as p, null::bigint as c, null::bigint as d, null::varchar as mark, false as entered from roots group by check_id
+ union all select x.check_id, case when fresh and t.d + 1 < 50 then list_concat(list_transform(coalesce(kids, []::bigint[]), lambda k: {'p': t.c, 'c': k, 'd': t.d + 1}), rest) else rest end, case when fresh then list_append(up, t.c) else up end,
+  case when fresh then list_append(seen, t.c) else seen end, t.p, t.c, t.d, case when t.c = t.p then 'self' when list_contains(up, t.c) then 'path' end, fresh
+ from (select check_id, todo[1] as t, todo[2:] as rest, path[1:todo[1].d + 1] as up, seen, not list_contains(seen, todo[1].c) as fresh from walk where len(todo) > 0) x left join adj on adj.check_id = x.check_id and adj.parent = x.t.c)"""
+
+
+@query(X.ctes("edges") + ", f as (select parent // 60 as check_id, parent, parent // 60 * 60 + child % 60 as child from edges), " + f"""e as (select check_id, parent, child, parent * 1000000 + child as ord from f), roots as (select check_id, min(parent) as drawing_id from e group by all), {WALK},
+visits as (select check_id, c as parent, d + 1 as depth from walk where entered)
+select e.check_id, e.ord as item_id, case when depth < 50 then mark is not null end as on_path, depth::int as depth from (select distinct check_id, parent, child, ord from e) e join visits v on e.check_id = v.check_id and e.parent = v.parent
+ left join (select distinct check_id, p, c, mark from walk where mark is not null) m on m.check_id = e.check_id and m.p = e.parent and m.c = e.child""")
 def j21_walk_flags(spark, sf_dir):
-    """J21, J22 as the walk of each check sees them. Tested against brute force."""
-    e = X.edges(spark, sf_dir).withColumn("check_id", F.col("parent") % 64)
-    e = e.withColumn("child", F.col("child") - F.col("child") % 64 + F.col("parent") % 64).withColumn("item_id", F.xxhash64("parent", "child"))
+    """J21, J22 as the walk of each check sees them, in checks of 60 drawings."""
+    e = X.edges(spark, sf_dir).withColumn("check_id", F.floor(F.col("parent") / 60))
+    e = e.withColumn("child", F.col("check_id") * 60 + F.col("child") % 60).withColumn("item_id", F.col("parent") * 1_000_000 + F.col("child")).distinct()
     return graph.walk_flags(e, e.groupBy("check_id").agg(F.min("parent").alias("drawing_id")))
 
 
@@ -289,13 +301,22 @@ def j22_child_failure_flag(spark, sf_dir):
     return graph.child_failures(e, states)
 
 
-@query()
+@query(ITEMS + f""", e as (select i.check_id, i.drawing_id as parent, x.drawing_id as child, row_index * 1048576 + row_number() over (partition by i.check_id, i.drawing_id, row_index order by x.drawing_id) as ord, row_index
+  from items i join exact x on i.check_id = x.check_id and i.code = x.code and i.name = x.name where match_status = 'exists' and (i.check_id, x.drawing_id) in (select (check_id, drawing_id) from bom_rows)),
+roots as (select distinct check_id, drawing_id from bom_rows where drawing_id < 400 or drawing_id % 40 = 0), {WALK},
+visits as (select check_id, c as drawing_id, d + 1 as depth from walk where entered),
+marked as (select e.check_id, parent as drawing_id, row_index, bool_or(mark = 'self') as is_self, bool_or(mark = 'path') as is_path from e join walk w on e.check_id = w.check_id and parent = p and child = c and mark is not null group by all)
+select j.check_id, j.drawing_id, j.row_index, j.code, j.match_status, depth::int as depth, coalesce(is_self, false) as is_self, coalesce(is_path, false) as is_path, depth >= 50 as is_deep,
+  case when depth >= 50 or is_self or is_path then 'review' else extraction_status end as extraction_status
+from judged j join visits v on j.check_id = v.check_id and j.drawing_id = v.drawing_id left join marked m on m.check_id = j.check_id and m.drawing_id = j.drawing_id and m.row_index = j.row_index""")
 def k2_kit_check_manual(spark, sf_dir):
-    """K2: items of what the first order of each check reaches. Tested against brute force."""
+    """K2: items of what the first orders and every fortieth reach in each check, with their marks."""
     rows = X.bom_rows(spark, sf_dir)
-    roots = rows.groupBy("check_id").agg(F.min("drawing_id").alias("drawing_id"))
-    got, _ = jobs.kit_check_manual(rows, X.files(spark, sf_dir), roots)
-    return got.select("check_id", "drawing_id", "row_index", "code", "match_status")
+    roots = rows.where("drawing_id < 400 or drawing_id % 40 = 0").select("check_id", "drawing_id").distinct()
+    got, reached = jobs.kit_check_manual(rows, X.files(spark, sf_dir), roots)
+    says = lambda mark: F.contains("extraction_issue", F.lit(graph.MARKS[mark]))
+    got = got.join(reached, ["check_id", "drawing_id"])
+    return got.select("check_id", "drawing_id", "row_index", "code", "match_status", "depth", says("self").alias("is_self"), says("path").alias("is_path"), says("depth").alias("is_deep"), "extraction_status")
 
 
 @query(ITEMS + """, k as (select row_index, drawing_id, check_id, case when drawing_id % 5 = 0 and row_index = 1 then '' else note end as note2, * exclude (row_index, drawing_id, check_id) from judged)

@@ -294,39 +294,87 @@ def test_title_tables(spark):
     assert sorted(r.pos for r in layout.title_tables(spark.createDataFrame(rows, ddl)).collect()) == [1, 2, 4]
 
 
-def test_graph(spark):
+@pytest.mark.parametrize("most", [graph.MOST_EDGES, 0])
+def test_graph(spark, monkeypatch, most):
+    """Reach and cycles by one task for each check, and by loops of joins, give the same."""
+    monkeypatch.setattr(graph, "MOST_EDGES", most)
     rng = random.Random(7)
     pairs = sorted({(rng.randint(0, 29), rng.randint(0, 29)) for _ in range(55)})
-    edges = spark.createDataFrame([(1, a * 100 + b, a, b) for a, b in pairs], "check_id long, item_id long, parent long, child long")
+    edges = spark.createDataFrame([(1, a, b) for a, b in pairs] + [(2, 5, 6), (2, 6, 5), (2, 6, 7)], "check_id long, parent long, child long")
     kids = {}
     for a, b in pairs:
-        kids.setdefault(a, set()).add(b)
+        kids.setdefault(a, []).append(b)
 
-    def reach(a):
-        seen, todo = set(), [a]
-        while todo:
-            for b in kids.get(todo.pop(), ()):
+    def depths(roots):
+        seen, todo = dict.fromkeys(roots, 0), list(roots)
+        for a in todo:
+            for b in kids.get(a, ()):
                 if b not in seen:
-                    seen.add(b)
+                    seen[b] = seen[a] + 1
                     todo.append(b)
         return seen
 
-    got = {(r.parent, r.child): r.in_cycle for r in graph.in_cycle(edges).collect()}
-    assert got == {(a, b): a in reach(b) or a == b for a, b in pairs}
-    roots = spark.createDataFrame([(1, 0)], "check_id long, drawing_id long")
-    found = {r.drawing_id for r in graph.expand(roots, edges).collect()}
-    assert found == reach(0) | {0}
-    out, visited = {}, {0}
+    got = {(r.check_id, r.parent, r.child): r.in_cycle for r in graph.in_cycle(edges).collect()}
+    assert got == {(1, a, b): a in depths([b]) for a, b in pairs} | {(2, 5, 6): True, (2, 6, 5): True, (2, 6, 7): False}
+    roots = spark.createDataFrame([(1, 0), (1, 0), (2, 6), (3, 99)], "check_id long, drawing_id long")
+    found = {(r.check_id, r.drawing_id, r.depth, r.discovery) for r in graph.expand(roots, edges).collect()}
+    assert found == {(1, n, d, "reference" if d else "root") for n, d in depths([0]).items()} | {(2, 6, 0, "root"), (2, 5, 1, "reference"), (2, 7, 1, "reference"), (3, 99, 0, "root")}
+    near = {r.drawing_id for r in graph.expand(roots, edges, most_depth=2).where("check_id = 1").collect()}
+    assert near == {n for n, d in depths([0]).items() if d <= 2}
 
-    def walk(node, path):
-        for b in sorted(kids.get(node, ())):
-            out[node * 100 + b] = b in path
-            if b not in path and b not in visited:
-                visited.add(b)
-                walk(b, [*path, b])
 
-    walk(0, [0])
-    assert {r.item_id: r.on_path for r in graph.walk_flags(edges, roots).collect()} == out
+def walked(pairs, roots, most_depth):
+    """What a plain recursive walk enters and marks. pairs: (parent, child) in order."""
+    kids, depth, marks = {}, {}, set()
+    for a, b in pairs:
+        kids.setdefault(a, []).append(b)
+
+    def enter(node, path):
+        depth[node] = len(path) - 1
+        if len(path) > most_depth:
+            return
+        for b in kids.get(node, ()):
+            if b in path:
+                marks.add((node, b, "self" if b == node else "path"))
+            elif b not in depth:
+                enter(b, [*path, b])
+
+    for root in sorted(roots):
+        if root not in depth:
+            enter(root, [root])
+    return depth, marks
+
+
+@pytest.mark.parametrize("most_depth", [50, 3])
+def test_walk_goes_by_order(spark, most_depth):
+    rng = random.Random(most_depth)
+    want_visits, want_marks, rows, starts = set(), set(), [], []
+    for check in range(12):
+        pairs = [(rng.randint(0, 14), rng.randint(0, 14)) for _ in range(rng.choice([3, 20, 40]))]
+        roots = [rng.randint(0, 14) for _ in range(2)]
+        depth, marks = walked(pairs, roots, most_depth)
+        want_visits |= {(check, n, d) for n, d in depth.items() if n in {x for p in pairs for x in p} | {*roots}}
+        want_marks |= {(check, *m) for m in marks}
+        rows += [(check, a, b, i) for i, (a, b) in enumerate(pairs)]
+        starts += [(check, r) for r in roots]
+    rng.shuffle(rows)
+    edges = spark.createDataFrame(rows, "check_id long, parent long, child long, ord long")
+    visits, marks = graph.walk(edges, spark.createDataFrame(starts, "check_id long, drawing_id long"), most_depth)
+    assert {tuple(r) for r in visits.collect()} == want_visits and {tuple(r) for r in marks.collect()} == want_marks
+
+
+def test_walk_of_199_and_201_drawings_and_of_a_long_chain(spark):
+    """A chain with one reference back, whatever its length: no mark but that one, and the depth limit."""
+    rows = [(n, i, i + 1, i) for n in (30, 199, 201) for i in range(n)] + [(n, n, 0, 0) for n in (30, 199, 201)] + [(9, i, i + 1, i) for i in range(10_000)]
+    edges = spark.createDataFrame(rows, "check_id long, parent long, child long, ord long")
+    roots = spark.createDataFrame([(n, 0) for n in (30, 199, 201, 9)], "check_id long, drawing_id long")
+    visits, marks = graph.walk(edges, roots, 10_000)
+    assert {tuple(r) for r in marks.collect()} == {(n, n, 0, "path") for n in (30, 199, 201)}
+    assert visits.where("check_id = 9").count() == 10_001
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert graph.in_cycle(edges).where("in_cycle").groupBy("check_id").count().count() == 3
+    assert graph.expand(roots, edges, 1000).agg({"depth": "max"}).first()[0] == 1000
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)) < 40
 
 
 def test_manual_check(spark):
@@ -346,16 +394,11 @@ def test_manual_check_marks(spark):
     files = spark.createDataFrame([(1, d, code(d) + ".pdf") for d in (1, 2, 3, 4, 5, 9)], "check_id long, drawing_id long, original_filename string")
     extractions = spark.createDataFrame([(d, "failed" if d == 9 else "ok", 0 if d == 9 else 2) for d in (1, 2, 3, 4, 5, 9)], "drawing_id long, status string, rows_count long")
     roots = spark.createDataFrame([(1, 1)], "check_id long, drawing_id long")
-    for most in (graph.MOST_DRAWINGS, 1):
-        with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(graph, "MOST_DRAWINGS", most)
-            items, reached = jobs.kit_check_manual(rows, files, roots, extractions)
-            got = {(r.drawing_id, r.code): (r.extraction_status, r.extraction_issue) for r in items.collect()}
-        assert {(r.drawing_id, r.depth) for r in reached.collect()} == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)}
-        assert got[1, code(1)] == ("review", graph.MARKS["self"]) and got[3, code(1)] == ("review", graph.MARKS["path"]) and got[2, code(9)] == ("review", graph.MARKS["failed"])
-        assert got[4, code(5)] == ("ok", "")
-        if most > 1:
-            assert got[1, code(2)] == ("ok", "")
+    items, reached = jobs.kit_check_manual(rows, files, roots, extractions)
+    got = {(r.drawing_id, r.code): (r.extraction_status, r.extraction_issue) for r in items.collect()}
+    assert {(r.drawing_id, r.depth) for r in reached.collect()} == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)}
+    assert got[1, code(1)] == ("review", graph.MARKS["self"]) and got[3, code(1)] == ("review", graph.MARKS["path"]) and got[2, code(9)] == ("review", graph.MARKS["failed"])
+    assert got[4, code(5)] == ("ok", "") and got[1, code(2)] == ("ok", "")
     items, reached = jobs.kit_check_manual(rows, files, roots, most_depth=2)
     got = {(r.drawing_id, r.code): r.extraction_issue for r in items.collect()}
     assert got[3, code(4)] == graph.MARKS["depth"] and {r.drawing_id for r in reached.collect()} == {1, 2, 3, 9}
