@@ -402,8 +402,15 @@ def f50_match_links(spark, sf_dir):
     return got.select("check_id", "code", "name", "preview_url", "file_url")
 
 
-@query(X.ctes("bom_rows") + """ select drawing_id, count(*) as n from bom_rows where drawing_id % 10 > 0 group by all union all select drawing_id, 1 from bom_rows where drawing_id % 10 = 0 group by all""")
+@query(X.ctes("bom_rows") + """ select drawing_id, pos, code, quantity from bom_rows where drawing_id % 10 > 0 union all select drawing_id, 1, min(code), cast(count(*) as varchar) from bom_rows where drawing_id % 10 = 0 group by all""")
 def u10_replace_group(spark, sf_dir):
-    rows = X.bom_rows(spark, sf_dir)
-    new = rows.where("drawing_id % 10 = 0").groupBy("drawing_id").agg(*(F.first(c).alias(c) for c in rows.columns if c != "drawing_id"))
-    return tables.replace_group(rows, new.select(*rows.columns), ["drawing_id"]).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"))
+    """The rows of every tenth drawing give way to a single one, in a table with buckets by drawing."""
+    from ..operators import buckets
+    from ..shared import shared_path
+
+    path, key = shared_path(spark), ["drawing_id"]
+    rows = X.bom_rows(spark, sf_dir).select("drawing_id", F.col("pos").cast("long").alias("pos"), "code", "quantity")
+    new = rows.where("drawing_id % 10 = 0").groupBy("drawing_id").agg(F.lit(1).cast("long").alias("pos"), F.min("code").alias("code"), F.count(F.lit(1)).cast("string").alias("quantity"))
+    buckets.create(rows, path, key)
+    buckets.change(spark, path, rows.schema, key, new, buckets.replace(key))
+    return buckets.read(spark, path, rows.schema)

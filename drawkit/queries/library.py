@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import text as T
-from ..operators import catalog, segments, tables, translate
+from ..operators import buckets, catalog, segments, tables, translate
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -117,27 +117,37 @@ def old_new(spark, sf_dir):
     return rows.where("v % 3 = 0").groupBy("key").agg(F.max("v").alias("v")), rows.where("v % 3 > 0").groupBy("key").agg(F.max("v").alias("v"))
 
 
+def changed(spark, old, changes, how):
+    """A table of old in buckets by key, changed and read again."""
+    from ..shared import shared_path
+
+    path = shared_path(spark)
+    buckets.create(old, path, ["key"])
+    buckets.change(spark, path, old.schema, ["key"], changes, how)
+    return buckets.read(spark, path, old.schema)
+
+
 @query(f"with {EVENTS} select key, v from o union all select key, v from n where key not in (select key from o)")
 def u2_insert_ignore(spark, sf_dir):
-    return tables.insert_ignore(*old_new(spark, sf_dir), ["key"])
+    return changed(spark, *old_new(spark, sf_dir), buckets.insert_ignore(["key"]))
 
 
 @query(f"with {EVENTS} select coalesce(o.key, n.key) as key, greatest(o.v, n.v) as v from o full join n on o.key = n.key")
 def u3_upsert(spark, sf_dir):
-    """U3, S14."""
-    return tables.upsert(*old_new(spark, sf_dir), ["key"], "v")
+    """U3, S14, as a change of a bucketed table."""
+    return changed(spark, *old_new(spark, sf_dir), buckets.upsert(["key"], "v"))
 
 
 @query(f"with {EVENTS} select o.key, coalesce(n.v, o.v) as v from o left join n on o.key = n.key")
 def u4_keyed_update(spark, sf_dir):
-    return tables.keyed_update(*old_new(spark, sf_dir), ["key"], ["v"])
+    return changed(spark, *old_new(spark, sf_dir), buckets.update(["key"], ["v"]))
 
 
 @query(f"with {EVENTS} select key, v from o where key not in (select key from n where v % 2 = 0)")
 def u5_keyed_delete(spark, sf_dir):
     """U5, U9."""
     old, new = old_new(spark, sf_dir)
-    return tables.keyed_delete(old, new.where("v % 2 = 0").select("key"))
+    return changed(spark, old, new.where("v % 2 = 0").select("key"), buckets.delete)
 
 
 @query("select count(*) as n, count(distinct o_custkey) as customers from orders")
@@ -230,7 +240,7 @@ def a14_glossary_hash(spark, sf_dir):
     return translate.glossary_hash(X.glossary(spark, sf_dir))
 
 
-@query()
+@query(SQL["a14_glossary_hash"])
 def a14_glossary_hash_all(spark, sf_dir):
     """A14 over all terms, those with quotes and backslashes included. Tested against Python's JSON."""
     return translate.glossary_hash(X.glossary(spark, sf_dir))
@@ -256,7 +266,7 @@ def w2_segment_ordinal(spark, sf_dir):
     return segments.number_segments(rows).select("drawing_id", "segment_key", F.col("ordinal").cast("long").alias("ordinal"), "source_hash")
 
 
-@query()
+@query(SQL["w2_segment_ordinal"])
 def w2_segment_ordinal_all(spark, sf_dir):
     """W2 over all segments, from the 1,000th of a drawing on too. Tested against brute force."""
     rows = X.segments(spark, sf_dir).select("drawing_id", F.lit("extra").alias("section"), F.col("ordinal").alias("pos"), F.lit(0).alias("sub"), F.lit("l").alias("label"), "source_text")
@@ -376,33 +386,57 @@ def f54_latex_strip(spark, sf_dir):
     return X.segments(spark, sf_dir).select("id", T.latex_strip(F.concat(F.lit("| \\("), "source_text", F.lit("\\) |\t"))).alias("text"))
 
 
-@query()
+@query(SQL["f54_latex_strip"])
 def f54_latex_strip_all(spark, sf_dir):
     """F54 over all lines, with pipes and backslashes of their own. Tested against brute force."""
     return X.segments(spark, sf_dir).select("id", T.latex_strip(F.concat(F.lit("| \\("), "source_text", F.lit("\\) |\t"))).alias("text"))
 
 
-@query("select doc_id as drawing_id, 'extra:001' as segment_key, '视图' || doc_id as source_text from documents")
+def uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two deliveries of every document as a drawing: in the second each third comes again as it was and each fifth changed; every seventh and eleventh is no PDF."""
+    k = F.col("doc_id").cast("string")
+
+    def delivery(rows: DataFrame, name: str, at: str, mark) -> DataFrame:
+        return rows.select(
+            F.col("doc_id").alias("drawing_id"), F.concat(F.lit(name + "/"), k).alias("path"), F.concat(F.lit("d"), k, F.when(F.col("doc_id") % 7 == 0, ".docx").otherwise(".PDF")).alias("filename"), F.lit(None).cast("string").alias("original_filename"),
+            F.lit(at).cast("timestamp").alias("uploaded"), F.concat(F.when(F.col("doc_id") % 11 == 0, "junk").otherwise("%PDF-"), mark, F.coalesce("text", F.lit(""))).cast("binary").alias("content"),
+            F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("零件名称 | 外框"), k)).otherwise("").alias("title_text"), F.when(F.col("doc_id") % 4 < 2, F.concat(F.lit("技术要求：\n1. item "), k, F.lit(" "), mark)).otherwise("").alias("tech_text"), F.concat(F.lit("视图"), k, mark).alias("all_text"),
+        )
+
+    docs = X.table(spark, sf_dir, "documents")
+    again = docs.where("doc_id % 3 = 0 or doc_id % 5 = 0")
+    return delivery(docs, "a", "2024-01-01", F.lit("")), delivery(again, "b", "2024-01-02", F.when(F.col("doc_id") % 5 == 0, "two").otherwise(""))
+
+
+@query("""with d as (select doc_id as k, doc_id % 7 > 0 and doc_id % 11 > 0 as good, doc_id % 3 = 0 or doc_id % 5 = 0 as again, case when doc_id % 5 = 0 then 'two' else '' end as mark from documents)
+select k as drawing_id, 'title:001' as what, '外框' || k as said from d where good and k % 2 = 0
+union all select k, 'tech:001', trim('item ' || k || ' ' || mark) from d where good and k % 4 < 2
+union all select k, 'extra:001', '视图' || k || mark from d where good
+union all select k, case when good then 'new' else 'rejected' end, case when good then null when k % 7 = 0 then 'unsupported type' else 'not a PDF' end from d
+union all select k, case when not good then 'rejected' when mark = '' then 'known' else 'changed' end, case when good then null when k % 7 = 0 then 'unsupported type' else 'not a PDF' end from d where again""")
 def x1_incremental_ingest(spark, sf_dir):
-    """Drawings as a stream of files, segmented batch by batch; each drawing once."""
+    """Two deliveries of drawings as a stream: what was decided of each upload, and the segments that hold in the end."""
     from ..shared import shared_path
-    from ..streaming.ingest import segment_uploads
+    from ..streaming import ingest as I
 
     root = shared_path(spark)
-    rows = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("drawing_id"), F.lit("").alias("title_text"), F.lit("").alias("tech_text"), F.concat(F.lit("视图"), F.col("doc_id").cast("string")).alias("all_text"))
-    rows.write.parquet(f"{root}/in")
-    segment_uploads(spark, f"{root}/in", rows.schema, f"{root}/out", f"{root}/cp").awaitTermination()
-    return spark.read.parquet(f"{root}/out/batch=*").select("drawing_id", "segment_key", "source_text")
+    for name, rows in zip("ab", uploads(spark, sf_dir), strict=True):
+        rows.write.parquet(f"{root}/in/{name}")
+        I.ingest(spark, f"{root}/in/*", f"{root}/out", f"{root}/cp").awaitTermination()
+    decided = spark.read.parquet(f"{root}/out/uploads").select("drawing_id", F.col("action").alias("what"), F.col("reject_reason").alias("said"))
+    return I.current(spark, f"{root}/out").select("drawing_id", F.col("segment_key").alias("what"), F.col("source_text").alias("said")).unionByName(decided)
 
 
-@query(X.ctes("outcomes") + " select batch_id, count(*) as completed, case when bool_and(ok) then 'completed' when bool_or(ok) then 'partial' else 'failed' end as status from outcomes group by all")
+@query(X.ctes("outcomes") + " select batch_id::varchar as batch_id, count(*) as completed, case when bool_and(ok) then 'completed' when bool_or(ok) then 'partial' else 'failed' end as status from outcomes group by all")
 def x2_batch_progress(spark, sf_dir):
-    """The live status of upload batches once the stream has run dry."""
+    """The live status of upload batches, in the bucketed table that the stream keeps, once it has run dry. Outcomes come in three deliveries."""
     from ..shared import shared_path
-    from ..streaming.ingest import batch_progress
+    from ..streaming import ingest as I
 
-    root, name = shared_path(spark), f"progress_{abs(hash(sf_dir))}"
-    rows = X.outcomes(spark, sf_dir).select("batch_id", "ok")
-    rows.write.parquet(f"{root}/in")
-    batch_progress(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), name).awaitTermination()
-    return spark.table(name).select("batch_id", "completed", "status")
+    root = shared_path(spark)
+    rows = X.outcomes(spark, sf_dir).select("batch_id", "ok", F.pmod(F.xxhash64("filename"), F.lit(3)).alias("part"))
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part").write.parquet(f"{root}/in/{part}")
+        stream = spark.readStream.schema("batch_id long, ok boolean").parquet(f"{root}/in/*")
+        I.batch_progress(stream, f"{root}/status", f"{root}/cp").awaitTermination()
+    return I.progress(spark, f"{root}/status").select("batch_id", "completed", "status")

@@ -59,7 +59,7 @@ def f18_match_text(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", T.match_text("text").alias("letters"))
 
 
-@query()
+@query(SQL["f18_match_text"])
 def f18_match_text_all(spark, sf_dir):
     """F18 over all documents, whatever their characters. Tested against brute force."""
     return X.table(spark, sf_dir, "documents").select("doc_id", T.match_text("text").alias("letters"))

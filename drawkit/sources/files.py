@@ -20,17 +20,29 @@ def file_catalog(spark: SparkSession, path: str, *, content: bool = False) -> Da
     return files.select("path", name.alias("filename"), T.file_suffix(name).alias("suffix"), "length", "modificationTime", *(["content"] if content else []))
 
 
-def admission(files: DataFrame) -> DataFrame:
-    """(path, accepted, reject_reason). files: path, filename, length, content."""
+def reject_reason() -> Column:
+    """Why a row (filename, length, content) is not admitted; null if it is."""
     suffix = T.file_suffix("filename")
-    reason = (
+    return (
         F.when(~suffix.isin(T.DRAWING_SUFFIXES), "unsupported type")
         .when(F.col("length") > MOST_BYTES, "too large")
         .when(F.col("length") == 0, "empty")
         .when((suffix == ".pdf") & (F.substring("content", 1, 4) != F.lit(b"%PDF")), "not a PDF")
         .when((suffix == ".png") & (F.substring("content", 1, 8) != F.lit(PNG_MAGIC)), "not a PNG")
     )
-    return files.select("path", reason.isNull().alias("accepted"), reason.alias("reject_reason"))
+
+
+def admission(files: DataFrame) -> DataFrame:
+    """(path, accepted, reject_reason). files: path, filename, length, content."""
+    return files.select("path", reject_reason().isNull().alias("accepted"), reject_reason().alias("reject_reason"))
+
+
+def signature_of(version: str, model: str, page_limit: int) -> Column:
+    """S4 of a row (filename, original_filename, title_text, all_text, content)."""
+    nul = F.unhex(F.lit("00"))
+    parts = [F.lit(version), F.lit(model), F.lit(str(page_limit)), T.text("title_text"), T.text("all_text"), T.display_filename("original_filename", "filename")]
+    body = F.coalesce("content", F.encode(T.text("filename"), "UTF-8"))
+    return F.sha2(F.concat(body, *(x for p in parts for x in (nul, F.encode(p, "UTF-8")))), 256)
 
 
 def content_signature(drawings: DataFrame, files: DataFrame, version: str, model: str, page_limit: int) -> DataFrame:
@@ -39,10 +51,7 @@ def content_signature(drawings: DataFrame, files: DataFrame, version: str, model
     drawings: id, filename, original_filename, title_text, all_text. files: filename, content.
     """
     rows = drawings.join(files.select("filename", "content"), "filename", "left")
-    nul = F.unhex(F.lit("00"))
-    parts = [F.lit(version), F.lit(model), F.lit(str(page_limit)), T.text("title_text"), T.text("all_text"), T.display_filename("original_filename", "filename")]
-    body = F.coalesce("content", F.encode(T.text("filename"), "UTF-8"))
-    return rows.select(F.col("id").alias("drawing_id"), F.sha2(F.concat(body, *(x for p in parts for x in (nul, F.encode(p, "UTF-8")))), 256).alias("signature"))
+    return rows.select(F.col("id").alias("drawing_id"), signature_of(version, model, page_limit).alias("signature"))
 
 
 def scan_signature(files: DataFrame, version: str, dpi: int, pages: int, scanner: str) -> DataFrame:

@@ -1,47 +1,125 @@
-"""Uploads as a stream."""
+"""Uploads and outcomes as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..operators import buckets
 from ..operators.catalog import batch_status
 from ..operators.segments import segments
+from ..sources import files as S
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+UPLOAD = "drawing_id long, path string, filename string, original_filename string, uploaded timestamp, content binary, title_text string, tech_text string, all_text string"
+JUDGED = "drawing_id long, path string, uploaded timestamp, signature string, action string, reject_reason string, title_text string, tech_text string, all_text string"
+STATUS = "batch_id string, total long, completed long, progress int, status string, merged long"
 
-def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str = "drawing_id") -> StreamingQuery:
-    """What arrives under source is transformed and appended under target, each key once, until nothing is left.
 
-    A batch writes a folder named by its number and replaces what a failed try left there, so a batch that runs again
-    changes nothing. Keys that earlier batches wrote are left out.
+def _start(writer, spark: SparkSession) -> StreamingQuery:
+    """Starts with state in RocksDB, of which a batch reads and writes its own keys only, unless the session has chosen another store."""
+    own = spark.conf.get(PROVIDER, None)
+    if own is None or own.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(PROVIDER) if own is None else spark.conf.set(PROVIDER, own)
+
+
+def judge(uploads: DataFrame, version: str, model: str, page_limit: int) -> DataFrame:
+    """S2, S4 of each upload: signature and reject_reason beside its texts; the bytes go no further. uploads: UPLOAD."""
+    rows = uploads.withColumn("length", F.coalesce(F.length("content"), F.lit(0)))
+    return rows.select("drawing_id", "path", "uploaded", S.signature_of(version, model, page_limit).alias("signature"), S.reject_reason().alias("reject_reason"), "title_text", "tech_text", "all_text")
+
+
+def known_signatures(judged: DataFrame, remember: str | None = None) -> DataFrame:
+    """J7 over a stream: JUDGED, with what is to be done with each drawing: "new", "changed" or "known"; rejected uploads are "rejected".
+
+    The state of a drawing is the signature it was last taken with and when that was uploaded. Of several uploads in one
+    batch the last one counts, by time and signature; one older than what was taken is "known". remember: for how long
+    (as "30 days") a drawing that doesn't come again is kept in mind, by the time of upload; afterwards it is new. Uploads
+    that are older than the newest by more than that are then left out, and those without a time are not allowed.
+    """
+    keep_ms = int(pd.Timedelta(remember).total_seconds() * 1000) if remember else None
+    columns = [f.name for f in StructType.fromDDL(JUDGED)]
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts), ignore_index=True)
+        bad = rows["reject_reason"].notna()
+        if bad.any():
+            yield rows[bad].assign(action="rejected")[columns]
+        if bad.all():
+            return
+        last = rows[~bad].sort_values(["uploaded", "signature", "path"], na_position="first").iloc[[-1]]
+        at, signature = last["uploaded"].iloc[0], last["signature"].iloc[0]
+        millis = -1 if pd.isna(at) else int(at.value // 1_000_000)
+        before = state.get if state.exists else None
+        action = "new" if before is None else "known" if before[0] == signature or millis < before[1] else "changed"
+        if action != "known":
+            state.update((signature, millis))
+        if keep_ms and state.exists:
+            state.setTimeoutTimestamp(max(state.get[1] + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield last.assign(action=action)[columns]
+
+    timeout = GroupStateTimeout.EventTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    judged = judged.withWatermark("uploaded", remember) if keep_ms else judged
+    return judged.groupBy("drawing_id").applyInPandasWithState(step, JUDGED, "signature string, uploaded long", "append", timeout)
+
+
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = segments, *, version: str = "1", model: str = "", page_limit: int = 10, remember: str | None = None, files_each: int = 1000) -> StreamingQuery:
+    """Uploads that arrive under source (UPLOAD as Parquet) are admitted, held against what is known, segmented and appended, until nothing is left.
+
+    target/uploads holds a row for each upload looked at, target/segments what transform makes of new and changed
+    drawings (drawing_id, title_text, tech_text, all_text); both have a folder for each batch. A batch that runs again
+    replaces its folders, so it changes nothing. What was known before is in the stream's state: no batch reads what
+    earlier ones wrote. current() reads what holds now.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        path = f"{target}/batch={number:010d}"
-        done = _written(spark, target, number, key)
-        fresh = batch if done is None else batch.join(done, key, "left_anti")
-        transform(fresh).write.mode("overwrite").parquet(path)
+        looked_at = f"{target}/uploads/batch={number:010d}"
+        batch.write.mode("overwrite").parquet(looked_at)
+        taken = spark.read.schema(JUDGED).parquet(looked_at).where("action in ('new', 'changed')")
+        transform(taken.select("drawing_id", "title_text", "tech_text", "all_text")).write.mode("overwrite").parquet(f"{target}/segments/batch={number:010d}")
+
+    rows = spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", files_each).parquet(source)
+    judged = known_signatures(judge(rows, version, model, page_limit), remember)
+    return _start(judged.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True), spark)
 
-    rows = spark.readStream.schema(schema).parquet(source)
-    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """What ingest() has made of the last version of each drawing."""
+    taken = spark.read.parquet(f"{target}/uploads").where("action in ('new', 'changed')")
+    last = taken.groupBy("drawing_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{target}/segments").join(last, ["drawing_id", "batch"], "left_semi").drop("batch")
 
-def _written(spark: SparkSession, target: str, number: int, key: str) -> DataFrame | None:
-    """Keys of the batches before this one."""
-    if number == 0:
-        return None
-    return spark.read.parquet(f"{target}/batch=*").where(F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("long") < number).select(key).distinct()
 
+def merge_status(changed: DataFrame, path: str, number: int) -> None:
+    """Batches whose status has changed, put into the bucketed table at path as its version `number`; done again it gives the same version."""
+    rows = changed.withColumns({"batch_id": F.col("batch_id").cast("string"), "merged": F.lit(number).cast("long")})
+    buckets.change(changed.sparkSession, path, STATUS, ["batch_id"], rows, buckets.upsert(["batch_id"], "merged"), number=number)
 
-def segment_uploads(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str) -> StreamingQuery:
-    """X1 with K7: segments of arriving drawings (drawing_id, title_text, tech_text, all_text)."""
-    return ingest(spark, source, schema, target, checkpoint, segments)
+
+def batch_progress(outcomes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A7 over a stream of outcomes (batch_id, ok), kept up to date in the bucketed table at path: read it with progress().
+
+    Only batches that have changed leave the stream's state (update mode), and only their buckets are written anew.
+    Batches have no event time, so there is no watermark: state is a row for each batch.
+    """
+    writer = batch_status(outcomes).writeStream.outputMode("update").foreachBatch(lambda changed, number: merge_status(changed, path, number))
+    return _start(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True), outcomes.sparkSession)
 
 
-def batch_progress(outcomes: DataFrame, name: str) -> StreamingQuery:
-    """A7 over a stream of outcomes, kept up to date in the memory table `name`. Batches have no event time, so there is no watermark."""
-    return batch_status(outcomes).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """The table that batch_progress() keeps."""
+    return buckets.read(spark, path, STATUS).drop("merged")
