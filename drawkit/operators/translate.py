@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import tokens as E
+from ..functions.automaton import TermAutomaton
 from ..functions.labels import label
 
 MOST_CHARS, MOST_TERMS = 3000, 30
 #: Characters by which terms are met.
 KEY = 3
+#: Terms, and characters of all of them, up to which a glossary is sent to every task: some 30 MB there.
+SENT_TERMS, SENT_CHARS = 200_000, 8_000_000
 DONE = ["translated", "skipped", "needs_review"]
 STATUSES = ["translated", "cached", "skipped", "needs_review", "failed", "missing"]
 TARGET_LANGS = ["en"]
@@ -64,17 +68,57 @@ def _grams(c: Column, n: int) -> Column:
 def glossary_terms(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """(id, terms): of the enabled terms in a segment's text the 30 longest, ties by the source.
 
-    A term is met through its first KEY characters (shorter ones through all they have), which are joined with the runs of
-    as many characters of each text, each once; what meets is then tested. So a text meets only terms that begin like
-    something in it, whatever the size of the glossary.
+    A glossary of up to SENT_TERMS terms and SENT_CHARS characters is sent to the tasks, which find all terms of a text in
+    one pass over it; texts stay where they are, and only found terms are dealt by id. A larger one meets the texts through
+    the first characters of its terms. Both give the same rows. Ids are unique.
     """
-    terms = glossary.where("enabled and source <> ''").select("source", "target").withColumn("_k", F.left("source", F.lit(KEY)))
-    asked = segments.select("id", "source_text", F.explode(F.concat(*(_grams(F.col("source_text"), n) for n in range(1, KEY + 1)))).alias("_k"))
-    found = asked.join(terms, "_k").where((F.length("source") <= KEY) | F.contains("source_text", F.col("source")))
+    terms = glossary.where("enabled and source <> ''").select("source", F.coalesce("target", F.lit("")).alias("target"))
+    n, size = terms.agg(F.count(F.lit(1)), F.sum(F.length("source") + F.length("target"))).first()
+    found = _terms_sent(segments, terms) if n <= SENT_TERMS and (size or 0) <= SENT_CHARS else _terms_joined(segments, terms)
     ranked = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("source")).alias("n"), "source", "target"))).alias("ts"))
     return ranked.select("id", F.transform(F.slice("ts", 1, MOST_TERMS), lambda t: F.struct(t["source"].alias("source"), t["target"].alias("target"))).alias("terms"))
 
 
+def _terms_sent(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, source, target) of terms in each text, the MOST_TERMS first ones. The list is within the bounds that were checked."""
+    spark, by_source = segments.sparkSession, {}
+    for r in terms.collect():
+        by_source.setdefault(r.source, []).append(r.target)
+    sent = spark.sparkContext.broadcast(by_source)
+    rows = segments.select("id", T.text("source_text").alias("source_text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        automaton = TermAutomaton(sent.value)
+        order = sorted(range(len(automaton.terms)), key=lambda i: (-len(automaton.terms[i]), automaton.terms[i]))
+        rank = dict(zip(order, range(len(order)), strict=True))
+        targets = [sorted(sent.value[t]) for t in automaton.terms]
+        for batch in batches:
+            at, source, target = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                pairs = [(t, x) for t in sorted(automaton.found(text), key=rank.__getitem__)[:MOST_TERMS] for x in targets[t]][:MOST_TERMS]
+                at += [i] * len(pairs)
+                source += [automaton.terms[t] for t, _ in pairs]
+                target += [x for _, x in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(source, pa.string()), pa.array(target, pa.string())], names=["id", "source", "target"])
+
+    return rows.mapInArrow(run, f"id {kind}, source string, target string")
+
+
+def _terms_joined(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, source, target) of all terms in each text, for glossaries of any size.
+
+    A term is met through its first KEY characters (shorter ones through all they have), which are joined with the runs of
+    as many characters of each text, each once. Only ids go with the runs; longer terms are then tested on the texts of
+    those ids that have met one.
+    """
+    keyed = terms.withColumn("_k", F.left("source", F.lit(KEY)))
+    runs = segments.select("id", F.explode(F.concat(*(_grams(F.col("source_text"), n) for n in range(1, KEY + 1)))).alias("_k")).distinct()
+    met = runs.join(keyed, "_k").select("id", "source", "target")
+    tested = met.where(F.length("source") > KEY).join(segments.select("id", "source_text"), "id").where(F.contains("source_text", F.col("source")))
+    return met.where(F.length("source") <= KEY).unionByName(tested.select("id", "source", "target"))
+
+
 def hard_cut(c: Column, limit: int) -> Column:
     """where to cut a text longer than the limit: at the limit, or before a number or placeholder that stands there.
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from drawkit import schemas
+from drawkit.functions.automaton import TermAutomaton
 from drawkit.functions import text as T
 from drawkit.functions import tokens as E
 from drawkit.operators import bom, catalog, geometry, graph, layout, match, segments, tables, translate, verdict
@@ -418,7 +419,18 @@ def test_requests(spark):
     assert got == {1: None, 2: "mode", 3: "empty", 4: "no root", 5: "root outside", 6: "deleted: 7", 7: "unsupported: 2", 8: "too many", 9: "empty"}
 
 
-def test_glossary_terms(spark):
+def test_term_automaton_finds_what_is_in_the_text():
+    rng = random.Random(5)
+    for _ in range(300):
+        terms = {"".join(rng.choices("abc框", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 30))}
+        automaton = TermAutomaton(terms)
+        text = "".join(rng.choices("abc框面", k=rng.randint(0, 60)))
+        assert {automaton.terms[i] for i in automaton.found(text)} == {t for t in terms if t in text}
+
+
+@pytest.mark.parametrize("most", [translate.SENT_TERMS, 0])
+def test_glossary_terms(spark, monkeypatch, most):
+    monkeypatch.setattr(translate, "SENT_TERMS", most)
     texts = {1: "abc cab a", 2: "", 3: "xyz", 4: "c" * 50 + "abcd", 5: "外框 面板", 6: None}
     names = ["a", "ab", "cab", "zz", "c a", "bcd", "外", "框 面", "x" * 4, "", "cccc", *("c" * n for n in range(5, 45))]
     rows = spark.createDataFrame(list(texts.items()), "id long, source_text string")
