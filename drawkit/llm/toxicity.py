@@ -119,13 +119,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Features are all those whose share of positive rows is too far from the whole's to be chance among as many as were
     seen; the driver holds their counts in the labelled rows. Labels that are null count as unlabelled, of a repeated id
-    the highest counts, and a document that repeats is as many rows. With no positive or no negative row the model says
-    grade 0 for all.
+    the highest counts, and a document that repeats is as many rows. Labels without a document say nothing. With no
+    positive or no negative row among the labelled documents the model says grade 0 for all.
     """
     of = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     of = of.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(of), "_id").select("_text", "_label")
-    n, positive = of.agg(F.count(F.lit(1)), F.count_if(F.col("_label") > 0)).first()
+    rows = stored(rows)  # the labelled texts alone: documents are read once
+    n, positive = rows.agg(F.count(F.lit(1)), F.count_if(F.col("_label") > 0)).first()
     if not positive or positive == n:
         return OrdinalModel({}, [50.0 + k for k in range(n_grades - 1)])
     share = positive / n
@@ -141,17 +142,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return OrdinalModel({}, [50.0 + k for k in range(n_grades - 1)])
 
     def sparse(batches):
-        schema = pa.schema([("features", pa.list_(pa.string())), ("label", pa.int32())])
+        schema = pa.schema([("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("label", pa.int32())])
 
         def out():
             for batch in batches:
                 for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield [f for word in WORDS.findall(text.lower()) for f in chosen_of(word, signs, pure)], label
+                    found = Counter(f for word, n in Counter(WORDS.findall(text.lower())).items() for f in chosen_of(word, signs, pure) for _ in range(n))
+                    yield list(found), list(found.values()), label
 
         return rebatch(out(), schema)
 
-    found = rows.mapInArrow(sparse, "features array<string>, label int").select(F.col("label"), F.map_from_entries(F.transform(F.array_distinct("features"), lambda f: F.struct(f, F.size(F.filter("features", lambda g: g == f))))).alias("counts")).collect()
-    xs, given = [dict(r.counts) for r in found], np.array([r.label for r in found])
+    found = rows.mapInArrow(sparse, "names array<string>, counts array<long>, label int").collect()
+    xs, given = [dict(zip(r.names, r.counts, strict=True)) for r in found], np.array([r.label for r in found])
     if given.max() > 1:
         grades, n_grades = np.minimum(given, n_grades - 1), n_grades
     else:
