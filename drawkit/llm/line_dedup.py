@@ -12,12 +12,38 @@ a third of all pages is spread over many tasks.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import stored, text_or_empty
 
-MARKUP = r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
+#: What begins a part that is dropped with all it holds, and what ends it. Anything else between < and > is a tag.
+PARTS = ((re.compile(r"<script\b", re.ASCII), "</script>"), (re.compile(r"<style\b", re.ASCII), "</style>"), (re.compile("<!--"), "-->"))
+
+
+def without_markup(html: str) -> str:
+    """The text with a line feed for each script, style, comment and tag. An end that isn't there is looked for once, so time is linear."""
+    out, at, absent = [], 0, set()
+    while (begin := html.find("<", at)) >= 0:
+        end = -1
+        for opens, closes in PARTS:
+            if closes not in absent and (m := opens.match(html, begin)):
+                if (end := html.find(closes, m.end())) >= 0:
+                    end += len(closes)
+                    break
+                absent.add(closes)
+        if end < 0:
+            end = html.find(">", begin) + 1
+            if not end:  # no tag ends from here on
+                break
+        out.append(html[at:begin])
+        at = end
+    out.append(html[at:])
+    return "\n".join(out)
 
 
 def host_of(url: Column) -> Column:
@@ -25,10 +51,15 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
 
 
+def _without_markup(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for html in pages:
+        yield html.map(without_markup)
+
+
 def lines_of(html: Column) -> Column:
     """Trimmed lines that hold anything, with tags, comments, scripts and styles as line ends."""
-    lines = F.split(F.regexp_replace(html, MARKUP, "\n"), "[\\x20\\x09\\x0B\\x0C]*[\\r\\n][\\x20\\x09-\\x0D]*")
-    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")), lambda x: x != "")
+    lines = F.split(F.pandas_udf(_without_markup, "string")(html), "[\r\n]+")
+    return F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), lambda x: x != "")
 
 
 #: Digests of boilerplate lines up to this many are known to every task: 32 bytes each, 6 MB.

@@ -274,3 +274,25 @@ def test_line_dedup_against_plain_counts(spark, how):
     rows = EDGE + more + [(r.page_id, r.url, r.html) for r in pages(spark).collect()]
     df = spark.createDataFrame(rows, DDL).repartition(3).withColumn("digests", F.lit(1)).withColumn("host", F.lit("x"))
     assert tuples(line_dedup.line_dedup(df, **how), "page_id", "host", "n_lines", "n_dropped", "text") == slow_line_dedup(rows, 0.3)
+
+
+def test_markup_is_cut_as_the_pattern_says_in_linear_time():
+    import re
+    import time
+
+    pattern = re.compile(r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", re.ASCII)
+    rng = random.Random(4)
+    parts = ["<", ">", "<script", "<script>", "</script>", "<style x>", "</style>", "<!--", "-->", "<!-->", "<p>", "a", " ", "\n", "<scripty>", "<scripté>"]
+    for _ in range(3000):
+        html = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert line_dedup.without_markup(html) == pattern.sub("\n", html), html
+    began = time.time()
+    for hostile in ("<", "<!--", "<!-- >", "<script>", "<style", " ", "<a "):
+        line_dedup.without_markup(hostile * (1_000_000 // len(hostile)))
+    assert time.time() - began < 10
+
+
+def test_line_dedup_of_long_hostile_pages(spark):
+    pages = [(i, "http://h/x", x) for i, x in enumerate(["<" * 1_000_000, " " * 1_000_000 + "x", "<!-- >" * 150_000, "<script>" * 120_000])]
+    got = {r.page_id: (r.n_lines, len(r.text)) for r in line_dedup.line_dedup(spark.createDataFrame(pages, DDL)).collect()}
+    assert got == {0: (1, 1_000_000), 1: (1, 1), 2: (0, 0), 3: (0, 0)}
