@@ -106,8 +106,13 @@ def uniform_hash(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11).cast("double") * 2.0**-53
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("_text"), *([] if topic is None else [topic.cast("string").alias("topic")]))
+def _chance(id_col: str, text_col: str, seed: int) -> Column:
+    """A number in [0, 1) from the id, or from the text of a row that has none."""
+    return F.when(F.col(id_col).isNotNull(), uniform_hash(F.col(id_col), seed)).otherwise(uniform_hash(text_or_empty(text_col), seed))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, seed: int) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), _chance(id_col, text_col, seed).alias("_u"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("_text"), *([] if topic is None else [topic.cast("string").alias("topic")]))
     rows = rows.withColumn("n_tokens", F.regexp_count("_text", F.lit(WORD)).cast("long"))
     return rows if topic is not None else rows.withColumn("topic", topic_of(F.col("_text"), F.col("n_tokens")))
 
@@ -141,25 +146,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Without targets, each marginal's target is the corpus's own shares to the given power. The sample holds `rate`
     of all tokens in expectation; cells that would need more than all their tokens are taken whole. Null sources and languages are values
     of their own. A null text has no tokens; documents in a cell without tokens have weight 0 and are not sampled.
-    Repeated rows share their hash, and so their fate. An empty table gives an empty one.
+    Rows of one id share their fate; rows without an id go by their text. An empty table gives an empty one.
     """
-    rows = stored(_rows(docs, id_col, text_col, source_col, lang_col, topic).drop("_text"))
+    rows = stored(_rows(docs, id_col, text_col, source_col, lang_col, topic, seed).drop("_text"))
     cells = stored(_cells(rows))
     targets = {d: smoothed_targets(cells, d, power) for d in DIMENSIONS} if targets is None else targets
     weights = _probabilities(rake(cells, targets, **how), rate).select(F.struct(*DIMENSIONS).alias("_cell"), "weight", "probability", "off")
     out = rows.withColumn("_cell", F.struct(*DIMENSIONS)).join(weights, "_cell", "left")
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(0.0)).alias("probability"), (uniform_hash(F.col("doc_id"), seed) < F.coalesce("probability", F.lit(0.0))).alias("sampled"), F.coalesce("off", F.lit(0.0)).alias("off"))
+    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(0.0)).alias("probability"), (F.col("_u") < F.coalesce("probability", F.lit(0.0))).alias("sampled"), F.coalesce("off", F.lit(0.0)).alias("off"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", *, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.9, rate: float = RATE, seed: int = 17, **how) -> DataFrame:
     """The sampled rows of docs, with the columns of docs, of any names.
 
-    Cells are looked up by their values, so ids may repeat or be null; rows of one id share their fate. Null and empty
+    Cells are looked up by their values, so ids may repeat or be null; rows of one id share their fate, rows without one go by their text. Null and empty
     texts have no tokens; they are sampled like the others of their cell, and not at all if it has none. An empty table
     gives an empty one.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = _rows(docs, id_col, text_col, source_col, lang_col, topic)
+    rows = _rows(docs, id_col, text_col, source_col, lang_col, topic, seed)
     cells = stored(_cells(rows.drop("_text")))
     targets = {d: smoothed_targets(cells, d, power) for d in DIMENSIONS} if targets is None else targets
     # Written first, so that Spark knows its size and needn't move the texts to join it.
@@ -167,5 +172,5 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     text = text_or_empty(text_col)
     n = F.regexp_count(text, F.lit(WORD)).cast("long")
     cell = F.struct(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), (topic_of(text, n) if topic is None else topic.cast("string")).alias("topic"))
-    out = docs.select(whole.alias("_row"), cell.alias("_cell"), uniform_hash(F.col(id_col), seed).alias("_u")).join(weights, "_cell")
+    out = docs.select(whole.alias("_row"), cell.alias("_cell"), _chance(id_col, text_col, seed).alias("_u")).join(weights, "_cell")
     return out.where(F.col("_u") < F.col("probability")).select("_row.*")

@@ -313,6 +313,25 @@ def slow_severity(model, text):
     return [1 / (1 + np.exp(t - score)) for t in model.thresholds]
 
 
+def test_toxicity_where_no_positive_label_has_a_document(spark):
+    docs = spark.createDataFrame([(i, "some plain text") for i in range(5)], "doc_id long, text string")
+    for given in ([(i, i > 4) for i in range(9)], [(i, i < 5) for i in range(9)], [(99, True), (98, False)]):
+        labels = spark.createDataFrame([(i, int(t)) for i, t in given], "doc_id long, toxic int")
+        out = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
+        assert len(out) == 5 and {r.grade for r in out} == {0}
+
+
+def test_toxicity_fit_is_linear_in_long_texts(spark):
+    import time
+
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"{'bad' if i % 2 else 'good'}{rng.randrange(3000)}" for _ in range(6000))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    began = time.time()
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.weights and time.time() - began < 60
+
+
 @pytest.mark.parametrize("graded", [False, True])
 def test_toxicity_against_plain_scores(spark, graded):
     rng = random.Random(4)
@@ -569,6 +588,14 @@ def test_mixing_edges(spark):
     assert got == pytest.approx({"a": 5.0, "hot": 100 * 0.5 / 30, "b": 0.0})
 
 
+def test_mixing_rows_without_ids_go_by_their_text(spark):
+    rows = spark.createDataFrame([(None, f"text number {i} of many", "en", "a", 1) for i in range(200)] + [(7, "same id", "en", "a", 1)] * 3, DDL)
+    out = mixing.mix(rows, rate=0.5).where("doc_id is null")
+    assert 70 <= out.where("sampled").count() <= 130
+    kept = mixing.sample(rows, rate=0.5)
+    assert kept.where("doc_id is null").count() == out.where("sampled").count() and kept.where("doc_id = 7").count() in (0, 3)
+
+
 def test_mixing_small_cell(spark):
     """A rare cell is taken whole and cuts nothing else; the expected tokens are the rate's."""
     make = lambda *rows: spark.createDataFrame(list(rows), "source string, n long, weight double")
