@@ -42,24 +42,35 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Hashes that are sent to every task.
+SENT = 2_000_000
+
+
 def keep_rows(docs: DataFrame, gone: DataFrame, twice: DataFrame, key: dict[str, Column]) -> DataFrame:
     """The rows of docs whose key is not in gone; of those with one key in twice a single one. Same columns, of any names.
 
-    key: expressions over docs by name; gone and twice have these columns, and may hold nulls in them. gone is written
-    first: its size is then known to Spark, which broadcasts it below its threshold, so that the texts stay where they
-    are, and else joins by the key. twice is empty unless rows repeat; only such rows are dealt by their key, and they
-    are folded in the map tasks first.
+    key: expressions over docs by name; gone and twice have these columns, and may hold nulls in them. Only 64-bit hashes
+    of the keys in gone meet all rows, by broadcast up to SENT of them (16 MB), so that texts stay where they are; rows
+    that such a hash points at are few, and are held against the keys themselves. twice is empty unless rows repeat; only
+    such rows are dealt by their key, and they are folded in the map tasks first.
     """
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in key.items()))
-    gone, twice = stored(gone.distinct()), stored(twice.distinct())
+    held = held.withColumn("_h", F.xxhash64(*key))
+    gone, twice = stored(gone.distinct().withColumn("_h", F.xxhash64(*key))), stored(twice.distinct())
+    hashes = gone.select("_h").distinct()
+    hashes = F.broadcast(hashes) if gone.count() <= SENT else hashes
     same = lambda other: reduce(lambda a, b: a & b, (held[k].eqNullSafe(other[k]) for k in key))
-    stays = held.join(gone, same(gone), "left_anti")
+    kept = held.join(hashes, "_h", "left_anti").select("row", *key)
+    met = held.join(hashes, "_h", "left_semi").select("row", *key)
+    met_stays = met.join(gone.drop("_h"), reduce(lambda a, b: a & b, (met[k].eqNullSafe(gone[k]) for k in key)), "left_anti")
+    stays = kept.unionByName(met_stays)
     if twice.isEmpty():
         return stays.select("row.*")
     plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
     order = F.xxhash64(*(F.col(f"row.`{c}`") for c in plain))
     one = held.join(twice, same(twice), "left_semi").groupBy(*key).agg(F.min_by("row", order).alias("row"))
-    return stays.join(twice, same(twice), "left_anti").select("row.*").unionByName(one.select("row.*"))
+    same_stays = reduce(lambda a, b: a & b, (stays[k].eqNullSafe(twice[k]) for k in key))
+    return stays.join(twice, same_stays, "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

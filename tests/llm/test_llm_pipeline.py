@@ -91,7 +91,7 @@ def test_pipeline_on_nothing(spark):
 def test_oracles(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     made = queries.queries()
     for name, sql in queries.oracle_sql().items():
