@@ -6,8 +6,12 @@ gets the points of all its paragraphs. An element's sum is discounted by its own
 container, and siblings that score well or read like prose are kept with it.
 
 Before that, what isn't main text is cut out of the tree: by tag, by role, and by a class or id whose whole name says
-so ("site-footer", "cookie-notice"). One word of a longer name ("has-sidebar", "page-with-menu") cuts nothing. If
-names leave next to nothing, they don't count for what holds most of the page's text.
+so ("site-footer", "cookie-notice"). A longer name that begins or ends with such a word ("user-comments", "google-ad")
+only hints at it, and what the part holds decides: reader comments go unless the page's article or heading is in them;
+adverts, sign-ups and the like go if they are short or mostly links; menus and bars go if they are mostly links. Names
+that tell a state or are a phrase ("has-sidebar", "page-with-menu", "reply-to-critics") hint at nothing, and so does an
+id made of the part's own heading. If names leave next to nothing, hints are dropped first, and then names don't count
+for what holds most of the page's text.
 
 Time and memory grow in proportion to the page: the tokenizer looks at each character a fixed number of times, an end
 tag without an open element costs one look-up, and all walks are loops over the page's items, at any depth.
@@ -44,6 +48,11 @@ COMMENTS = frozenset("comment comments commentlist disqus reply replies respond"
 PARTS = COMMENTS | frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations pagination pager login".split())
 #: Words that may stand beside them in such a name without changing what it says.
 BESIDE = frozenset("site page main global primary secondary left right top bottom header box bar wrap wrapper container block section area list item items inner outer group panel module region zone unit slot links link posts post entry article story form buttons button icons icon title heading mobile desktop sticky fixed js wp the my".split())
+#: Words of PARTS that mean an advert, an offer or a call to share or sign up also in a longer name.
+OFFERS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promoted promotion cookie cookies consent gdpr newsletter subscribe subscription signup share sharing social related recommended recommendations popup modal".split())
+#: Words of names that tell a state or belong to a phrase.
+TELLS_NOTHING = frozenset("has with without no not non is are to of and or on for in by from vs free enabled disabled open closed layout template type category tag hoc".split())
+HINTED_TAGS = frozenset("article section div ul ol dl table form details fieldset".split())
 CLOSES_P = BLOCK - frozenset("#root body html caption dd dt li tbody td tfoot th thead tr legend".split())
 #: A start tag ends these open elements, up to the nearest of the second set.
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
@@ -230,6 +239,56 @@ def named_part(node: Node) -> str | None:
     return found
 
 
+def hinted_part(node: Node, heading: list[str] | None) -> str | None:
+    """What a class or id hints at by its first or last word: "comments", "offer", "bar", or null.
+
+    heading: the words of the element's first heading. An id of these words is made from it.
+    """
+    if node.tag not in HINTED_TAGS:
+        return None
+    found = None
+    for kind in ("class", "id"):
+        for name in node.attrs.get(kind, "").split():
+            words = [w.lower() for w in WORDS.findall(name)]
+            if not words or any(w in TELLS_NOTHING for w in words) or kind == "id" and words == heading:
+                continue
+            ends = (words[0], words[-1])
+            if any(w in COMMENTS for w in ends):
+                return "comments"
+            if any(w in OFFERS for w in ends):
+                found = "offer"
+            elif any(w in PARTS for w in ends):
+                found = found or "bar"
+    return found
+
+
+def marks_within(items: list[str | Node], nodes: list[Node]) -> tuple[dict[int, int], dict[int, int], dict[int, list[str]]]:
+    """By an element's id(): articles and first-level headings in it, itself included, and the words of its first heading.
+
+    Of a heading its first 63 items (texts and elements' ends) are read, so that headings in headings cost no more.
+    """
+    articles: dict[int, int] = {}
+    titles: dict[int, int] = {}
+    headings: dict[int, list[str]] = {}
+    for node in reversed(nodes):
+        key = id(node)
+        n_articles = articles.get(key, 0) + (node.article is node)
+        n_titles = titles.get(key, 0) + (node.tag == "h1")
+        if node.tag in HEADINGS:
+            texts = (x for x in items[node.start + 1 : min(node.end, node.start + 64)] if isinstance(x, str))
+            headings[key] = [w.lower() for w in WORDS.findall(" ".join(texts))]
+        articles[key], titles[key] = n_articles, n_titles
+        if node.parent is not None:
+            above = id(node.parent)
+            if n_articles:
+                articles[above] = articles.get(above, 0) + n_articles
+            if n_titles:
+                titles[above] = titles.get(above, 0) + n_titles
+            if key in headings:
+                headings[above] = headings[key]
+    return articles, titles, headings
+
+
 def _hidden(a: dict[str, str]) -> bool:
     return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
 
@@ -269,11 +328,11 @@ def lengths(items: list[str | Node], nodes: list[Node]) -> None:
             node.parent.head_len += node.head_len
 
 
-#: How names are taken: all of them; not for what holds most of the text; not at all.
-ALL_NAMES, SMALL_PARTS, NO_NAMES = range(3)
+#: How names are taken: hints too; whole names only; not for what holds most of the text; not at all.
+HINTS, ALL_NAMES, SMALL_PARTS, NO_NAMES = range(4)
 
 
-def prune(items: list[str | Node], nodes: list[Node], names: int = ALL_NAMES) -> bool:
+def prune(items: list[str | Node], nodes: list[Node], names: int = HINTS) -> bool:
     """Marks what isn't main text: by tag, role and name. Sets the lengths of what is left; whether that is enough.
 
     What holds the page's main element stays, and so does a form that holds more than half of the page's text and less
@@ -301,11 +360,33 @@ def prune(items: list[str | Node], nodes: list[Node], names: int = ALL_NAMES) ->
         if not node.cut and node.attrs and names != NO_NAMES:
             roles = node.attrs.get("role", "").lower().split()
             part = "part" if roles and roles[0] in CUT_ROLES else named_part(node)
-            node.cut = part is not None and (names == ALL_NAMES or part == "comments" or not large)
+            node.cut = part is not None and (names <= ALL_NAMES or part == "comments" or not large)
+    if names == HINTS:
+        cut_hinted(items, nodes, holds, whole)
     lengths(items, nodes)
     return any(x.article is x and x.text_len for x in nodes) or 5 * nodes[0].text_len >= whole
 
 
+def cut_hinted(items: list[str | Node], nodes: list[Node], holds: set[int], whole: int) -> None:
+    """Marks what a longer name hints at and what it holds bears out, see the module. Lengths must be set."""
+    named = [x for x in nodes if x.attrs and not x.cut and ("class" in x.attrs or "id" in x.attrs) and id(x) not in holds]
+    if not named:
+        return
+    articles, titles, headings = marks_within(items, nodes)
+    every = articles[id(nodes[0])]
+    for node in named:
+        key = id(node)
+        if titles[key] or every and articles[key] == every:
+            continue
+        hint = hinted_part(node, headings.get(key))
+        if hint == "comments":
+            node.cut = True
+        elif hint == "offer":
+            node.cut = node.text_len < max(200, whole / 20) or node.density >= 1 / 3
+        elif hint == "bar":
+            node.cut = node.links >= 2 and node.density >= 0.5
+
+
 def points(node: Node) -> float:
     """What a paragraph is worth: 1, 1 for each comma, up to 3 for its length; less the share of its text in links."""
     if not node.own_len or node.tag in HEADINGS:
@@ -418,7 +499,7 @@ def extract(page: str) -> str:
     items, nodes = parse(page)
     if not any(isinstance(x, str) and not x.isspace() for x in items):
         return ""
-    for names in (ALL_NAMES, SMALL_PARTS, NO_NAMES):
+    for names in (HINTS, ALL_NAMES, SMALL_PARTS, NO_NAMES):
         if prune(items, nodes, names) or names == NO_NAMES:
             score(nodes)
             if found := blocks(items, choose(items, nodes)):

@@ -158,11 +158,59 @@ def test_extract_whole_articles(page, text):
     assert html_extract.extract(page) == text
 
 
+PROSE = "".join(f"<p>Paragraph {n}, of the story, with some more words in it, as stories have.</p>" for n in range(4))
+PROSE_TEXT = "\n".join(f"Paragraph {n}, of the story, with some more words in it, as stories have." for n in range(4))
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<div class='comment-thread'><div class='comment-body'><p>First, I say, and say, and say it.</p></div></div>",
+        "<div class='user-comments'>" + "<p>Long, long, long comment, of somebody, on it.</p>" * 40 + "</div>",
+        "<section id='readerComments'><h3>What readers say</h3><p>I, for one, agree.</p></section>",
+        "<div class='newsletter-signup-inline'>Get the letter, every week. <input name=m></div>",
+        "<div class='google-ad'>Buy it now, and save.</div>",
+        "<div class='dfp__ad ad-728x90'>Buy it now, and save.</div>",
+        "<div class='socialShareTools'><span>Tell</span> <span>your friends</span></div>",
+        "<div class='tale-menu'><a href=1>One</a> <a href=2>Two</a></div>",
+        "<div class='comment-list-x'><article class='c1'><p>A, b.</p></article><article class='c2'><p>C, d.</p></article></div>",
+    ],
+)
+@pytest.mark.parametrize("inside", [True, False])
+def test_extract_leaves_out_comments_and_adverts_by_longer_names(part, inside):
+    page = f"<article><h1>T</h1>{PROSE}{part if inside else ''}</article>{'' if inside else part}"
+    assert html_extract.extract(page) == "T\n" + PROSE_TEXT
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        "div class='with-comments'",
+        "div class='comments-open post'",
+        "div class='tag-newsletter story'",
+        "div class='layout-sidebar story-x'",
+        "div class='menu-planning-tips'",
+        "div class='sidebar-story-body'",
+        "section id='reply-to-critics'",
+        "section class='share-prices'",
+    ],
+)
+def test_extract_keeps_articles_under_longer_names(tag):
+    name = tag.split()[0]
+    assert html_extract.extract(f"<article><h1>T</h1><{tag}>{PROSE}</{name}></article>") == "T\n" + PROSE_TEXT
+    assert html_extract.extract(f"<body><{tag}><h1>T</h1>{PROSE}</{name}></body>") == "T\n" + PROSE_TEXT
+
+
+def test_extract_takes_an_id_made_of_a_heading_for_a_section():
+    page = f"<article>{PROSE}<section id='comments-received-then'><h2>Comments received then</h2><p>Some were kind, some not.</p></section></article>"
+    assert html_extract.extract(page) == PROSE_TEXT + "\nComments received then\nSome were kind, some not."
+
+
 def test_extract_takes_time_in_proportion():
     import time
 
     n = 400_000
-    for part, tail in [("<a ", ""), ("<b>", "</i>" * (n // 8)), ("<div>", "x"), ("<", ""), ('<a x="', ""), ("<!--", ""), ("<b><div>", "</b>" * 1000 + "x"), ("<ul><li>", "t"), ("<table><tr><td>", "t"), ("<p><button>", "<div>" * (n // 8)), ("<div></p></b></div>", "x"), ("<a>", "x"), ("<div><a href=x>link</a>", "")]:
+    for part, tail in [("<a ", ""), ("<b>", "</i>" * (n // 8)), ("<div>", "x"), ("<", ""), ('<a x="', ""), ("<!--", ""), ("<b><div>", "</b>" * 1000 + "x"), ("<ul><li>", "t"), ("<table><tr><td>", "t"), ("<p><button>", "<div>" * (n // 8)), ("<div></p></b></div>", "x"), ("<a>", "x"), ("<div><a href=x>link</a>", ""), ("<h2><div id=comments-x>", "x"), ("<div class=x-ad>", "x")]:
         began = time.process_time()
         html_extract.extract(part * (n // len(part)) + tail)
         assert time.process_time() - began < 12, part
