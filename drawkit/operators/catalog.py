@@ -6,9 +6,9 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .ordering import mean_of_last, placed
 
 SEARCHED = ["filename", "title_text", "tech_text", "all_text"]
 PAGE_SIZE = 10
@@ -54,13 +54,14 @@ def recent(checks: DataFrame, n: int = 8) -> DataFrame:
 
 
 def numbered(drawings: DataFrame, within: list[str] | None = None) -> DataFrame:
-    """list_number 1.. by upload time. Numbering a whole library takes one task; within names what to number apart."""
-    return drawings.withColumn("list_number", F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy("upload_time", "id")))
+    """list_number 1.. by upload time, ties by id. within names what to number apart; neither takes one task."""
+    return placed(drawings, within or [], ["upload_time", "id"], "list_number")
 
 
 def catalog(drawings: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Number within its batch, id, shown name, title, type, size and time of each drawing."""
-    rows = numbered(drawings, ["batch_id"])
+    shown = ["batch_id", "id", "filename", "original_filename", "file_type", "file_size", "upload_time"]
+    rows = numbered(drawings.select(*shown), ["batch_id"])
     title = F.lit("")
     if titles is not None:
         rows = rows.join(titles.select(F.col("drawing_id").alias("id"), "title"), "id", "left")
@@ -98,8 +99,7 @@ def batch_status(outcomes: DataFrame, totals: DataFrame | None = None) -> DataFr
 
 def rolling_mean(durations: DataFrame, n: int = 5) -> DataFrame:
     """The mean of a mode's last n durations, each to milliseconds. durations: mode, seconds, ts, id."""
-    frame = Window.partitionBy("mode").orderBy("ts", "id").rowsBetween(1 - n, 0)
-    return durations.withColumn("estimate", F.avg(F.round("seconds", 3)).over(frame))
+    return mean_of_last(durations, ["mode"], ["ts", "id"], F.round("seconds", 3), n, "estimate")
 
 
 def run_tool(drawings: DataFrame, tool: str, **parameters) -> DataFrame:

@@ -98,6 +98,20 @@ def a7_batch_status(spark, sf_dir):
     return catalog.batch_status(X.outcomes(spark, sf_dir))
 
 
+@query(D + " select id, row_number() over (order by upload_time, id) as list_number from drawings")
+def w1_list_number(spark, sf_dir):
+    """The whole library in one order."""
+    return catalog.numbered(X.drawings(spark, sf_dir).select("id", "upload_time")).select("id", F.col("list_number"))
+
+
+@query("select event_id as id, row_number() over (order by ts, event_id) as list_number, round(avg(round(value, 3)) over (order by ts, event_id rows between 4 preceding and current row), 4) as estimate from events")
+def w7_one_mode(spark, sf_dir):
+    """All events as one mode, numbered and averaged."""
+    rows = X.table(spark, sf_dir, "events").select(F.lit("all").alias("mode"), F.col("value").alias("seconds"), "ts", F.col("event_id").alias("id"))
+    means = catalog.rolling_mean(rows)
+    return catalog.numbered(means.withColumnRenamed("ts", "upload_time")).select("id", "list_number", F.round("estimate", 4).alias("estimate"))
+
+
 @query("select event_id as id, round(avg(round(value, 3)) over (partition by event_type order by ts, event_id rows between 4 preceding and current row), 4) as estimate from events")
 def w7_rolling_mean_5(spark, sf_dir):
     rows = X.table(spark, sf_dir, "events").select(F.col("event_type").alias("mode"), F.col("value").alias("seconds"), "ts", F.col("event_id").alias("id"))
