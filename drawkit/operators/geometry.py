@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -193,22 +195,62 @@ def scan_to_bom(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, out
 
 
+#: Blocks of one text on one page that are folded by expressions. It changes the plan only.
+FEW = 64
+
+
 def greedy_unique(blocks: DataFrame, measure: str, least: float, order: list[str]) -> DataFrame:
     """In the given order, a block stays unless it overlaps one of the same text that stayed.
 
-    measure: "iou", or "smaller" for the share of the smaller area. A fold over the blocks of one text on one page.
+    measure: "iou", or "smaller" for the share of the smaller area. Up to FEW blocks of one text on one page are folded
+    by expressions; more of them are compared as arrays of numbers, each with all that stayed at once. Where a
+    block has no finite box all go the first way, however many they are; one without a box overlaps nothing and stays.
     """
     rest = [c for c in blocks.columns if c not in (*PAGE, "text")]
     each = F.struct(*order, F.struct(*rest).alias("b"))
     texts = blocks.groupBy(*PAGE, "text").agg(F.array_sort(F.collect_list(each)).alias("bs")).withColumn("bs", F.transform("bs", lambda x: x["b"]))
     ratio = B.iou if measure == "iou" else B.overlap_ratio
     side = lambda b: {k: b[k] for k in ("x", "y", "w", "h")}
+    whole = lambda b: (b["x"] + b["y"] + b["w"] + b["h"]).isNotNull()
     none = F.filter("bs", lambda _: F.lit(False))
-    kept = F.aggregate("bs", none, lambda acc, b: F.when(F.exists(acc, lambda k: ratio(side(k), side(b)) >= least), acc).otherwise(F.concat(acc, F.array(b))))
-    several = F.when(F.size("bs") > 1, kept).otherwise(F.col("bs"))
+    kept = F.aggregate("bs", none, lambda acc, b: F.when(F.exists(acc, lambda k: whole(k) & whole(b) & (ratio(side(k), side(b)) >= least)), acc).otherwise(F.concat(acc, F.array(b))))
+    finite = F.forall("bs", lambda b: F.coalesce(F.abs(b["x"] * b["y"] * b["w"] * b["h"]) < float("inf"), F.lit(False)))
+    texts = texts.withColumn("_many", (F.size("bs") > FEW) & finite)
+    sides = [F.when(F.col("_many"), F.col(f"bs.{k}").cast("array<double>")) for k in ("x", "y", "w", "h")]
+    texts = texts.withColumn("_stay", stays_of_many(measure, least)(*sides))
+    many = F.transform("_stay", lambda i: F.get("bs", i))
+    several = F.when(F.col("_many"), many).when(F.size("bs") > 1, kept).otherwise(F.col("bs"))
     return texts.withColumn("bs", several).select(*PAGE, "text", F.inline("bs")).select(*blocks.columns)
 
 
+def stays_of_many(measure: str, least: float):
+    """A function of columns (x, y, w, h), arrays in order: the indexes of the boxes that stay; null for null."""
+
+    def stay(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        n = len(x)
+        x1, y1, area = x + w, y + h, w * h
+        # Rows: the boxes that stayed so far, from the left: x, x1, y, y1, area.
+        held = np.empty((5, n))
+        index = np.empty(n, dtype=np.int32)
+        size = 0
+        for i in range(n):
+            kx, kx1, ky, ky1, ka = held[:, :size]
+            shared = np.maximum(0.0, np.minimum(kx1, x1[i]) - np.maximum(kx, x[i])) * np.maximum(0.0, np.minimum(ky1, y1[i]) - np.maximum(ky, y[i]))
+            whole = ka + area[i] - shared if measure == "iou" else np.minimum(ka, area[i])
+            some = whole > 0
+            if not (shared[some] / whole[some] >= least).any():
+                held[:, size] = x[i], x1[i], y[i], y1[i], area[i]
+                index[size] = i
+                size += 1
+        return index[:size]
+
+    @F.pandas_udf("array<int>")
+    def stays(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else stay(a, b, c, d) for a, b, c, d in zip(x, y, w, h, strict=True)], dtype=object)
+
+    return stays
+
+
 def iou_dedup(blocks: DataFrame) -> DataFrame:
     """Same text and IoU of 0.8 or more: the first by (y, x) stays."""
     return greedy_unique(blocks, "iou", 0.8, ["y", "x", "pos"])
