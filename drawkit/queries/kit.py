@@ -319,14 +319,18 @@ def k2_kit_check_manual(spark, sf_dir):
     return got.select("check_id", "drawing_id", "row_index", "code", "match_status", "depth", says("self").alias("is_self"), says("path").alias("is_path"), says("depth").alias("is_deep"), "extraction_status")
 
 
-@query(ITEMS + """, k as (select row_index, drawing_id, check_id, case when drawing_id % 5 = 0 and row_index = 1 then '' else note end as note2, * exclude (row_index, drawing_id, check_id) from judged)
-select check_id, drawing_id, row_index, note2 as note, case when drawing_id % 5 = 0 and row_index = 1 then note else '-' end as original from k""")
+@query(ITEMS + """, ed as (select check_id, drawing_id, row_index, code, name from judged where drawing_id % 5 = 0 and row_index = 1),
+hit as (select distinct ed.drawing_id, ed.check_id from ed join view v on ed.check_id = v.check_id and kind = 'drawing' and stem in (lower(code), lower(code || '-' || name), lower(code || '_' || name), lower(code || ' ' || name))),
+near as (select distinct ed.drawing_id, ed.check_id from ed join view v on ed.check_id = v.check_id and kind = 'drawing' and split_part(replace(replace(stem, '-', ' '), '_', ' '), ' ', 1) = lower(code) and length(stem) > length(code) + 1)
+select j.check_id, j.drawing_id, j.row_index, case when ed.code is null then note else '' end as note, case when ed.code is null then '-' else note end as original,
+  case when ed.code is null then match_status when hit.drawing_id is not null then 'exists' when near.drawing_id is not null then 'candidate' else 'missing' end as match_status
+from judged j left join ed on j.check_id = ed.check_id and j.drawing_id = ed.drawing_id and j.row_index = ed.row_index left join hit on ed.check_id = hit.check_id and ed.drawing_id = hit.drawing_id left join near on ed.check_id = near.check_id and ed.drawing_id = near.drawing_id""")
 def k3_rematch_edited(spark, sf_dir):
-    """K3, U4: the first row of every fifth drawing with another code's note. Only cells and originals are compared here."""
+    """K3, U4: the first row of every fifth drawing without its note, matched anew."""
     own = items(spark, sf_dir).withColumns({"id": F.xxhash64("drawing_id", "row_index"), "edited": F.lit(False), "original": F.lit(None).cast("struct<code:string,name:string,note:string,quantity:string>")})
     patch = own.where("drawing_id % 5 = 0 and row_index = 1").select("id", F.lit("").alias("note"))
     got, _ = jobs.rematch_edited(own, patch, X.files(spark, sf_dir))
-    return got.select("check_id", "drawing_id", F.col("row_index").cast("long").alias("row_index"), "note", F.when(F.col("original").isNull(), "-").otherwise(F.col("original.note")).alias("original"))
+    return got.select("check_id", "drawing_id", F.col("row_index").cast("long").alias("row_index"), "note", F.when(F.col("original").isNull(), "-").otherwise(F.col("original.note")).alias("original"), "match_status")
 
 
 @query(X.ctes("bom_rows") + ",\n" + """base as (select drawing_id, code, arg_max(quantity, (page_number, pos)) as q, arg_max(note, (page_number, pos)) as n from bom_rows group by all)

@@ -164,12 +164,14 @@ def u5_keyed_delete(spark, sf_dir):
     return changed(spark, old, new.where("v % 2 = 0").select("key"), buckets.delete)
 
 
-@query("select count(*) as n, count(distinct o_custkey) as customers from orders")
+@query("select cast(o_orderkey as varchar) as filename, o_custkey as customer, '.pdf' as file_type, 1 as rows_of_id from orders")
 def u11_append_with_id(spark, sf_dir):
+    """Whole rows, with the number of rows that share an id."""
     rows = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("filename"), F.col("o_custkey").alias("customer"))
     old = rows.where("customer % 2 = 0").select(F.xxhash64("filename").alias("id"), "filename", "customer", F.lit(".pdf").alias("file_type"))
     got = tables.append_with_id(old, rows.where("customer % 2 = 1"), ["filename"], {"file_type": F.lit(".pdf")})
-    return got.where("file_type = '.pdf'").agg(F.count_distinct("id").alias("n"), F.count_distinct("customer").alias("customers"))
+    ids = got.groupBy("id").agg(F.count(F.lit(1)).alias("rows_of_id"))
+    return got.join(ids, "id").select("filename", "customer", "file_type", "rows_of_id")
 
 
 @query("select o_custkey as key, string_agg(o_orderkey, ',' order by o_orderkey) as ids from orders group by all")
@@ -295,13 +297,15 @@ def s13_ocr_text_export(spark, sf_dir):
     return ocr_text(rows).select("drawing_id", F.sha2("value", 256).alias("value"))
 
 
-@query("select doc_id as drawing_id, sha256('doc_' || doc_id || '.pdf' || chr(0) || 'v1' || chr(0) || 'm' || chr(0) || '10' || chr(0) || chr(0) || text || chr(0) || 'd.pdf') as signature from documents")
+@query("""select doc_id as drawing_id, sha256(case when doc_id % 3 > 0 then '%PDF-' || source || text else 'doc_' || doc_id || '.pdf' end || chr(0) || 'v1' || chr(0) || 'm' || chr(0) || '10' || chr(0) || chr(0) || text || chr(0) || 'd.pdf') as signature from documents""")
 def s4_content_signature(spark, sf_dir):
-    """S4 of drawings whose files are gone: their names stand for the bytes."""
+    """S4 of a file for each document but every third; there its name stands for the bytes."""
     from ..sources.files import content_signature
 
-    rows = X.drawings(spark, sf_dir).withColumns({"filename": F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".pdf")), "original_filename": F.lit("d.pdf")})
-    return content_signature(rows, rows.limit(0).select("filename", F.lit(b"").alias("content")), "v1", "m", 10)
+    name = lambda c: F.concat(F.lit("doc_"), F.col(c).cast("string"), F.lit(".pdf"))
+    rows = X.drawings(spark, sf_dir).withColumns({"filename": name("id"), "original_filename": F.lit("d.pdf")})
+    files = X.table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select(name("doc_id").alias("filename"), F.concat(F.lit("%PDF-"), "source", "text").cast("binary").alias("content"))
+    return content_signature(rows, files, "v1", "m", 10)
 
 
 @query("select 'p' || page_id as filename, sha256(sha256(html) || chr(0) || 'v' || chr(0) || '300' || chr(0) || '10' || chr(0) || 's') as signature from pages")
@@ -312,13 +316,15 @@ def s5_scan_signature(spark, sf_dir):
     return scan_signature(files, "v", 300, 10, "s")
 
 
-@query("""select doc_id as path, doc_id % 2 = 0 and n_chars <= 52428800 and length(text) > 0 as accepted, case when doc_id % 2 > 0 then case doc_id % 4 when 1 then 'not a PDF' else 'unsupported type' end end as reject_reason from documents where length(text) > 0""")
+@query("""select doc_id as path, reason is null as accepted, reason as reject_reason from (select doc_id, case when doc_id % 5 = 3 then 'unsupported type' when n_chars > 52428800 then 'too large' when n_chars = 0 then 'empty' when doc_id % 5 = 1 then 'not a PDF' when doc_id % 5 = 2 then 'not a PNG' end as reason from documents)""")
 def s2_upload_admission(spark, sf_dir):
+    """Every document as an upload: PDF and PNG with and without their first bytes, other types, empty ones."""
     from ..sources.files import admission
 
-    k = F.col("doc_id")
-    docs = X.table(spark, sf_dir, "documents").where("length(text) > 0")
-    files = docs.select(k.alias("path"), F.when(k % 4 == 3, "x.docx").otherwise("x.PDF").alias("filename"), F.col("n_chars").alias("length"), F.concat(F.when(k % 2 == 0, "%PDF-").otherwise("junk"), "text").cast("binary").alias("content"))
+    kind = F.col("doc_id") % 5
+    name = F.when(kind == 3, "x.docx").when(kind.isin(2, 4), "x.png").otherwise("x.PDF")
+    magic = F.when(kind == 0, F.lit(b"%PDF-")).when(kind == 4, F.lit(b"\x89PNG\r\n\x1a\n")).otherwise(F.lit(b"junk"))
+    files = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), name.alias("filename"), F.col("n_chars").alias("length"), F.concat(magic, F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("content"))
     return admission(files)
 
 
