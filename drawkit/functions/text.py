@@ -276,7 +276,7 @@ def block_code(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """White space, in Unicode's sense, off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")  # tried once per run of white space
 
 
 def source_hash(c: Column | str) -> Column:

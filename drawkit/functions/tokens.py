@@ -1,19 +1,15 @@
 """Engineering tokens: dimensions, tolerances, grades, standards and numbers that a translation must keep.
 
-Where a match begins and ends is not something that Spark's regular expressions give, so the spans come from one
-Arrow function; merging, masking and checking them are expressions.
+Spark's regular expressions give matches, not their places. So each pattern puts marks around its matches, and the
+lengths of what lies between the marks are the places. All of it is expressions; no text leaves the JVM.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
-from .text import text
+from .text import let, text
 
 #: Units, scales of hardness and bodies of standards.
 UNITS = r"mm|cm|m|in|inch|inches|kg|g|mg|t|MPa|kPa|Pa|N|kN|rpm|min|s|h|L|mL|ml|°C|℃|°|%|μm|um|lb|lbs|psi"
@@ -40,21 +36,51 @@ PATTERNS = [
     (r"(?<![\d.])\d+:\d+(?![\d.])", False),
     (r"(?<![A-Za-z0-9])A[0-4](?![A-Za-z0-9])", False),
 ]
-_COMPILED = [re.compile(p, re.I if fold else 0) for p, fold in PATTERNS]
 #: No text without one of these holds a token.
-MAYBE = r"[0-9]|[⌀ΦφØ±]|(?i)(?:GB|JB|ISO|DIN|ASTM|ANSI|JIS|EN)|[A-Z]-[A-Z]"
+MAYBE = r"(?U)\d|[⌀ΦφØ±]|(?i)(?:GB|JB|ISO|DIN|ASTM|ANSI|JIS|EN)|[A-Z]-[A-Z]"
+#: Repeated parts that Java would match by recursion, and the same without giving anything back.
+LOOPS = {
+    r"(?:-[A-Z0-9]{1,12}){2,}": r"(?:-[A-Z0-9]{1,12}(?![A-Za-z0-9])){2,}+",
+    r"\d{2,}(?:[.-]\d+)*": r"\d{2,}(?![A-Za-z0-9])(?:[.-]\d+(?![A-Za-z0-9]))*+",
+}
+#: Marks around a match, and what stands for them where a text holds them itself; no pattern looks at any of the three.
+OPEN, CLOSE, OTHER = "\u0001", "\u0002", "\u0003"
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def java_pattern(pattern: str, fold: bool) -> str:
+    """A pattern for Spark: Unicode's digits, cases and white space, the separators U+001C to U+001F included."""
+    for plain, steady in LOOPS.items():
+        pattern = pattern.replace(plain, steady)
+    pattern = pattern.replace(r"\s", r"[\s\x1c-\x1f]")
+    return "(?iU)" + pattern.replace("A-Z", "A-Z\u0130\u212a") if fold else "(?U)" + pattern
+
+
+def pattern_spans(c: Column, pattern: str) -> Column:
+    """Where a pattern matches, in characters. c: a text without marks."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        n = F.instr(piece, CLOSE) - 1
+        span = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def spans(pieces: Column) -> Column:
+        start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(SPANS).alias("out"))
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda acc: acc["out"])
+
+    return let(F.split(F.regexp_replace(c, pattern, f"{OPEN}$0{CLOSE}"), OPEN), spans)
 
 
-@F.pandas_udf(S.ArrayType(S.StructType([S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())])))
-def raw_spans(s: pd.Series) -> pd.Series:
-    """Spans of all patterns, in characters, as they are found; they may overlap. A null has none."""
-    return s.map(lambda t: [{"start": m.start(), "end": m.end()} for p in _COMPILED for m in p.finditer(t or "") if m.end() > m.start()])
+def raw_spans(c: Column) -> Column:
+    """Spans of all patterns, pattern by pattern; they may overlap. A null has none."""
+    found = let(F.translate(text(c), OPEN + CLOSE, OTHER * 2), lambda t: F.flatten(F.array(*(pattern_spans(t, java_pattern(*p)) for p in PATTERNS))))
+    return F.when(text(c).rlike(MAYBE), found).otherwise(F.array().cast(SPANS))
 
 
 def union_spans(spans: Column) -> Column:
     """Overlapping spans joined, in order; spans that only touch stay apart."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    empty = F.array().cast(SPANS)
 
     def fold(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)

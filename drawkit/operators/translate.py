@@ -174,9 +174,8 @@ def chunks(rows: DataFrame, text_col: str = "masked", limit: int = MOST_CHARS) -
 
 
 def mask_tokens(rows: DataFrame, text_col: str = "source_text") -> DataFrame:
-    """Rows with spans, tokens and masked. Of texts that can't hold a token nothing but a null leaves the JVM."""
-    maybe = F.when(F.col(text_col).rlike(E.MAYBE), F.col(text_col))
-    spanned = rows.withColumn("spans", E.raw_spans(maybe)).withColumn("spans", E.union_spans(F.col("spans")))
+    """Rows with spans, tokens and masked."""
+    spanned = rows.withColumn("spans", E.raw_spans(F.col(text_col))).withColumn("spans", E.union_spans(F.col("spans")))
     return spanned.withColumns({"tokens": E.span_texts(F.col(text_col), F.col("spans")), "masked": E.mask(F.col(text_col), F.col("spans"))})
 
 
