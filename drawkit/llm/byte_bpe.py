@@ -38,6 +38,12 @@ class Vocabulary:
                 self.whole[token] = rank
             elif parts := self._last_merge(token, rank):
                 self.whole[token], self.parts[rank] = rank, parts
+        #: By three bytes, how long tokens that end with them can be, longest first; two bytes and one are always tried.
+        found: dict[bytes, set[int]] = {}
+        for token in self.whole:
+            if len(token) > 2:
+                found.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {tail: (*sorted(n, reverse=True), 2, 1) for tail, n in found.items()}
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         seq = [token[i : i + 1] for i in range(len(token))]
@@ -90,11 +96,16 @@ class Encoder:
     def extend(self, data: bytes | bytearray, last: list[int], upto: int, stop=None) -> None:
         """Appends the last token of each prefix beyond those in last, whose entry 0 stands for the empty prefix."""
         whole, longest, pairs, compatible = self.words.whole, self.words.longest, self.pairs, self.words.compatible
+        lengths = self.words.lengths
         base = max(0, len(last) - longest)  # no token that ends beyond the known prefixes begins before
         data = bytes(data[base:upto])
         for end in range(len(last), upto + 1):
-            for start in range(max(0, end - longest), end):
-                token = whole.get(data[start - base : end - base])
+            at = end - base
+            for n in lengths.get(data[at - 3 : at], (2, 1)) if at > 2 else (2, 1):
+                start = end - n
+                if start < 0:
+                    continue
+                token = whole.get(data[at - n : at])
                 if token is None:
                     continue
                 if start:
