@@ -101,16 +101,18 @@ def filter_rows(rows: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """
     rows = once(rows.withColumns({c: T.clean_text(c) for c in ("code", "name", "note", "quantity", "raw_text")}))
     rows = rows.where((F.col("code") != "") | (F.col("name") != "") | (F.col("note") != ""))
-    tight = F.regexp_replace("name", r"\s+", "")
-    heading = T.compact("code").isin(HEADER_WORDS) | (tight.isin(HEADER_WORDS) & (F.col("code") == "")) | (tight.isin(HEADER_NAMES) & ~T.is_valid_code("code"))
+    tight = F.replace("name", F.lit(" "), F.lit(""))  # cleaned texts have no other white space
+    heading = F.upper(F.replace("code", F.lit(" "), F.lit(""))).isin(HEADER_WORDS) | (tight.isin(HEADER_WORDS) & (F.col("code") == "")) | (tight.isin(HEADER_NAMES) & ~T.is_valid_code("code"))
     rows = rows.where(~heading)
     if codes is not None:
         rows = rows.join(codes.select("drawing_id", T.normalize_code("title_code").alias("_own")), "drawing_id", "left")
         rows = rows.where(~((T.text("_own") != "") & (T.normalize_code("code") == F.col("_own")))).drop("_own")
-    said = F.array(*(F.nullif(F.col(c), F.lit("")) for c in ("code", "name", "note", "quantity")))
+    said = [F.nullif(F.col(c), F.lit("")) for c in ("code", "name", "note", "quantity")]
     found = F.array_compact(F.array(F.when(F.col("code") == "", NO_CODE).when(~T.is_valid_code("code"), BAD_CODE), F.when(F.col("name") == "", NO_NAME)))
-    issue = T.distinct_issues(F.concat(F.coalesce("issues", F.array().cast("array<string>")), found))
-    rows = rows.withColumn("raw_text", F.when(F.col("raw_text") == "", F.array_join(F.array_compact(said), " ")).otherwise(F.col("raw_text")))
+    given = F.coalesce("issues", F.array().cast("array<string>"))
+    fine = (F.size(given) == 0) & (F.col("name") != "") & T.is_valid_code("code")
+    issue = F.when(fine, "").otherwise(T.distinct_issues(F.concat(given, found)))
+    rows = rows.withColumn("raw_text", F.when(F.col("raw_text") == "", F.concat_ws(" ", *said)).otherwise(F.col("raw_text")))
     rows = rows.withColumn("extraction_issue", issue)
     return rows.withColumn("extraction_status", F.when(F.col("extraction_issue") == "", "ok").otherwise("review")).drop("issues")
 
