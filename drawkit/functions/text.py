@@ -67,12 +67,22 @@ def nfkc(s: pd.Series) -> pd.Series:
 def nfkc_rows(df: DataFrame, *columns: str) -> DataFrame:
     """df with the columns in NFKC, as far as fold_width() doesn't do that. One pass: of rows that hold nothing else only
     a null leaves the JVM."""
-    plain = reduce(lambda a, b: a & b, ((F.octet_length(text(c)) == F.length(text(c))) | text(c).rlike(SETTLED) for c in columns))
+    plain = _settled_form(*columns)
     texts = F.array(*(F.col(c).cast("string") for c in columns))
     rows = df.withColumn("_nfkc", nfkc(F.when(~plain, F.to_json(texts))))
     return rows.withColumns({c: F.when(F.col("_nfkc").isNotNull(), F.get("_nfkc", F.lit(i))).otherwise(F.col(c)) for i, c in enumerate(columns)}).drop("_nfkc")
 
 
+def _settled_form(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, ((F.octet_length(text(c)) == F.length(text(c))) | text(c).rlike(SETTLED) for c in columns))
+
+
+def nfkc_split(df: DataFrame, *columns: str) -> DataFrame:
+    """nfkc_rows() of a df that is cheap to read twice, as settled() makes it: rows that need no Python don't meet it."""
+    plain = _settled_form(*columns)
+    return df.where(plain).unionByName(nfkc_rows(df.where(~plain), *columns))
+
+
 #: HTML's named references, with and without a semicolon behind them, as Python's library lists them.
 _NAMED = json.dumps(html5)
 _LEGACY = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))

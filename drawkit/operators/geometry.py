@@ -84,12 +84,13 @@ def names_of(row: Column) -> Column:
 def nearest_column(columns: Column, cx: Column, most: float = 0.075) -> Column:
     """The column whose middle is nearest to cx, ties by order; null beyond `most`. columns: structs (col_x, col_order, key)."""
     nearest = F.array_min(F.transform(columns, lambda c: F.struct(F.abs(cx - c["col_x"]).alias("dx"), c["col_order"].alias("o"), c["key"].alias("key"))))
-    return F.when(nearest["dx"] <= most, nearest["key"])
+    return T.let(nearest, lambda n: F.when(n["dx"] <= most, n["key"]))
 
 
 def is_header_block(c: Column | str = "text") -> Column:
-    """G4."""
-    return T.clean_text(c).isin(HEADER_LABELS)
+    """G4. Most blocks hold no character of a label, which one look tells."""
+    some = "[" + "".join(sorted(set("".join(HEADER_LABELS)))) + "]"
+    return F.when(T.text(c).rlike(some), T.clean_text(c).isin(HEADER_LABELS)).otherwise(F.lit(False))
 
 
 def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,8 +162,8 @@ def title_regions(blocks: DataFrame) -> DataFrame:
 
     The name is the nearest Chinese block around it that is no label; a weak nearest block means no name.
     """
-    rows = with_centers(blocks).withColumn("code", T.block_code("text"))
-    picked = rows.where((F.col("code") != "") & (F.col("cy") > 0.7) & (F.col("cx") > 0.5)).groupBy(*PAGE).agg(F.max_by(F.struct("pos", "code", "cx", "cy", "x", "y", "w", "h"), F.struct("cy", "cx", -F.col("pos"))).alias("c"))
+    rows = with_centers(blocks)
+    picked = rows.where((F.col("cy") > 0.7) & (F.col("cx") > 0.5)).withColumn("code", T.block_code("text")).where("code <> ''").groupBy(*PAGE).agg(F.max_by(F.struct("pos", "code", "cx", "cy", "x", "y", "w", "h"), F.struct("cy", "cx", -F.col("pos"))).alias("c"))
     near = rows.join(picked, PAGE).where((F.col("pos") != F.col("c.pos")) & (F.abs(F.col("cx") - F.col("c.cx")) < 0.2) & (F.abs(F.col("cy") - F.col("c.cy")) < 0.12) & F.col("text").rlike("[一-鿿]") & ~T.clean_text("text").isin(NOT_NAMES) & ~is_header_block())
     distance = F.abs(F.col("cx") - F.col("c.cx")) + F.abs(F.col("cy") - F.col("c.cy"))
     best = near.groupBy(*PAGE).agg(F.min_by(F.struct("text", "confidence"), F.struct(distance, -F.coalesce("confidence", F.lit(0.0)), "pos")).alias("n"))
@@ -184,8 +185,12 @@ def tech_regions(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(text.alias("text"), *B.union_box())
 
 
-def scan_to_bom(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of all pages, per drawing the first title code and name and the distinct issues)."""
+def scan_to_bom(blocks: DataFrame, nfkc: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of all pages, per drawing the first title code and name and the distinct issues).
+
+    Tables, titles and names around titles each look at all blocks, which are settled first.
+    """
+    blocks = T.nfkc_split(settled(blocks), "text") if nfkc else settled(blocks)
     rows, found = tables(blocks)
     titles = title_regions(blocks)
     first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("page")))

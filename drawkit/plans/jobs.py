@@ -75,7 +75,7 @@ def rematch_edited(items: DataFrame, patch: DataFrame, files: DataFrame) -> tupl
 
 def bom_from_text(drawings: DataFrame, limit: int = 10) -> DataFrame:
     """K5: BOM rows of the drawings' full texts. drawings: id, all_text, title_text, filename."""
-    lines = T.nfkc_rows(bom.table_pages(bom.page_lines(drawings, most_sections=limit)), "line")
+    lines = T.nfkc_split(bom.table_pages(settled(bom.page_lines(drawings, most_sections=limit))), "line")
     codes = drawings.select(F.col("id").alias("drawing_id"), T.drawing_code("title_text", T.display_filename("original_filename", "filename"), F.lit("")).alias("title_code"))
     return bom.merge_and_validate(bom.filter_rows(bom.lines_to_rows(lines), codes))
 
@@ -91,7 +91,7 @@ def bom_from_text_status(drawings: DataFrame, rows: DataFrame, pages: DataFrame,
 
 def bom_from_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K6: (rows, titles) from the places of the blocks."""
-    rows, heads = geometry.scan_to_bom(T.nfkc_rows(blocks, "text"))
+    rows, heads = geometry.scan_to_bom(blocks, nfkc=True)
     codes = heads.select("drawing_id", "title_code")
     return bom.merge_and_validate(bom.filter_rows(rows.drop("x", "y", "w", "h"), codes)), heads
 
