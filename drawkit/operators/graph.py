@@ -2,7 +2,8 @@
 
 What is reached, at which depth, and which references lie on a cycle doesn't depend on an order. A check of up to
 MOST_EDGES edges is worked out by one task in time linear in them, however deep it is; a larger one by loops of joins
-that end each round in the shared folder. Both give the same rows, so the limit changes the plan only.
+that end each round in the shared folder, until what is left of it fits a task. Both give the same rows, so the limit
+changes the plan only.
 
 Marks of a walk depend on its order: each drawing is entered once, by the first reference to it that the walk meets, and
 what lies on the path from the root at that moment decides. Such an order can't be split (depth-first order is a
@@ -100,12 +101,23 @@ def _strong(links: Links) -> np.ndarray:
     return np.array(component, np.int64)
 
 
-def _by_size(edges: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """small() of the checks of up to MOST_EDGES edges, large() of the others, whose list is a millionth of the edges at most."""
+def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of the checks of up to MOST_EDGES edges, and those of the others, whose list is a millionth of the edges at most; None without any."""
     big = settled(edges.groupBy("check_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_EDGES).select("check_id"))
     if big.isEmpty():
-        return small(edges)
-    return small(edges.join(F.broadcast(big), "check_id", "left_anti")).unionByName(large(edges.join(F.broadcast(big), "check_id", "left_semi")))
+        return edges, None
+    return edges.join(F.broadcast(big), "check_id", "left_anti"), settled(edges.join(F.broadcast(big), "check_id", "left_semi"))
+
+
+def _by_size(edges: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """small() of the checks that fit a task, large() of the others."""
+    few, many = _split(edges)
+    return small(few) if many is None else small(few).unionByName(large(many))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffles: a side small enough to be broadcast would go through the driver, in each round of a loop anew."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def expand(roots: DataFrame, edges: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
@@ -134,8 +146,8 @@ def expand(roots: DataFrame, edges: DataFrame, most_depth: int = MOST_DEPTH) ->
     def large(own: DataFrame) -> DataFrame:
         seen = frontier = settled(starts.join(own.select("check_id").distinct(), "check_id", "left_semi").withColumn("depth", F.lit(0)))
         for depth in range(1, most_depth + 1):
-            found = frontier.select("check_id", F.col("drawing_id").alias("parent")).join(own, ["check_id", "parent"]).select("check_id", F.col("child").alias("drawing_id")).distinct()
-            frontier = settled(found.join(seen, ["check_id", "drawing_id"], "left_anti").withColumn("depth", F.lit(depth)))
+            found = _met(own, frontier.select("check_id", F.col("drawing_id").alias("parent")), ["check_id", "parent"]).select("check_id", F.col("child").alias("drawing_id")).distinct()
+            frontier = settled(_met(found, seen, ["check_id", "drawing_id"], "left_anti").withColumn("depth", F.lit(depth)))
             if frontier.isEmpty():
                 break
             seen = seen.unionByName(frontier)
@@ -153,16 +165,19 @@ def parents(reached: DataFrame, edges: DataFrame) -> DataFrame:
     return reached.join(refs, ["check_id", "drawing_id"], "left")
 
 
-def peel(edges: DataFrame) -> DataFrame:
-    """edges without those that lead from a node nothing leads to, or to one that leads nowhere, until none does. STEPS layers are one job."""
-    n = edges.count()
-    while n:
+def peel(edges: DataFrame, most: int = 0) -> DataFrame:
+    """edges without those that lead from a node nothing leads to, or to one that leads nowhere, until none does, or no check
+    has more than `most` of them left. STEPS layers are one job."""
+    size = lambda df: df.groupBy("check_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    n, widest = size(edges)
+    while widest > most:
         kept = edges
         for _ in range(STEPS):
             led, leads = kept.select("check_id", F.col("child").alias("parent")).distinct(), kept.select("check_id", F.col("parent").alias("child")).distinct()
-            kept = kept.join(led, ["check_id", "parent"], "left_semi").join(leads, ["check_id", "child"], "left_semi").select("check_id", "parent", "child")
+            kept = _met(_met(kept, led, ["check_id", "parent"], "left_semi"), leads, ["check_id", "child"], "left_semi").select("check_id", "parent", "child")
         edges = settled(kept)
-        if (m := edges.count()) == n:
+        m, widest = size(edges)
+        if m == n:
             break
         n = m
     return edges
@@ -174,49 +189,56 @@ def in_cycle(edges: DataFrame) -> DataFrame:
     An edge is on a cycle if both ends are in one strong component.
     """
     links = settled(edges.select("check_id", "parent", "child").where("parent <> child").distinct())
+    on = _by_size(links, _within, _on_cycles)
+    out = _met(edges, on.withColumn("_on", F.lit(True)), ["check_id", "parent", "child"], "left")
+    return out.withColumn("in_cycle", F.coalesce("_on", F.lit(False)) | (F.col("parent") == F.col("child"))).drop("_on")
+
+
+def _within(edges: DataFrame) -> DataFrame:
+    """(check_id, parent, child) of the edges on a cycle, each check in one task."""
 
     def whole(table: pa.Table) -> pa.Table:
         own = Links(_column(table, "parent"), _column(table, "child"))
         component = _strong(own)
         return table.filter(pa.array(component[own.tails] == component[own.ends]))
 
-    on = _by_size(links, lambda own: own.groupBy("check_id").applyInArrow(whole, "check_id long, parent long, child long"), _on_cycles)
-    out = edges.join(on.withColumn("_on", F.lit(True)), ["check_id", "parent", "child"], "left")
-    return out.withColumn("in_cycle", F.coalesce("_on", F.lit(False)) | (F.col("parent") == F.col("child"))).drop("_on")
+    return edges.groupBy("check_id").applyInArrow(whole, "check_id long, parent long, child long")
 
 
 def _on_cycles(edges: DataFrame) -> DataFrame:
-    """(check_id, parent, child) of the edges on a cycle, by loops of joins.
+    """(check_id, parent, child) of the edges on a cycle, by loops of joins as long as a check has more than MOST_EDGES edges.
 
     Strong components are found by colours: every node takes the largest node that reaches it; what reaches the node that
-    gave the colour, within the colour, is its component. Found components are taken out and the rest goes on. Each step
-    keeps one row per node or edge.
+    gave the colour, within the colour, is its component. Found components are taken out and the rest goes on; neither
+    that nor peeling breaks a cycle of the rest. Each step keeps one row per node or edge.
     """
     key = ["check_id", "node"]
-    rest = peel(edges)
-    found = None
-    while not rest.isEmpty():
+    found, rest = None, edges
+    while rest is not None:
+        few, rest = _split(peel(rest, MOST_EDGES))
+        found = _within(few) if found is None else found.unionByName(_within(few))
+        if rest is None:
+            break
         colors = settled(rest.select("check_id", F.col("parent").alias("node")).unionByName(rest.select("check_id", F.col("child").alias("node"))).distinct().withColumn("color", F.col("node")))
         while True:
-            given = rest.join(colors.withColumnRenamed("node", "parent"), ["check_id", "parent"]).groupBy("check_id", F.col("child").alias("node")).agg(F.max("color").alias("given"))
-            wider = settled(colors.join(given, key, "left").select(*key, F.greatest("color", "given").alias("color"), (F.col("given") > F.col("color")).alias("moved")))
+            given = _met(rest, colors.withColumnRenamed("node", "parent"), ["check_id", "parent"]).groupBy("check_id", F.col("child").alias("node")).agg(F.max("color").alias("given"))
+            wider = settled(_met(colors, given, key, "left").select(*key, F.greatest("color", "given").alias("color"), (F.col("given") > F.col("color")).alias("moved")))
             colors = wider.select(*key, "color")
             if wider.where("moved").isEmpty():
                 break
         own = lambda end: colors.select("check_id", F.col("node").alias(end), F.col("color").alias(f"{end}_color"))
-        inside = settled(rest.join(own("parent"), ["check_id", "parent"]).join(own("child"), ["check_id", "child"]).where("parent_color = child_color").select("check_id", "parent", "child", F.col("parent_color").alias("color")))
+        inside = settled(_met(_met(rest, own("parent"), ["check_id", "parent"]), own("child"), ["check_id", "child"]).where("parent_color = child_color").select("check_id", "parent", "child", F.col("parent_color").alias("color")))
         seen = frontier = settled(colors.where("node = color").select(*key))
         while True:
-            back = inside.join(frontier.withColumnRenamed("node", "child"), ["check_id", "child"], "left_semi").select("check_id", F.col("parent").alias("node")).distinct()
-            frontier = settled(back.join(seen, key, "left_anti"))
+            back = _met(inside, frontier.withColumnRenamed("node", "child"), ["check_id", "child"], "left_semi").select("check_id", F.col("parent").alias("node")).distinct()
+            frontier = settled(_met(back, seen, key, "left_anti"))
             if frontier.isEmpty():
                 break
             seen = settled(seen.unionByName(frontier))
-        ends = lambda df: df.join(seen.withColumnRenamed("node", "parent"), ["check_id", "parent"], "left_semi").join(seen.withColumnRenamed("node", "child"), ["check_id", "child"], "left_semi")
-        whole = ends(inside).select("check_id", "parent", "child")
-        found = whole if found is None else found.unionByName(whole)
-        rest = peel(settled(rest.join(seen.withColumnRenamed("node", "parent"), ["check_id", "parent"], "left_anti").join(seen.withColumnRenamed("node", "child"), ["check_id", "child"], "left_anti")))
-    return edges.limit(0) if found is None else found
+        at = lambda df, how: _met(_met(df, seen.withColumnRenamed("node", "parent"), ["check_id", "parent"], how), seen.withColumnRenamed("node", "child"), ["check_id", "child"], how)
+        found = found.unionByName(at(inside, "left_semi").select("check_id", "parent", "child"))
+        rest = settled(at(rest, "left_anti"))
+    return found
 
 
 def walk(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> tuple[DataFrame, DataFrame]:
