@@ -122,8 +122,8 @@ def squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-#: Texts without a match are clean: printable ASCII and Chinese characters, single spaces inside only.
-UNCLEAN = r"[^\x20-\x7E\u4E00-\u9FFF]|^ | $|  "
+#: Clean texts: printable ASCII and Chinese characters, single spaces inside only. One pass that takes nothing back.
+CLEAN = r"\A(?:[\x21-\x7E\u4E00-\u9FFF]++(?: [\x21-\x7E\u4E00-\u9FFF]++)*+)?\z"
 
 
 def clean_text(c: Column | str) -> Column:
@@ -133,7 +133,7 @@ def clean_text(c: Column | str) -> Column:
     """
 
     def clean(v: Column) -> Column:
-        return F.when(v.rlike(UNCLEAN), squeeze(fold_width(v))).otherwise(v)
+        return F.when(v.rlike(CLEAN), v).otherwise(squeeze(fold_width(v)))
 
     return clean(text(c)) if isinstance(c, str) else let(text(c), clean)
 

@@ -124,9 +124,11 @@ def merge_duplicates(rows: DataFrame) -> DataFrame:
     """Rows that say the same become the first of them, with the pages of all (page 0 left out)."""
     keyed = rows.withColumn("sequence_no", T.clean_text("sequence_no")).withColumn("_code", T.normalize_code("code"))
     rest = [c for c in rows.columns if c not in ("drawing_id", "sequence_no", "name", "note", "quantity")]
-    first = F.min_by(F.struct(*rest), F.struct("page_number", "pos"))
-    out = keyed.groupBy("drawing_id", *KEY).agg(first.alias("_first"), F.array_sort(F.collect_set(F.when(F.col("page_number") > 0, F.col("page_number")))).alias("pages"))
-    return out.select("drawing_id", "sequence_no", "name", "note", "quantity", "_first.*", "pages")
+    # Aggregates of whole rows would sort them for each of two steps; both windows and flag_conflicts() share one sort.
+    same = Window.partitionBy("drawing_id", *KEY)
+    first = keyed.withColumn("_n", F.row_number().over(same.orderBy("page_number", "pos")))
+    out = first.withColumn("pages", F.sort_array(F.collect_set(F.when(F.col("page_number") > 0, F.col("page_number"))).over(same))).where("_n = 1")
+    return out.select("drawing_id", "sequence_no", "name", "note", "quantity", *rest, "pages")
 
 
 def flag_conflicts(rows: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def reindex(rows: DataFrame) -> DataFrame:
 
 def merge_and_validate(rows: DataFrame) -> DataFrame:
     """A8, A9 and W3. All three are per drawing, so the rows are dealt by their drawing once."""
-    return reindex(flag_conflicts(once(merge_duplicates(rows.repartition("drawing_id")))))
+    return reindex(flag_conflicts(merge_duplicates(rows.repartition("drawing_id"))))
 
 
 def coalesce_sources(primary: DataFrame, base: DataFrame) -> DataFrame:
