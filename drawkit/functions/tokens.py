@@ -36,8 +36,14 @@ PATTERNS = [
     (r"(?<![\d.])\d+:\d+(?![\d.])", False),
     (r"(?<![A-Za-z0-9])A[0-4](?![A-Za-z0-9])", False),
 ]
-#: What each match of a pattern holds, where that is quicker to look for than the match; none of these characters has other cases.
-NEEDS = ["[⌀ΦφØ]", "±", "±", "[Rr]", "[Hh]", "[Hh]", "[MGRC]", "[～~—–-]", None, "[+-]", "[+-]", None, None, "-", "[A-Z]{2}", "[×x]", ":", "A"]
+#: What each match of a pattern holds, where that is quicker to look for than the match; none of these letters has other cases.
+SPACE = r"[\s\x1c-\x1f]*"
+NEEDS = [
+    "[⌀ΦφØ]", "±", "±", rf"(?U)[Rr][AaZz]{SPACE}\d", "[Hh][BRVbrv]", rf"(?U)\d{SPACE}[Hh][BRVbrv]", rf"(?U)[MGRC]{SPACE}\d", rf"(?U)\d{SPACE}[～~—–-]", None, rf"(?U)\d{SPACE}[+-]",
+    rf"(?U)[+-]{SPACE}\d", None, None, "[A-Z]-[A-Z0-9]", r"(?U)[A-Z]{2}\d", rf"(?U)\d{SPACE}[x×]", r"(?U)\d:\d", "A[0-4]",
+]
+#: Patterns (standards, part numbers) that match without a digit; the others don't.
+DIGITLESS = (11, 13)
 #: No text without one of these holds a token.
 MAYBE = r"(?U)\d|[⌀ΦφØ±]|(?i)(?:GB|JB|ISO|DIN|ASTM|ANSI|JIS|EN)|[A-Z]-[A-Z]"
 #: Repeated parts that Java would match by recursion, and the same without giving anything back.
@@ -76,9 +82,15 @@ def pattern_spans(c: Column, pattern: str, needs: str | None = None) -> Column:
     return found if needs is None else F.when(F.contains(c, F.lit(needs)) if len(needs) == 1 else c.rlike(needs), found).otherwise(empty)
 
 
+def _all_spans(t: Column, digit: Column) -> Column:
+    """The spans of all patterns in t. digit: whether t has one."""
+    found = [pattern_spans(t, java_pattern(*p), needs) for p, needs in zip(PATTERNS, NEEDS, strict=True)]
+    return F.flatten(F.array(*(x if i in DIGITLESS else F.when(digit, x).otherwise(F.array().cast(SPANS)) for i, x in enumerate(found))))
+
+
 def raw_spans(c: Column) -> Column:
     """Spans of all patterns, pattern by pattern; they may overlap. A null has none."""
-    found = let(F.translate(text(c), OPEN + CLOSE, OTHER * 2), lambda t: F.flatten(F.array(*(pattern_spans(t, java_pattern(*p), needs) for p, needs in zip(PATTERNS, NEEDS, strict=True)))))
+    found = let(F.translate(text(c), OPEN + CLOSE, OTHER * 2), lambda t: let(t.rlike(r"(?U)\d"), lambda digit: _all_spans(t, digit)))
     return F.when(text(c).rlike(MAYBE), found).otherwise(F.array().cast(SPANS))
 
 

@@ -107,8 +107,8 @@ def translation_queue(rows: DataFrame, translations: DataFrame, glossary: DataFr
 
 
 def translation_merge(results: DataFrame, rows: DataFrame) -> DataFrame:
-    """K9."""
-    return translate.merge_results(results, translate.mask_tokens(rows))
+    """K9. rows: segments; those that mask_tokens() has masked already aren't masked anew."""
+    return translate.merge_results(results, rows if "tokens" in rows.columns else translate.mask_tokens(rows))
 
 
 def translation_report(rows: DataFrame, translations: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
