@@ -63,6 +63,37 @@ def test_a_drawing_is_forgotten_after_its_time(spark, tmp_path):
     assert rows_of(spark.read.parquet(f"{tmp_path}/out/uploads").select("path", "action")) == [("p0", "new"), ("p1", "new"), ("p2", "new"), ("p3", "new"), ("p4", "known")]
 
 
+def test_drawings_share_states(spark, tmp_path):
+    """What is decided doesn't depend on the number of states; large ids and drawings without one keep apart."""
+    big, pdf = (1 << 53) + 1, "%PDF-"
+    deliveries = [
+        [(1, "a", "1.pdf", "2024-01-01", pdf, "1. 一"), (2, "b", "2.pdf", "2024-01-01", pdf, "1. 二"), (big, "c", "c.pdf", None, pdf, "1. 三"), (big - 1, "d", "d.pdf", "2024-01-01", pdf + "d", ""), (None, "e", "e.pdf", "2024-01-01", pdf + "e", "")],
+        [(1, "f", "1.pdf", "2024-01-02", pdf, "1. 一"), (1, "g", "1.pdf", "2024-01-03", "junk", ""), (2, "h", "2.pdf", "2024-01-02", pdf + "2", "1. 二"), (2, "i", "2.pdf", None, pdf, "1. 二"), (big, "j", "c.pdf", "2024-01-02", pdf, "1. 三"), (None, "k", "e.pdf", "2024-01-02", pdf + "e", ""), (3, "l", "3.pdf", "2024-01-02", pdf, "")],
+        [(2, "m", "2.pdf", "2024-01-02", pdf, "1. 二"), (big - 1, "n", "d.pdf", "2023-12-31", pdf, ""), (3, "o", "3.pdf", "2024-01-03", pdf, "")],
+    ]
+    want = {("a", "new"), ("b", "new"), ("c", "new"), ("d", "new"), ("e", "new"), ("f", "known"), ("g", "rejected"), ("h", "changed"), ("j", "known"), ("k", "known"), ("l", "new"), ("m", "changed"), ("n", "known"), ("o", "known")}
+    for i, rows in enumerate(deliveries):
+        upload(spark, rows).write.parquet(f"{tmp_path}/in/{i}")
+    for groups in (1, I.GROUPS):
+        at = f"{tmp_path}/{groups}"
+        for i in range(len(deliveries)):
+            spark.read.parquet(f"{tmp_path}/in/{i}").write.parquet(f"{at}/in/{i}")
+            stream = I.ingest(spark, f"{at}/in/*", f"{at}/out", f"{at}/cp", groups=groups)
+            stream.awaitTermination()
+        got = spark.read.parquet(f"{at}/out/uploads")
+        assert {(r.path, r.action) for r in got.collect()} == want
+        assert {r.drawing_id for r in got.where("path in ('c', 'd', 'e')").collect()} == {big, big - 1, None}
+        states = stream.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert states == 2 if groups == 1 else states > 2  # one for drawings without an id
+
+
+def test_a_rejected_upload_keeps_no_drawing_in_mind(spark, tmp_path):
+    for i, (drawing, day, content) in enumerate([(1, "2024-01-01", "%PDF-"), (1, "2024-01-02", "junk"), (2, "2024-03-01", "%PDF-"), (3, "2024-03-02", "%PDF-"), (1, "2024-03-03", "%PDF-")]):
+        upload(spark, [(drawing, f"p{i}", "x.pdf", day, content, "")]).write.parquet(f"{tmp_path}/in/{i}")
+        I.ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/cp", remember="10 days").awaitTermination(120)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out/uploads").select("path", "action")) == [("p0", "new"), ("p1", "rejected"), ("p2", "new"), ("p3", "new"), ("p4", "new")]
+
+
 def test_stream_and_batch_admit_and_sign_alike(spark):
     rows, _ = library.uploads(spark, SF)
     judged = {(r.path, r.signature, r.reject_reason) for r in I.judge(rows, "1", "", 10).collect()}
