@@ -332,6 +332,18 @@ def test_title_lines(spark):
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
 
+def test_title_rows_are_spread(spark):
+    """Drawings read by one task are worked on by all; a leading grade stands in for the material that a drawing doesn't name."""
+    cases = [(1, "Q235-A | x", [(-1, "材料", "Q235-A")]), (2, "Q235-A | x\n材料：45", [(1, "材料", "45")]), (None, "HT200 | x", [(-1, "材料", "HT200")]), (None, "材料：45", [(0, "材料", "45")]), (3, None, []), (4, "版权\r\n图名 | 面板\r1:5 | 比例", [(1, "图名", "面板"), (2, "比例", "1:5")])]
+    drawings = spark.createDataFrame([(d, t) for d, t, _ in cases], "drawing_id long, title_text string").coalesce(1)
+    rows = segments.title_rows(drawings)
+    assert sorted(((r.drawing_id, r.pos, r.label, r.source_text) for r in rows.collect()), key=repr) == sorted(((d, *row) for d, _, found in cases for row in found), key=repr)
+    many = spark.range(400).coalesce(1).select(F.col("id").alias("drawing_id"), F.lit("图名 | 面板").alias("title_text"))
+    assert segments.title_rows(many).select(F.spark_partition_id().alias("task")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate ") == 2 and "Join" not in plan  # each text is worked out once, where it was spread to
+
+
 def test_title_tables(spark):
     ddl = "drawing_id long, page_idx int, pos int, type string, content string, x0 double, y0 double, x1 double, y1 double"
     rows = [(1, 0, 0, "table", "图号 A 材料 45", 0.5, 0.7, 0.9, 0.9), (1, 0, 1, "table", "图号 A 材料 45 比例 1:2 图名 框", 0.5, 0.7, 0.9, 0.95), (1, 0, 2, "table", "图号 B 材料 50", 0.0, 0.0, 0.3, 0.3), (1, 0, 3, "table", "齿数 12", 0.0, 0.5, 0.2, 0.6), (1, 0, 4, "table", "图号 C 比例 1", None, None, None, None)]
