@@ -155,13 +155,15 @@ def merge_and_validate(rows: DataFrame) -> DataFrame:
 def coalesce_sources(primary: DataFrame, base: DataFrame) -> DataFrame:
     """Primary rows with their empty cells filled from the base row of the same code, else of the same name.
 
-    Of base rows with one key the last counts.
+    Of base rows with one key the last counts. Both tables go side by side through windows within their drawing, so rows
+    that come dealt by drawing aren't shuffled again.
     """
     fields = ["sequence_no", "name", "note", "quantity"]
-    keyed = base.withColumn("_code", T.normalize_code("code")).withColumn("_name", T.clean_text("name"))
-    pick = lambda key: keyed.where(F.col(key) != "").groupBy("drawing_id", key).agg(F.max_by(F.struct(*fields), F.struct("page_number", "pos")).alias(f"{key}_row"))
-    rows = primary.withColumn("_code", T.normalize_code("code")).withColumn("_name", T.clean_text("name"))
-    rows = rows.join(pick("_code"), ["drawing_id", "_code"], "left").join(pick("_name"), ["drawing_id", "_name"], "left")
+    keyed = lambda rows: rows.withColumns({"_code": T.normalize_code("code"), "_name": T.clean_text("name")})
+    given = keyed(base).select("drawing_id", "_code", "_name", F.struct("page_number", "pos").alias("_at"), F.struct(*fields).alias("_cells"))
+    both = keyed(primary).withColumn("_own", F.lit(True)).unionByName(given, allowMissingColumns=True)
+    last = lambda key: F.when(F.col("drawing_id").isNotNull() & (F.col(key) != ""), F.max_by("_cells", "_at").over(Window.partitionBy("drawing_id", key)))
+    rows = both.withColumns({"_code_row": last("_code"), "_name_row": last("_name")}).where("_own")
     found = F.coalesce("_code_row", "_name_row")
     filled = {f: F.coalesce(F.nullif(T.clean_text(f), F.lit("")), found[f], F.lit("")) for f in fields}
     return rows.withColumns(filled).select(*primary.columns)
