@@ -112,8 +112,9 @@ def build_items(rows: DataFrame, files: DataFrame) -> DataFrame:
     out = out.withColumn("match_reason", F.when(F.col("_exempt"), F.col("_note.reason")).otherwise(F.col("match_reason")))
     out = out.withColumn("exempt_reason", F.when(F.col("_exempt"), F.col("_note.reason")))
     is_candidate = F.col("match_status") == "candidate"
-    # One row per check: the list of ignored files is joined, not crossed with the items.
-    out = out.join(ignored_files(file_view(files)).select("check_id", "ignored_reasons"), "check_id", "left")
+    # One row per check: the list of ignored files is joined, not crossed with the items. Settled, Spark sees how small it
+    # is and doesn't shuffle the items by their check.
+    out = out.join(settled(ignored_files(file_view(files)).select("check_id", "ignored_reasons")), "check_id", "left")
     shown = (F.col("match_status") == "missing") & ~F.col("_note.exempt")
     out = out.withColumn("extraction_issue", T.join_issues(F.col("extraction_issue"), F.when(is_candidate, REASONS["candidate"]), F.when(shown, F.col("ignored_reasons"))))
     out = out.withColumn("extraction_status", F.when(is_candidate, "review").otherwise(F.col("extraction_status")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,29 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/drawkit-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that the shuffle files of an action go when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within, an action's shuffle files go when it ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: what several branches use is worked out once, and lineage ends there."""
+    """df written to the shared folder and read back: what several branches use is worked out once, and lineage ends there.
+
+    Nothing reads the write's shuffle files again, so they are freed at once.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
