@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.labels import label
+from ..shared import settled
 from .match import needs_review
 
 #: Request errors.
@@ -61,12 +62,16 @@ def _count(df: DataFrame, name: str) -> DataFrame:
 
 
 def check_summary(checks: DataFrame, check_drawings: DataFrame, items: DataFrame, drawings: DataFrame, stored: DataFrame) -> DataFrame:
-    """A1 and A3: one row per check with all counts, complete and all_present."""
-    groups = visible_groups(check_drawings, items, drawings)
-    shown = items.join(groups.select("check_id", "drawing_id"), ["check_id", "drawing_id"], "left_semi")
+    """A1 and A3: one row per check with all counts, complete and all_present.
+
+    Items are counted by drawing once; what is shown of a check is the sum over its groups.
+    """
+    counted = settled(items.groupBy("check_id", "drawing_id").agg(*item_counts()))
+    groups = settled(visible_groups(check_drawings, counted, drawings))
+    shown = counted.join(groups.select("check_id", "drawing_id"), ["check_id", "drawing_id"], "left_semi")
     empty = check_drawings.where("status = 'processed'").join(groups, ["check_id", "drawing_id"], "left_anti")
     counts = [
-        shown.groupBy("check_id").agg(*item_counts()),
+        shown.groupBy("check_id").agg(*(F.sum(c).alias(c) for c in shown.columns if c not in ("check_id", "drawing_id"))),
         _count(groups, "assemblies"),
         _count(check_drawings.where("status in ('failed', 'partial')"), "_bad"),
         _count(empty, "empty_processed_drawings"),
