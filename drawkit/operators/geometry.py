@@ -1,8 +1,8 @@
 """Blocks on pages: tables, titles and requirements from where texts stand.
 
-blocks: drawing_id, page, pos, text, x, y, w, h, confidence. A page's blocks are put into one array, in the order of
-their centres, by one shuffle; rows, headers, columns and cells are then worked out in that array. A page is small, and
-pages are spread over the cluster.
+blocks: drawing_id, page, pos, text, x, y, w, h, confidence. A page's blocks are put in the order of their centres by one
+shuffle; headers, columns and cells are then worked out for many pages at a time, from numbers. A page is small, and pages
+are spread over the cluster.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,18 +77,6 @@ def header_groups(blocks: DataFrame) -> DataFrame:
     return keys.where("n >= 3").withColumn("rank", best).where("rank = 1").select(*PAGE, "group_id", "n")
 
 
-def names_of(row: Column) -> Column:
-    """How many of the column names a row of blocks holds."""
-    holds = lambda k: F.exists(row, lambda b: b["text"].contains(k)).cast("int")
-    return reduce(lambda a, b: a + b, map(holds, HEADER_KEYS))
-
-
-def nearest_column(columns: Column, cx: Column, most: float = 0.075) -> Column:
-    """The column whose middle is nearest to cx, ties by order; null beyond `most`. columns: structs (col_x, col_order, key)."""
-    nearest = F.array_min(F.transform(columns, lambda c: F.struct(F.abs(cx - c["col_x"]).alias("dx"), c["col_order"].alias("o"), c["key"].alias("key"))))
-    return T.let(nearest, lambda n: F.when(n["dx"] <= most, n["key"]))
-
-
 def is_header_block(c: Column | str = "text") -> Column:
     """G4. Most blocks hold no character of a label, which one look tells."""
     some = "[" + "".join(sorted(set("".join(HEADER_LABELS)))) + "]"
@@ -99,62 +89,141 @@ def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables: drawing_id, page, x, y, w, h, complete: the envelope of each table, and whether all columns have names.
     """
     found = settled(table_pages(blocks))
-    rows = found.select(*PAGE, F.posexplode("rows").alias("row_id", "cells"))
-    text = lambda bs, c=None: F.array_join(F.transform(bs, lambda b: b["text"] if c is None else T.clean_text(b["text"])), " ")
-    keys = [*HEADER_KEYS, *OPTIONAL_COLUMNS]
-    under = lambda k: T.let(F.filter("cells", lambda b: b["key"] == k), lambda bs: F.when(F.size(bs) > 0, text(bs, 1))).alias(k)
-    rows = once(rows.select(*PAGE, "row_id", text(F.col("cells")).alias("raw_text"), *envelope(F.col("cells")), *map(under, keys)))
-    code = T.ocr_code_fix(T.normalize_code(F.regexp_replace(T.text("代号"), r"\s+", "")))
-    note = F.when(T.text("备注").rlike("[一-鿿]"), F.btrim(T.text("备注"))).otherwise("")
-    rows = rows.select("drawing_id", F.col("page").alias("page_number"), F.col("row_id").alias("pos"), F.btrim(T.text("序号")).alias("sequence_no"), code.alias("code"), F.btrim(T.text("名称")).alias("name"), note.alias("note"), F.btrim(T.text("数量")).alias("quantity"), F.btrim("raw_text").alias("raw_text"), "x", "y", "w", "h")
-    rows = rows.where((F.col("code") != "") | ((F.col("name") != "") & F.col("quantity").rlike(NUMERIC)))
+    box = [F.coalesce(F.round(c, 6), F.lit(0.0)).alias(c) for c in "xywh"]
+    code = T.ocr_code_fix(T.normalize_code("code"))
+    note = F.when(F.col("备注").rlike("[一-鿿]"), F.btrim("备注")).otherwise("")
+    # The tight code has a name before it is looked at: only then no lambda binds it.
+    rows = once(found.where("row_id >= 0").withColumn("code", F.regexp_replace("代号", r"\s+", "")))
+    rows = rows.select("drawing_id", F.col("page").alias("page_number"), F.col("row_id").alias("pos"), F.btrim("序号").alias("sequence_no"), code.alias("code"), F.btrim("名称").alias("name"), note.alias("note"), F.btrim("数量").alias("quantity"), F.btrim("raw_text").alias("raw_text"), *box)
+    rows = once(rows).where((F.col("code") != "") | ((F.col("name") != "") & F.col("quantity").rlike(NUMERIC)))
     rows = rows.withColumn("quantity", F.when(F.col("quantity").rlike(NUMERIC), F.col("quantity")).otherwise(F.regexp_extract("quantity", r"-?\d+(?:\.\d+)?", 0)))
     issues = F.array_compact(F.array(F.when(F.col("code") == "", "代号缺失").when(~T.is_valid_code("code"), "代号格式无法确认"), F.when(F.col("name") == "", "名称缺失"), F.when(F.col("quantity") == "", "数量缺失")))
-    return once(rows.withColumn("issues", issues)), found.select(*PAGE, *envelope(F.concat("header", F.transform(F.flatten("rows"), lambda b: b.dropFields("key")))), "complete")
-
-
-def envelope(bs: Column) -> list[Column]:
-    """A10 of an array of blocks."""
-    low = lambda k: F.array_min(F.transform(bs, lambda b: b[k]))
-    high = lambda k, n: F.array_max(F.transform(bs, lambda b: b[k] + b[n]))
-    rounded = lambda c, name: F.coalesce(F.round(c, 6), F.lit(0.0)).alias(name)
-    return [rounded(low("x"), "x"), rounded(low("y"), "y"), rounded(high("x", "w") - low("x"), "w"), rounded(high("y", "h") - low("y"), "h")]
+    fine = (F.col("name") != "") & (F.col("quantity") != "") & T.is_valid_code("code")
+    return once(rows.withColumn("issues", F.when(fine, F.array().cast("array<string>")).otherwise(issues))), found.where("row_id < 0").select(*PAGE, *box, "complete")
 
 
 def table_pages(blocks: DataFrame) -> DataFrame:
-    """(drawing_id, page, header, rows, complete) of pages with a table: its header's blocks and its rows of cells, each with its column's key.
+    """Of each page with a table one row for the table (row_id -1: its envelope, complete) and one for each row of cells.
 
-    The table's window reaches from 0.35 above the header to 0.08 below it, and 0.07 beyond the outer columns.
+    Columns: drawing_id, page, row_id, raw_text, the texts under each of HEADER_KEYS, x, y, w, h, complete. Pages are dealt
+    and put in the order of centres by a window, so blocks that come dealt by drawing aren't shuffled; tasks then read
+    many pages at a time.
     """
-    pages = page_arrays(blocks, ["text", "x", "y", "w", "h"]).where(F.exists("bs", lambda b: b["text"].rlike("|".join(HEADER_KEYS))))
-    # Each step is bound to a name once; as columns of their own they would be copied or worked out again in the next.
-    rows_of = lambda bs, tolerance: T.let(row_starts(bs, tolerance), lambda at: runs(bs, at))
-    return pages.select(*PAGE, T.let(rows_of(F.col("bs"), 0.018), lambda rows: T.let(header_of(rows), lambda h: F.when(h.isNotNull(), _table(F.col("bs"), h, rows_of)))).alias("t")).where("t is not null").select(*PAGE, "t.*")
-
-
-def header_of(rows: Column) -> Column:
-    """A18 of an array of rows: the row with most column names, at least three; ties go to the first."""
-    ranked = F.array_sort(F.transform(rows, lambda r, i: F.struct(names_of(r).alias("n"), (-i).alias("i"))))
-    return T.let(F.element_at(ranked, -1), lambda best: F.when(best["n"] >= 3, F.get(rows, -best["i"])))
+    order = Window.partitionBy(*PAGE).orderBy("cy", "cx", "pos", "text", "x", "y", "w", "h")
+    placed = with_centers(blocks.select(*PAGE, "pos", "text", *(F.col(c).cast("double") for c in "xywh"))).withColumn("at", F.row_number().over(order))
+    odd = F.when(~F.col("text").rlike(T.CLEAN), T.clean_text("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema if f.name in PAGE}
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in PAGE] + ["row_id int", "raw_text string"] + [f"`{k}` string" for k in HEADER_KEYS] + [f"{c} double" for c in "xywh"] + ["complete boolean"])
+    return placed.select(*PAGE, "at", F.col("pos").cast("long").alias("pos"), "text", odd.alias("odd"), *"xywh").mapInArrow(read_tables(PAGE, HEADER_KEYS, OPTIONAL_COLUMNS, HEADER_LABELS), ddl)
 
 
-def _table(bs: Column, header: Column, rows_of) -> Column:
-    """G3 of one page: struct (header, rows, complete)."""
-    first = lambda k: F.get(F.filter(header, lambda b: b["text"].contains(k)), F.lit(0))["cx"]
-    columns = F.filter(F.array(*(F.struct(first(k).alias("col_x"), F.lit(i).alias("col_order"), F.lit(k).alias("key")) for i, k in enumerate([*HEADER_KEYS, *OPTIONAL_COLUMNS]))), lambda c: c["col_x"].isNotNull())
-    hy = F.aggregate(header, F.lit(0.0), lambda a, b: a + b["cy"]) / F.size(header)
+def read_tables(page_key: list[str], header_keys: list[str], more_keys: list[str], labels: list[str]):
+    """A function of batches of placed blocks, for table_pages(): all pages of a batch at once, as arrays.
 
-    def frame(columns: Column) -> Column:
-        xs = F.transform(columns, lambda c: c["col_x"])
-        return F.struct(columns.alias("columns"), hy.alias("hy"), (F.array_min(xs) - 0.07).alias("x0"), (F.array_max(xs) + 0.07).alias("x1"), F.transform(header, lambda h: h["pos"]).alias("own"))
-
-    def whole(f: Column) -> Column:
-        inside = F.filter(bs, lambda b: b["cy"].between(f["hy"] - 0.35, f["hy"] + 0.08) & b["cx"].between(f["x0"], f["x1"]) & ~F.array_contains(f["own"], b["pos"]) & ~is_header_block(b["text"]))
-        cells = F.transform(inside, lambda b: F.struct(*(b[k].alias(k) for k in ("cy", "cx", "pos", "text", "x", "y", "w", "h")), nearest_column(f["columns"], b["cx"]).alias("key")))
-        complete = F.size(F.filter(f["columns"], lambda c: c["key"].isin(HEADER_KEYS))) == len(HEADER_KEYS)
-        return F.struct(header.alias("header"), T.let(cells, lambda c: rows_of(c, 0.013)).alias("rows"), complete.alias("complete"))
+    A18: a page's header is its row with most column names, at least three, the first of equal ones. Its window reaches
+    from 0.35 above the header to 0.08 below it, and 0.07 beyond the outer columns. J14: a cell belongs to the column
+    whose middle is nearest, ties by order, up to 0.075 away.
+    """
 
-    return T.let(T.let(columns, frame), whole)
+    keys = [*header_keys, *more_keys]
+    n_keys = len(keys)
+
+    def starts(y: np.ndarray, first: np.ndarray, tolerance: float) -> np.ndarray:
+        """W6, as row_starts(): whether each block begins a row; first: whether it begins a page."""
+        out, n, t = [], 1, 0.0
+        for v, f in zip(y.tolist(), first.tolist(), strict=True):
+            joins = not f and abs(v - t / n) <= tolerance
+            n, t = (n + 1, t + v) if joins else (1, v)
+            out.append(not joins)
+        return np.array(out, dtype=bool)
+
+    def changes(x: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.ones(min(len(x), 1), dtype=bool), x[1:] != x[:-1]))
+
+    def joined(texts: pa.Array, row: np.ndarray, n: int) -> pa.Array:
+        at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(at), texts), " ")
+
+    def records(t: pa.Table, at: np.ndarray, member: np.ndarray, group: np.ndarray, sides: dict, texts: list, complete: np.ndarray, row_id: np.ndarray) -> pa.RecordBatch:
+        """One record for each group of the members; at: where the groups' first blocks are."""
+        begin = np.flatnonzero(changes(group))
+        low = {c: np.fmin.reduceat(sides[c][member], begin) for c in "xy"}
+        size = {n: np.fmax.reduceat((sides[c] + sides[n])[member], begin) - low[c] for c, n in ("xw", "yh")}
+        box = [pa.array(v, pa.float64(), from_pandas=True) for v in (low["x"], low["y"], size["w"], size["h"])]
+        ids = [t[c].take(pa.array(at)).combine_chunks() for c in page_key]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(row_id, pa.int32()), *texts, *box, pa.array(complete)], [*page_key, "row_id", "raw_text", *header_keys, "x", "y", "w", "h", "complete"])
+
+    def read(t: pa.Table):
+        get = lambda c: t[c].to_numpy()
+        sides, text = {c: get(c) for c in "xywh"}, t["text"].combine_chunks()
+        cx, cy = sides["x"] + sides["w"] / 2, sides["y"] + sides["h"] / 2
+        clean = pc.fill_null(pc.coalesce(t["odd"].combine_chunks(), text), "")
+        told = lambda a: a.fill_null(False).to_numpy(zero_copy_only=False)
+        names = sum(told(pc.match_substring(text, k)).astype(np.int32) << i for i, k in enumerate(keys))
+        label = told(pc.is_in(clean, value_set=pa.array(labels)))
+        first = get("at") == 1
+        page = np.cumsum(first) - 1
+        # The header of each page.
+        begins = starts(cy, first, 0.018)
+        row, at = np.cumsum(begins) - 1, np.flatnonzero(begins)
+        held = np.bitwise_or.reduceat(names, at)
+        count = sum((held >> k) & 1 for k in range(len(header_keys)))
+        order = np.lexsort((-count, page[at]))
+        best = order[changes(page[at][order])]
+        best = best[count[best] >= 3]
+        if not len(best):
+            return
+        header = np.isin(row, best)
+        own = np.flatnonzero(header)
+        n = page[-1] + 1
+        columns = np.full((n, n_keys), np.nan)
+        for k in range(n_keys):
+            named = own[(names[own] >> k) & 1 == 1][::-1]  # backwards, so that the first stays
+            columns[page[named], k] = cx[named]
+        middle = np.full(n, np.nan)
+        has = page[at[best]]
+        middle[has] = (np.bincount(page[own], cy[own], n) / np.maximum(np.bincount(page[own], minlength=n), 1))[has]
+        x0, x1 = np.fmin.reduce(columns, axis=1) - 0.07, np.fmax.reduce(columns, axis=1) + 0.07
+        # The cells around it.
+        pos = t["pos"].fill_null(-1).to_numpy()
+        place = page * (pos.max() - pos.min() + 1) + (pos - pos.min())
+        inside = (cy >= (middle - 0.35)[page]) & (cy <= (middle + 0.08)[page]) & (cx >= x0[page]) & (cx <= x1[page]) & ~label
+        inside[inside] = ~np.isin(place[inside], place[own])
+        cell = np.flatnonzero(inside)
+        complete = ~np.isnan(columns[:, : len(header_keys)]).any(axis=1)
+        member = np.flatnonzero(header | inside)
+        at = member[changes(page[member])]
+        nothing = pa.nulls(len(at), pa.string())
+        yield records(t, at, member, page[member], sides, [nothing] * (1 + len(header_keys)), complete[page[at]], np.full(len(at), -1))
+        if not len(cell):
+            return
+        away = np.abs(cx[cell, None] - columns[page[cell]])
+        away[np.isnan(away)] = np.inf
+        key = away.argmin(axis=1)
+        key[away[np.arange(len(cell)), key] > 0.075] = n_keys
+        turns = changes(page[cell])
+        begins = starts(cy[cell], turns, 0.013)
+        row, at = np.cumsum(begins) - 1, cell[begins]
+        index = np.arange(len(at))
+        row_id = index - np.maximum.accumulate(np.where(turns[begins], index, 0))
+        under = lambda k: joined(clean.take(pa.array(cell[key == k])), row[key == k], len(at))
+        there = text.is_valid().to_numpy(zero_copy_only=False)[cell]
+        raw = joined(text.take(pa.array(cell[there])), row[there], len(at))
+        yield records(t, at, cell, row, sides, [raw, *map(under, range(len(header_keys)))], complete[page[at]], row_id)
+
+    def each(batches):
+        held = []
+        for batch in batches:
+            turns = np.flatnonzero(batch["at"].to_numpy() == 1)
+            if len(turns) and (held or turns[-1]):  # up to the last page, which may go on in the next batch
+                yield from read(pa.Table.from_batches([*held, batch.slice(0, turns[-1])]))
+                held = [batch.slice(turns[-1])]
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield from read(pa.Table.from_batches(held))
+
+    return each
 
 
 def title_regions(blocks: DataFrame) -> DataFrame:

@@ -38,10 +38,11 @@ LAID = f"laid as (select *, (pos - 1) // {PAGE_ROWS} + 1 as page, (pos - 1) % {P
 def table_blocks(spark, sf_dir):
     """The BOM rows of an order, laid out above a header, 15 to a page: columns 0.15 apart, rows 0.02 apart."""
     rows = X.bom_rows(spark, sf_dir).withColumns({"page": F.floor((F.col("pos") - 1) / PAGE_ROWS).cast("int") + 1, "r": (F.col("pos") - 1) % PAGE_ROWS + 1})
-    cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(n).alias("t")) for i, n in enumerate(["sequence_no", "code", "name", "quantity", "note"])))
-    body = rows.select("drawing_id", "page", "r", F.inline(cells)).where("t <> ''")
-    head = rows.select("drawing_id", "page").distinct().select("drawing_id", "page", F.lit(0).alias("r"), F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.lit(n).alias("t")) for i, n in enumerate(COLUMNS)))))
-    both = head.unionByName(body)
+    cell = lambda r, i, text: F.struct(r.cast("long").alias("r"), F.lit(i).alias("c"), text.alias("t"))
+    body = F.array(*(cell(F.col("r"), i, F.col(n)) for i, n in enumerate(["sequence_no", "code", "name", "quantity", "note"])))
+    # The header comes with the first row, which each page has.
+    head = F.when(F.col("r") == 1, F.array(*(cell(F.lit(0), i, F.lit(n)) for i, n in enumerate(COLUMNS))))
+    both = rows.select("drawing_id", "page", F.inline(F.concat(F.coalesce(head, F.array().cast("array<struct<r:bigint,c:int,t:string>>")), body))).where("t <> ''")
     return both.select("drawing_id", "page", (F.col("r") * 10 + F.col("c")).cast("int").alias("pos"), F.col("t").alias("text"), (F.col("c") * 0.15 + 0.1).alias("x"), (0.6 - F.col("r") * 0.02).alias("y"), F.lit(0.04).alias("w"), F.lit(0.01).alias("h"), F.lit(0.9).alias("confidence"))
 
 
